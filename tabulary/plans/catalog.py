@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulary.plans import data_quality
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES: list = [data_quality]
 
 
 def queries() -> dict[str, Query]:
