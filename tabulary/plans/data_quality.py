@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulary.operators import multivalue, orphans
+from tabulary.operators import multivalue, orphans, spatial
 
-QUERIES = {"p3_found": multivalue.found, "p5_found": orphans.found, "p5_report": orphans.report}
-SQL = {"p5_found": orphans.FOUND_SQL, "p5_report": orphans.REPORT_SQL}
+QUERIES = {"p2_found": spatial.found, "p3_found": multivalue.found, "p5_found": orphans.found, "p5_report": orphans.report}
+SQL = {"p2_found": spatial.FOUND_SQL, "p5_found": orphans.FOUND_SQL, "p5_report": orphans.REPORT_SQL}
