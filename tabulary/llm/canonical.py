@@ -11,8 +11,9 @@ LOOKALIKE = "АВЕЅІЈКМНОРСТХУаеѕіјорсхуԁһԛԝΑΒΕΖ
 LOOKS_LIKE = "ABESIJKMHOPCTXYaesijopcxydhqwABEZHIKMNOPTYXvop"
 # Letters written as one that stand for two.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
-# Generic words that are added to names of sites.
-GENERIC = ("ad", "in", "apud", "civitas", "oppidum", "opp", "urbs", "vicus", "vic", "mansio", "mans", "castra", "castrum", "castellum", "municipium", "mun", "statio", "pagus", "villa", "locus", "colonia", "col", "forum", "portus", "pons", "aquae")
+# Generic words that are added to names of sites, and those that names themselves may hold.
+GENERIC = ("ad", "in", "apud", "civitas", "oppidum", "opp", "urbs", "vicus", "vic", "mansio", "mans", "castellum", "municipium", "mun", "statio", "pagus", "villa", "locus")
+ALSO_IN_NAMES = ("aquae", "castra", "castrum", "colonia", "col", "forum", "pons", "portus")
 
 EDITS = 2
 #: Full-width full stop, digits and letters; other full-width marks part words as they are.
@@ -49,11 +50,16 @@ SEGMENT_SIZE = f"({{0}} div {EDITS + 1} + IF({{1}} > {EDITS + 1} - {{0}} % {EDIT
 SEGMENT_START = f"(1 + ({{1}} - 1) * ({{0}} div {EDITS + 1}) + greatest(0, {{1}} - 1 - ({EDITS + 1} - {{0}} % {EDITS + 1})))"
 
 
+def _list(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def map_values(values: DataFrame, references: DataFrame) -> DataFrame:
     """(value, name_id) for distinct values (value) and references (name_id, name); 0 for a value that matches none.
 
     Values and names are compared without case, accents, look-alike characters, blanks and punctuation, a value also
-    in other orders of its words (all for up to three words, rotations beyond) and without the generic words. Equal
+    in other orders of its words (all for up to three words, rotations beyond) and without generic words: the
+    added ones, all of them, or any single one. Equal
     forms match; else a form at most two letters away: the name is cut into three segments, one of which a form within
     two edits must contain near its place, so the join is an equality join on (length, segment, substring), and only
     its pairs are verified by levenshtein. Else a value that ends in a full stop matches the one name that begins
@@ -64,11 +70,12 @@ def map_values(values: DataFrame, references: DataFrame) -> DataFrame:
     names = spark.sql(f"SELECT DISTINCT name_id, array_join({WORDS.format(folded_sql('name'))}, '') AS form FROM {{refs}} WHERE name IS NOT NULL", refs=references)
     names = spark.sql("SELECT * FROM {names} WHERE form <> ''", names=names)
     folded = spark.sql(f"SELECT DISTINCT value, {folded_sql('value')} AS folded FROM {{v}} WHERE value IS NOT NULL", v=values)
-    generic = ", ".join(f"'{w}'" for w in GENERIC)
     words = spark.sql(f"SELECT value, folded, {WORDS.format('folded')} AS words FROM {{v}}", v=folded)
-    words = spark.sql(f"SELECT value, folded, words, filter(words, w -> w NOT IN ({generic})) AS bare FROM {{v}}", v=words)
+    added, any_generic = _list(GENERIC), _list(GENERIC + ALSO_IN_NAMES)
+    choices = f"""concat(array(words, filter(words, w -> w NOT IN ({added})), filter(words, w -> w NOT IN ({any_generic}))),
+      transform(filter(words, w -> w IN ({any_generic})), g -> filter(words, (w, i) -> i <> array_position(words, g) - 1)))"""
     forms = written(
-        spark.sql(f"SELECT value, rtrim(folded) LIKE '%.' AS cut, array_join(words, '') AS stem, array_distinct(concat({ORDERS.format('words')}, {ORDERS.format('bare')})) AS forms FROM {{v}}", v=words),
+        spark.sql(f"SELECT value, rtrim(folded) LIKE '%.' AS cut, array_join(words, '') AS stem, array_distinct(flatten(transform({choices}, c -> {ORDERS.format('c')}))) AS forms FROM {{v}}", v=words),
         "forms",
     )
     spread = spark.sql("SELECT value, explode(forms) AS form FROM {f}", f=forms)
@@ -134,15 +141,18 @@ WITH entered AS (
 names AS (SELECT name_id, regexp_replace(lower({_FOLD_SQL.format('canonical_name')}), '[^a-z0-9]', '', 'g') AS form FROM place_name_list),
 folded AS (SELECT value, lower({_FOLD_SQL.format('value')}) AS f FROM (SELECT DISTINCT value FROM entered)),
 words AS (SELECT value, f, regexp_extract_all(f, '[a-z0-9]+') AS w FROM folded),
+choices AS (
+  SELECT value, w FROM words
+  UNION SELECT value, list_filter(w, lambda x: x NOT IN ({_list(GENERIC)})) FROM words
+  UNION SELECT value, list_filter(w, lambda x: x NOT IN ({_list(GENERIC + ALSO_IN_NAMES)})) FROM words
+  UNION SELECT value, w[:i - 1] || w[i + 1:] FROM (SELECT value, w, unnest(range(1, len(w) + 1)) AS i FROM words) WHERE w[i] IN ({_list(GENERIC + ALSO_IN_NAMES)})),
 forms AS (
-  SELECT value, array_to_string(w, '') AS form FROM words
-  UNION SELECT value, array_to_string(list_reverse(w), '') FROM words
-  UNION SELECT value, array_to_string(list_filter(w, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in GENERIC)})), '') FROM words
-  UNION SELECT value, array_to_string(list_reverse(list_filter(w, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in GENERIC)}))), '') FROM words
-  UNION SELECT value, array_to_string(w[2:] || w[:1], '') FROM words
-  UNION SELECT value, array_to_string(w[3:] || w[:2], '') FROM words
-  UNION SELECT value, array_to_string([w[2], w[1], w[3]], '') FROM words WHERE len(w) = 3
-  UNION SELECT value, array_to_string([w[1], w[3], w[2]], '') FROM words WHERE len(w) = 3),
+  SELECT value, array_to_string(w, '') AS form FROM choices
+  UNION SELECT value, array_to_string(list_reverse(w), '') FROM choices
+  UNION SELECT value, array_to_string(w[2:] || w[:1], '') FROM choices
+  UNION SELECT value, array_to_string(w[3:] || w[:2], '') FROM choices
+  UNION SELECT value, array_to_string([w[2], w[1], w[3]], '') FROM choices WHERE len(w) = 3
+  UNION SELECT value, array_to_string([w[1], w[3], w[2]], '') FROM choices WHERE len(w) = 3),
 close AS (SELECT value, min([levenshtein(x.form, n.form), name_id])[2] AS name_id FROM forms x JOIN names n ON levenshtein(x.form, n.form) <= {EDITS} WHERE x.form <> '' GROUP BY value),
 short AS (SELECT value, min(name_id) AS name_id FROM words JOIN names n ON starts_with(n.form, array_to_string(w, '')) WHERE len(w) > 0 AND rtrim(f) LIKE '%.' GROUP BY value HAVING count(DISTINCT n.form) = 1)
 SELECT e.source_table, e.field, e.row_id, CAST(coalesce(c.name_id, s.name_id, 0) AS BIGINT) AS name_id FROM entered e LEFT JOIN close c USING (value) LEFT JOIN short s USING (value)
