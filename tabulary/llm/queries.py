@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tabulary.llm import canonical, glyphs, topn
+from tabulary.llm import canonical, glyphs, leaks, topn
 
 
 def queries():
-    return {"p1_found": topn.found, "p4_found": canonical.found, "p6_found": glyphs.found, "p6_normalized": glyphs.normalized}
+    return {"p1_found": topn.found, "p4_found": canonical.found, "p6_found": glyphs.found, "p6_normalized": glyphs.normalized, "p7_found": leaks.found}
 
 
 def oracle_sql():
-    return {"p1_found": topn.FOUND_SQL, "p4_found": canonical.FOUND_SQL, "p6_found": glyphs.FOUND_SQL}
+    return {"p1_found": topn.FOUND_SQL, "p4_found": canonical.FOUND_SQL, "p6_found": glyphs.FOUND_SQL, "p7_found": leaks.FOUND_SQL}
