@@ -47,7 +47,7 @@ DOT = rf"(?:\.|{GAP}?[(\[{{<](?:dot|punkt|punctum)[)\]}}>]{GAP}?|{GAP}(?:dot|pun
 DOMAIN = regex.compile(rf"{GAP}?(?P<domain>[\p{{L}}\p{{N}}-]+(?:{DOT}[\p{{L}}\p{{N}}-]+)*{DOT}\p{{L}}{{2,}})(?![\p{{L}}\p{{N}}])", regex.I)
 
 PHONE = regex.compile(
-    rf"(?:(?:\+{GAP}?|00)[1-9]\d{{0,2}}(?:{GAP}?\(0\))?(?:{GAP}?[./-]?{GAP}?\(?\d{{2,5}}\)?){{2,6}}|\+?[1-9]?{GAP}?\(0?\d{{1,4}}\)(?:{GAP}?[/.-]?{GAP}?\d{{2,4}}){{1,5}}|0\d{{1,4}}{GAP}?[/-]?{GAP}?\d{{2,3}}(?:[-.]?{GAP}?\d{{2,3}}){{0,4}}|0\d{{6,11}}|\d{{3}}-\d{{4}})(?![\d]|[-/.:]\d|\p{{L}})"
+    rf"(?:(?:\+{GAP}?|00)[1-9]\d{{0,2}}(?:{GAP}?\(0\))?(?:{GAP}?[./-]?{GAP}?(?:\(\d{{2,5}}\)|\d{{2,5}})){{2,6}}|\+?[1-9]?{GAP}?\(0?\d{{1,4}}\)(?:{GAP}?[/.-]?{GAP}?\d{{2,4}}){{1,5}}|0\d{{1,4}}{GAP}?[/-]?{GAP}?\d{{2,3}}(?:[-.]?{GAP}?\d{{2,3}}){{0,4}}|0\d{{6,11}}|\d{{3}}-\d{{4}})(?![\d]|[-/.:]\d|\p{{L}})"
 )
 ID = regex.compile(r"(?<![\p{L}\p{N}])(?:[A-Z]{1,3}[ -]?|[a-z]{1,3}-)?\d(?:[ -]?\d){5,13}(?:[ -]?[A-Z])?(?![\p{L}\p{N}]|-\d)")
 ID_SHAPES = regex.compile(r"(?<![\p{L}\p{N}./-])(?:(?:19|20)?\d{6}[-+]\d{4}|\d{3}-\d{2}-\d{4}|[A-Za-z]{2}[ -]\d{3}[ -]\d{3}[ -]\d|[A-Z]{2}\d{6}-?\d)(?![\p{L}\p{N}]|[-./]\d)")

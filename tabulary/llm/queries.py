@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tabulary.llm import canonical, glyphs, leaks, topn
+from tabulary.llm import canonical, glyphs, leaks, pii, topn
 
 
 def queries():
-    return {"p1_found": topn.found, "p4_found": canonical.found, "p6_found": glyphs.found, "p6_normalized": glyphs.normalized, "p7_found": leaks.found}
+    return {"p1_found": topn.found, "p4_found": canonical.found, "p6_found": glyphs.found, "p6_normalized": glyphs.normalized, "p7_found": leaks.found, "p9_found": pii.found, "p9_redacted": pii.redacted}
 
 
 def oracle_sql():
