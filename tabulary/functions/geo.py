@@ -140,3 +140,58 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 def valid_location(lat: Column, lon: Column) -> Column:
     """Both there, in range, and not the point 0, 0. NaN is not valid."""
     return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
+
+
+# Fixed value: how far a point may lie from a line and still be on it.
+ON_LINE = 1e-10
+
+
+def on_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a point lies on a segment."""
+    cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
+    return (F.abs(cross) <= ON_LINE) & (x >= F.least(x1, x2) - ON_LINE) & (x <= F.greatest(x1, x2) + ON_LINE) & (y >= F.least(y1, y2) - ON_LINE) & (y <= F.greatest(y1, y2) + ON_LINE)
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd test against array<struct<x,y>>, the last point joined to the first; the boundary is inside, fewer than three points hold nothing."""
+    edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1))), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    on = F.exists(edges, lambda e: on_segment(x, y, e["x1"], e["y1"], e["x2"], e["y2"]))
+    crossed = F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))))
+    return (F.size(ring) >= 3) & (on | (F.size(crossed) % 2 == 1))
+
+
+def in_polygon(x: Column, y: Column, rings: Column) -> Column:
+    """In the first ring and in no other; the boundary of a hole counts as in the hole."""
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    return (F.size(rings) > 0) & in_ring(x, y, F.get(rings, F.lit(0))) & ~F.exists(holes, lambda r: in_ring(x, y, r))
+
+
+def in_geometry(x: Column, y: Column, parts: Column) -> Column:
+    """In any of the polygons of array<array<array<struct<x,y>>>>."""
+    return F.exists(parts, lambda rings: in_polygon(x, y, rings))
+
+
+def segment_km(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a segment in a plane laid at the point: a degree is 110.57 km of latitude and 111.32 km cos(latitude) of longitude."""
+    kx, ky = F.lit(111.32) * F.cos(F.radians(y)), F.lit(110.57)
+    ax, ay, bx, by = (x1 - x) * kx, (y1 - y) * ky, (x2 - x) * kx, (y2 - y) * ky
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(length, F.lit(0.0)))))
+    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+
+
+GEOMETRY_SCHEMA = "type string, coordinates string"
+
+
+def parts_of(geometry: Column) -> Column:
+    """GeoJSON Polygon or MultiPolygon text as array<array<array<struct<x,y>>>>, parsed on the JVM; null for other types."""
+    kind = F.get_json_object(geometry, "$.type")
+    text = F.get_json_object(geometry, "$.coordinates")
+    multi = F.when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>")).when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>")))
+    return F.transform(multi, lambda p: F.transform(p, lambda r: F.transform(r, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))))
+
+
+def first_property(properties: Column, *names: str) -> Column:
+    """The first non-empty value of a map<string,string> under alternative names, '' when there is none."""
+    return F.coalesce(*[F.nullif(F.trim(properties[n]), F.lit("")) for n in names], F.lit(""))

@@ -142,6 +142,33 @@ def near_pairs(points: DataFrame, km: float) -> DataFrame:
     return pairs.select(F.least("a", "key").alias("key_a"), F.greatest("a", "key").alias("key_b"), "km")
 
 
+def ring_edges(regions: DataFrame) -> DataFrame:
+    """(region, ord, x1, y1, x2, y2): the edges of all rings, holes too; ord is the order of the regions."""
+    from tabulary.functions.geo import parts_of
+
+    rings = regions.select("region", "ord", F.explode(F.flatten(parts_of(F.col("geometry")))).alias("ring"))
+    pairs = rings.select("region", "ord", F.explode(F.arrays_zip(F.col("ring").alias("a"), F.concat(F.slice("ring", 2, 1 << 30), F.slice("ring", 1, 1)).alias("b"))).alias("e"))
+    return pairs.select("region", "ord", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def nearest_region(points: DataFrame, regions: DataFrame, within_km: float, cell: float = 0.5) -> DataFrame:
+    """(key, region, km): for each point (key, lat, lon) the region with the nearest edge within a distance, the first in order among equals.
+
+    Edges and points meet in cells of `cell` degrees. An edge is entered in every cell its box, widened by the
+    distance, touches; so a point finds in its own cell all edges that can be near enough. Works for latitudes up to 89.
+    """
+    from tabulary.functions.geo import segment_km
+
+    degrees = within_km / 110.57
+    widen = F.lit(degrees) / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y1"), F.abs("y2")) + degrees)))
+    span = lambda a, b, w: F.sequence(F.floor((F.least(a, b) - w) / cell), F.floor((F.greatest(a, b) + w) / cell))
+    edges = ring_edges(regions).withColumn("cx", F.explode(span(F.col("x1"), F.col("x2"), widen))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"), F.lit(degrees))))
+    placed = points.select("key", "lat", "lon", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    km = segment_km(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    met = placed.join(edges, ["cx", "cy"]).withColumn("km", km).where(F.col("km") <= within_km)
+    return met.groupBy("key").agg(F.min(F.struct("km", "ord", "region")).alias("b")).select("key", "b.region", "b.km")
+
+
 def located_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, lat, lon) of every pleiadesId with a valid location in some row; the lowest where rows disagree."""
     lat, lon = F.col("latitude"), F.col("longitude")
