@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
-
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +51,7 @@ class Transducer:
             if self._cluster(out) != out and len(out) == 1:
                 raise ValueError(f"{sequence!r} becomes {out!r}, which is itself mapped")
         special = "".join(sorted({s for s in self.map if len(s) == 1}))
+        self.seen: dict[str, str] = {}
         self.pattern = regex.compile(r"(?:[\s\p{Z}]|(?<=[\s\p{Z}])\p{Cf})+|[" + regex.escape(special) + r"][\p{M}\p{Cf}]*|[^\s\p{Z}\p{M}\p{Cf}][\p{M}\p{Cf}]+|[\p{M}\p{Cf}]+")
 
     def add(self, sequence: str, out: str) -> None:
@@ -70,10 +69,17 @@ class Transducer:
         parts = unicodedata.normalize("NFD", shown)
         return unicodedata.normalize("NFC", self.single.get(parts[0], parts[0]) + parts[1:])
 
+    def _output(self, match: regex.Match) -> str:
+        cluster = match.group()
+        out = self.seen.get(cluster)
+        if out is None:
+            out = self._cluster(cluster)
+            if len(self.seen) < 100_000:
+                self.seen[cluster] = out
+        return out
+
     def __call__(self, text: str) -> str:
-        cluster = lru_cache(maxsize=100_000)(self._cluster) if not hasattr(self, "_cached") else self._cached
-        self._cached = cluster
-        return self.pattern.sub(lambda m: cluster(m.group()), text).strip(" ")
+        return self.pattern.sub(self._output, text).strip(" ")
 
 
 _transducer: Transducer | None = None

@@ -250,8 +250,9 @@ def find(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = Detector(names)
         for batch in batches:
-            rows = [(doc, kind, text[a:b]) for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True) for a, b, kind in detector.spans(text)]
-            yield pd.DataFrame(dict.fromkeys(rows), columns=["doc_id", "pii_type", "pii_text"]) if rows else pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "pii_type": [], "pii_text": []})
+            rows = dict.fromkeys((doc, kind, text[a:b]) for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True) for a, b, kind in detector.spans(text))
+            if rows:
+                yield pd.DataFrame(list(rows), columns=["doc_id", "pii_type", "pii_text"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''").mapInPandas(scan, "doc_id bigint, pii_type string, pii_text string")
 
