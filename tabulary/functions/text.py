@@ -45,7 +45,7 @@ def squeeze(column: Column) -> Column:
 
 
 def strip_accents(column: Column) -> Column:
-    """Without combining accents, on the JVM; joined letters such as æ stay."""
+    """Without combining accents, and compatibility forms as their plain letters, on the JVM; joined letters such as æ stay."""
     return F.reflect(F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), column)
 
 

@@ -59,7 +59,7 @@ def province_targets(expected: DataFrame, polygons: DataFrame, aliases: DataFram
     expected (expected), polygons (name), aliases (alias, name). Distinct names only. Words 0.82 alike have a letter
     pair in common in one of their case forms, so names meet by equality on letter pairs and lose nothing by it.
     """
-    parts = expected.where("expected <> ''").distinct().withColumn("part", F.explode(F.array_union(F.array("expected"), F.filter(F.transform(F.split("expected", r"(?i)\bet\b"), F.trim), lambda p: p != ""))))
+    parts = expected.where("expected <> ''").distinct().withColumn("part", F.explode(F.array_union(F.array("expected"), F.filter(F.transform(F.split("expected", r"(?i)\bet\b"), lambda p: F.trim(p)), lambda p: p != ""))))
     by_alias = parts.withColumn("alias", norm_name(F.col("part"))).join(aliases, "alias").join(polygons, "name", "left_semi").select("expected", "name")
     def grams(column: str) -> Column:
         forms = F.flatten(F.transform(meaningful_tokens(F.col(column)), word_forms))
