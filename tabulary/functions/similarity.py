@@ -42,25 +42,37 @@ def best_form_ratio(fa: Column, fb: Column) -> Column:
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
+def name_forms(column: Column) -> Column:
+    """The case forms of each meaningful word: array<array<string>>. Computed once per name, it carries both scores below."""
+    return F.transform(meaningful_tokens(column), word_forms)
+
+
 def _best_per_token(left: Column, right: Column) -> Column:
-    forms = F.transform(right, word_forms)
-    return F.transform(F.transform(left, word_forms), lambda fa: F.array_max(F.transform(forms, lambda fb: best_form_ratio(fa, fb))))
+    return F.transform(left, lambda fa: F.array_max(F.transform(right, lambda fb: best_form_ratio(fa, fb))))
 
 
-def expected_to_actual(expected: Column, actual: Column) -> Column:
-    """Mean over the words of expected of the best likeness to a word of actual; 0 when either has none."""
-    e, a = meaningful_tokens(expected), meaningful_tokens(actual)
+def forms_likeness(e: Column, a: Column) -> Column:
+    """expected_to_actual on name_forms."""
     total = F.aggregate(_best_per_token(e, a), F.lit(0.0), lambda s, x: s + x)
     return F.when((F.size(e) == 0) | (F.size(a) == 0), F.lit(0.0)).otherwise(total / F.size(e))
 
 
-def actual_to_context(actual: Column, context: Column) -> Column:
-    """The best likeness of a word of actual, or 0.65 of the best and 0.35 of the second; 0 when either has none."""
-    a, c = meaningful_tokens(actual), meaningful_tokens(context)
+def forms_context(a: Column, c: Column) -> Column:
+    """actual_to_context on name_forms."""
     scores = F.sort_array(_best_per_token(a, c), asc=False)
     return F.when((F.size(a) == 0) | (F.size(c) == 0), F.lit(0.0)).when(F.size(a) == 1, scores[0]).otherwise(0.65 * scores[0] + 0.35 * scores[1])
 
 
+def expected_to_actual(expected: Column, actual: Column) -> Column:
+    """Mean over the words of expected of the best likeness to a word of actual; 0 when either has none."""
+    return forms_likeness(name_forms(expected), name_forms(actual))
+
+
+def actual_to_context(actual: Column, context: Column) -> Column:
+    """The best likeness of a word of actual, or 0.65 of the best and 0.35 of the second; 0 when either has none."""
+    return forms_context(name_forms(actual), name_forms(context))
+
+
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher, last, out = SequenceMatcher(None), None, []

@@ -78,28 +78,35 @@ def update_blanks(target: DataFrame, source: DataFrame, key: str, columns: Seque
 def first_rule(df: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """Each row with the first rule (priority, pattern, ...) whose pattern its text begins with, or nulls.
 
-    Patterns are joined by equality on prefixes of the text of the lengths that occur among the patterns, so no
-    pair of row and rule is tried in vain.
+    Patterns are joined by equality on prefixes of the text of the lengths that occur among the patterns, once per
+    distinct text, so no pair of row and rule is tried in vain.
     """
     sizes = [r[0] for r in rules.select(F.length("pattern")).distinct().limit(1001).collect()]
     if len(sizes) > 1000:
         raise ValueError("patterns of more than 1,000 lengths")
-    keyed = df.withColumn("_id", F.monotonically_increasing_id())
-    probes = keyed.select("_id", F.explode(F.array(*[F.when(F.length(text) >= n, F.left(F.col(text), F.lit(n))) for n in sizes] or [F.lit(None).cast("string")])).alias("pattern"))
-    best = probes.where("pattern is not null").join(rules, "pattern").groupBy("_id").agg(F.min_by(F.struct(*rules.columns), F.struct("priority", "pattern")).alias("_rule"))
-    return keyed.join(best, "_id", "left").select(*df.columns, *[F.col("_rule")[c].alias(c) for c in rules.columns])
-
-
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node) reachable from seeds (node) over edges (a, b) either way, as one recursive query."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE both AS (SELECT a, b FROM {{e}} UNION SELECT b, a FROM {{e}}),
-            reach (node, depth) MAX RECURSION LEVEL {rounds} AS (
-              SELECT node, 0 FROM {{s}} UNION ALL SELECT b, depth + 1 FROM reach JOIN both ON a = node WHERE depth < {rounds - 2})
-            SELECT DISTINCT node FROM reach""",
-        e=edges, s=seeds,
-    )
+    texts = df.select(F.col(text).alias("_t")).where("_t is not null").distinct()
+    probes = texts.select("_t", F.explode(F.array(*[F.when(F.length("_t") >= n, F.left("_t", F.lit(n))) for n in sizes] or [F.lit(None).cast("string")])).alias("pattern"))
+    best = probes.where("pattern is not null").join(rules, "pattern").groupBy("_t").agg(F.min_by(F.struct(*rules.columns), F.struct("priority", "pattern")).alias("_rule"))
+    return df.join(best, F.col(text) == F.col("_t"), "left").select(*df.columns, *[F.col("_rule")[c].alias(c) for c in rules.columns])
+
+
+def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node) reachable from seeds (node) over edges (a, b) either way, the seeds included.
+
+    Each round joins the nodes reached last with the edges and takes off those known; it is written to the shared
+    folder, so a hub is expanded once and lineage stays short. A null node or edge end reaches nothing.
+    """
+    from tabulary.session import written
+
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
+    frontier = written(seeds.where("node is not null").distinct(), "closure")
+    known = frontier
+    for _ in range(rounds):
+        frontier = written(both.join(frontier.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti"), "closure")
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+    raise ValueError(f"the closure takes more than {rounds} rounds")
 
 
 def scored_pick(df: DataFrame, keys: Sequence[str], score: Column, *order: Column) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulary.functions.morphology import candidate_variants, word_forms
+from tabulary.functions.morphology import candidate_variants
 from tabulary.functions.rules import feature_score, non_point
-from tabulary.functions.similarity import AUTO_SIMILARITY, CONTEXT_THRESHOLD, MIN_MARGIN, NEAR_KM, actual_to_context, expected_to_actual, provinces_compatible
-from tabulary.functions.text import latin_key, meaningful_tokens, norm_name
+from tabulary.functions.similarity import AUTO_SIMILARITY, CONTEXT_THRESHOLD, MIN_MARGIN, NEAR_KM, forms_context, forms_likeness, name_forms, provinces_compatible
+from tabulary.functions.text import latin_key, norm_name
 from tabulary.operators.linkage import blocked_fuzzy_join
 from tabulary.operators.relational import keep_one
+from tabulary.session import written
 
 # The weight of a context status in ranking.
 STATUS_WEIGHT = {"HARD_MATCH": 7, "HARD_NEAR_MATCH": 6, "SOFT_MATCH": 5, "SOFT_NEAR_MATCH": 4, "REGION_MATCH": 3, "REGION_NEAR_MATCH": 2}
@@ -61,15 +62,17 @@ def province_targets(expected: DataFrame, polygons: DataFrame, aliases: DataFram
     """
     parts = expected.where("expected <> ''").distinct().withColumn("part", F.explode(F.array_union(F.array("expected"), F.filter(F.transform(F.split("expected", r"(?i)\bet\b"), lambda p: F.trim(p)), lambda p: p != ""))))
     by_alias = parts.withColumn("alias", norm_name(F.col("part"))).join(aliases, "alias").join(polygons, "name", "left_semi").select("expected", "name")
-    def grams(column: str) -> Column:
-        forms = F.flatten(F.transform(meaningful_tokens(F.col(column)), word_forms))
-        return F.array_distinct(F.flatten(F.transform(forms, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2))))))
-
-    a = parts.select("expected", "part", F.explode(grams("part")).alias("s"))
-    b = polygons.select("name", F.explode(grams("name")).alias("s"))
-    pairs = a.join(b, "s").select("expected", "part", "name").distinct()
-    alike = pairs.select("part", "name").distinct().where(expected_to_actual(F.col("part"), F.col("name")) >= CONTEXT_THRESHOLD)
-    by_score = pairs.join(alike, ["part", "name"]).select("expected", "name")
+    def named(df: DataFrame, column: str, forms: str) -> DataFrame:
+        return written(df.select(column).distinct().withColumn(forms, name_forms(F.col(column))), "forms")
+
+    def grams(forms: str) -> Column:
+        pair = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+        return F.explode(F.array_distinct(F.flatten(F.transform(F.flatten(forms), pair)))).alias("gram")
+
+    a, b = named(parts, "part", "e"), named(polygons, "name", "a")
+    pairs = a.select("part", grams("e")).join(b.select("name", grams("a")), "gram").select("part", "name").distinct()
+    alike = pairs.join(a, "part").join(b, "name").where(forms_likeness(F.col("e"), F.col("a")) >= CONTEXT_THRESHOLD).select("part", "name")
+    by_score = parts.join(alike, "part").select("expected", "name")
     return by_alias.unionByName(by_score).groupBy("expected").agg(F.array_sort(F.collect_set("name")).alias("targets"))
 
 
@@ -92,17 +95,18 @@ def context_status(df: DataFrame) -> DataFrame:
     size = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     status, score = F.when(actual == "", "NO_POLYGON").otherwise("NO_CONTEXT"), F.lit(0.0)
     own = F.coalesce("chapter_geography", F.lit(False))
-    by_actual, by_nearest = actual_to_context(actual, F.col("context_text")), actual_to_context(nearest, F.col("context_text"))
+    df = df.withColumns({"_actual": name_forms(actual), "_nearest": name_forms(nearest), "_text": name_forms(F.col("context_text")), "_hard": name_forms(F.col("hard")), "_soft": name_forms(F.col("soft"))})
+    by_actual, by_nearest = forms_context(F.col("_actual"), F.col("_text")), forms_context(F.col("_nearest"), F.col("_text"))
     soft_name = lambda s, tag: F.when(s >= CONTEXT_THRESHOLD, f"SOFT_{tag}MATCH").otherwise(f"SOFT_{tag}MISMATCH")
     status = F.when((actual != "") & own, soft_name(by_actual, "")).when((actual == "") & close & own, soft_name(by_nearest, "NEAR_")).otherwise(status)
     score = F.when((actual != "") & own, by_actual).when((actual == "") & close & own, by_nearest).otherwise(score)
-    for strength, targets, expected in (("REGION", "region_targets", None), ("SOFT", "soft_targets", "soft"), ("HARD", "hard_targets", "hard")):
+    for strength, targets, expected in (("REGION", "region_targets", None), ("SOFT", "soft_targets", "_soft"), ("HARD", "hard_targets", "_hard")):
         held, near = F.array_contains(targets, actual), F.array_contains(targets, nearest)
-        miss = lambda p, e=expected: F.lit(0.0) if e is None else expected_to_actual(F.col(e), p)
+        miss = lambda p, e=expected: F.lit(0.0) if e is None else forms_likeness(F.col(e), F.col(p))
         named = F.when(actual != "", F.when(held, f"{strength}_MATCH").otherwise(f"{strength}_MISMATCH")).when(close, F.when(near, f"{strength}_NEAR_MATCH").otherwise(f"{strength}_NEAR_MISMATCH")).otherwise(f"{strength}_UNVERIFIED")
-        value = F.when(actual != "", F.when(held, F.lit(1.0)).otherwise(miss(actual))).when(close, F.when(near, F.lit(1.0)).otherwise(miss(nearest))).otherwise(F.lit(0.0))
+        value = F.when(actual != "", F.when(held, F.lit(1.0)).otherwise(miss("_actual"))).when(close, F.when(near, F.lit(1.0)).otherwise(miss("_nearest"))).otherwise(F.lit(0.0))
         status, score = F.when(size(targets), named).otherwise(status), F.when(size(targets), value).otherwise(score)
-    return df.withColumn("context_status", status).withColumn("context_score", score)
+    return df.withColumn("context_status", status).withColumn("context_score", score).drop("_actual", "_nearest", "_text", "_hard", "_soft")
 
 
 def rank_candidates(df: DataFrame) -> DataFrame:

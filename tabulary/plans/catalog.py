@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulary.plans import data_quality, search_queries, text_queries
+from tabulary.plans import data_quality, link_queries, search_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [data_quality, search_queries, text_queries]
+MODULES: list = [data_quality, link_queries, search_queries, text_queries]
 
 
 def queries() -> dict[str, Query]:
