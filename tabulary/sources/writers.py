@@ -14,7 +14,7 @@ def write_delimited(df: DataFrame, path: str, columns: Sequence[str], sep: str =
     if strict and extra:
         raise ValueError(f"columns that are not written: {', '.join(extra)}")
     out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns])
-    out.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="", nullValue="")
+    out.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_entries(df: DataFrame, key: str, metadata: dict[str, str]) -> DataFrame:
