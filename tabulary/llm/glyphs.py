@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulary.session import table
+from tabulary.session import table, written
 
 # Letters and marks that look like others, and what they look like, place by place.
 LOOKALIKE = "АВЕЅІЈКМНОРСТХУаеѕіјорсхуԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲϳ‐‑"
@@ -51,8 +52,8 @@ class Transducer:
             if self._cluster(out) != out and len(out) == 1:
                 raise ValueError(f"{sequence!r} becomes {out!r}, which is itself mapped")
         special = "".join(sorted({s for s in self.map if len(s) == 1}))
-        self.seen: dict[str, str] = {}
-        self.pattern = regex.compile(r"(?:[\s\p{Z}]|(?<=[\s\p{Z}])\p{Cf})+|[" + regex.escape(special) + r"][\p{M}\p{Cf}]*|[^\s\p{Z}\p{M}\p{Cf}][\p{M}\p{Cf}]+|[\p{M}\p{Cf}]+")
+        self.words: dict[str, str] = {}
+        self.pattern = regex.compile(r"[" + regex.escape(special) + r"][\p{M}\p{Cf}]*|[^\p{M}\p{Cf}][\p{M}\p{Cf}]+|[\p{M}\p{Cf}]+")
 
     def add(self, sequence: str, out: str) -> None:
         if self.map.setdefault(sequence, out) != out:
@@ -61,25 +62,24 @@ class Transducer:
     def _cluster(self, cluster: str) -> str:
         if cluster in self.map:
             return self.map[cluster]
-        if cluster[0].isspace():
-            return " "
         shown = "".join(c for c in cluster if unicodedata.category(c) != "Cf" and not 0xFE00 <= ord(c) <= 0xFE0F and c != "\u034f")
         if shown in self.map or not shown:
             return self.map.get(shown, "")
         parts = unicodedata.normalize("NFD", shown)
         return unicodedata.normalize("NFC", self.single.get(parts[0], parts[0]) + parts[1:])
 
-    def _output(self, match: regex.Match) -> str:
-        cluster = match.group()
-        out = self.seen.get(cluster)
-        if out is None:
-            out = self._cluster(cluster)
-            if len(self.seen) < 100_000:
-                self.seen[cluster] = out
-        return out
+    def word(self, word: str) -> str:
+        """The form of a word: every cluster that may change goes through the mapping, once. Words already seen are kept."""
+        form = self.words.get(word)
+        if form is None:
+            form = self.pattern.sub(lambda m: self._cluster(m.group()), word)
+            if len(self.words) >= 200_000:
+                self.words.clear()
+            self.words[word] = form
+        return form
 
     def __call__(self, text: str) -> str:
-        return self.pattern.sub(self._output, text).strip(" ")
+        return " ".join(filter(None, map(self.word, text.split())))
 
 
 _transducer: Transducer | None = None
@@ -95,8 +95,10 @@ def one_form(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def _one_form(texts: pd.Series) -> pd.Series:
-    return texts.map(one_form, na_action="ignore")
+def _one_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    transducer = Transducer()
+    for texts in batches:
+        yield texts.map(transducer, na_action="ignore")
 
 
 def consistent(column: Column | str) -> Column:
@@ -114,9 +116,10 @@ def look_alikes(rows: DataFrame) -> DataFrame:
     """(field, row_id_a, row_id_b) of rows (group_key, field, row_id, value) of one group whose values look alike but differ.
 
     Groups of one form whose values are all the same characters are dropped after a pre-aggregation and never
-    expanded; only forms with two or more spellings are joined with themselves. Null groups or values are out.
+    expanded; only forms with two or more spellings are joined with themselves. The forms are written once, so no
+    text is brought into form twice. Null groups or values are out.
     """
-    formed = rows.where("group_key is not null and value is not null").withColumn("form", consistent("value"))
+    formed = written(rows.where("group_key is not null and value is not null").withColumn("form", consistent("value")), "forms")
     keys = ["group_key", "field", "form"]
     mixed = formed.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*keys)
     kept = formed.join(mixed, keys, "left_semi")
