@@ -64,12 +64,12 @@ def scan(text: str, quoting: bool = True) -> list[tuple[str, str]]:
 
 
 def join_pieces(pieces: Sequence[tuple[str, str]], marks: frozenset[str]) -> list[str]:
-    """The values when only the given marks separate; other marks stay inside their value."""
+    """The values when only the given marks separate; other marks stay inside their value, and bare marks are none."""
     values, raw, alone = [], [], []
     for kind, part in [*pieces, ("d", "")]:
         if kind == "d" and (part in marks or not part):
             value = alone[0] if len(raw) == 1 and alone else "".join(raw)
-            if value.strip():
+            if value.strip() and (alone or any(c.isalnum() for c in value)):
                 values.append(value.strip())
             raw, alone = [], []
         else:
