@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulary.functions.text import clean_name, latin_key, norm_gazetteer, norm_name, norm_probe, norm_province
+from tabulary.functions.text import clean_name, let, norm_gazetteer, norm_name, norm_probe, norm_province, spelling_key
 
 # Fixed values. Each rule: ending, least length of the word, letters cut off, what is added instead.
 Rule = tuple[str, int, int, str]
@@ -58,26 +58,33 @@ def _last_word(text: Column, rules: list[Rule]) -> Column:
 
 def word_forms(word: Column) -> Column:
     """The distinct spelling keys of a word and its case forms; [] for a word without letters."""
-    raw = norm_name(word)
-    return F.array_distinct(F.filter(F.transform(F.array_prepend(forms(raw, WORD_FORMS), raw), latin_key), lambda k: k != ""))
+    return let(norm_name(word), normal_word_forms)
+
+
+def normal_word_forms(raw: Column) -> Column:
+    """word_forms of a word that is in norm_name's form already."""
+    return F.array_distinct(F.filter(F.transform(F.array_prepend(forms(raw, WORD_FORMS, raw), raw), spelling_key), lambda k: k != ""))
 
 
 def case_variants(text: Column) -> Column:
     """The name and the case forms of its last word, in order and without repeats."""
-    clean = clean_name(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_prepend(_last_word(clean, CASE_FORMS), clean)))
+    none = F.array().cast("array<string>")
+    return let(clean_name(text), lambda c: F.when(c == "", none).otherwise(F.array_distinct(F.array_prepend(_last_word(c, CASE_FORMS), c))))
 
 
 def toponymic_variants(text: Column) -> Column:
     """array<struct<value,rule>> of the places an adjective of one word may come from: the first suffix that fits and leaves more than two letters."""
-    word, low = clean_name(text), F.lower(clean_name(text))
-    result = None
+    return let(clean_name(text), _toponymic)
+
+
+def _toponymic(word: Column) -> Column:
+    low, result = F.lower(word), None
     for suffix, endings in TOPONYMIC:
         stem = F.left(word, F.length(word) - len(suffix))
         made = F.array(F.struct(stem.alias("value"), F.lit(f"toponymic_{suffix}_stem").alias("rule")), *[F.struct(F.concat(stem, F.lit(e)).alias("value"), F.lit(f"toponymic_{suffix}").alias("rule")) for e in endings.split()])
         fits = low.endswith(suffix) & (F.length(word) > len(suffix) + 2) & ~word.contains(" ")
         result = F.when(fits, made) if result is None else result.when(fits, made)
-    kept = F.filter(result, lambda v: norm_name(v["value"]) != norm_name(text))
+    kept = F.filter(result, lambda v: norm_name(v["value"]) != norm_name(word))
     return F.coalesce(kept, F.array().cast("array<struct<value:string,rule:string>>"))
 
 

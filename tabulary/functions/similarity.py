@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulary.functions.morphology import word_forms
-from tabulary.functions.text import latin_key, meaningful_tokens, norm_name, norm_search, province_tokens
+from tabulary.functions.morphology import normal_word_forms, word_forms
+from tabulary.functions.text import latin_key, let, meaningful_tokens, norm_name, norm_search, province_tokens
 
 # Thresholds of the linkage.
 MAX_EDITS, MIN_SIMILARITY, AUTO_SIMILARITY, MIN_MARGIN, CONTEXT_THRESHOLD, NEAR_KM = 2, 0.86, 0.90, 0.06, 0.82, 15.0
@@ -28,8 +29,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance / length of the longer, on spelling keys; 0 when either is empty."""
-    ka, kb = latin_key(a), latin_key(b)
-    return F.when((ka == "") | (kb == ""), F.lit(0.0)).otherwise(_ratio(ka, kb))
+    return let(latin_key(a), lambda ka: let(latin_key(b), lambda kb: F.when((ka == "") | (kb == ""), F.lit(0.0)).otherwise(_ratio(ka, kb))))
 
 
 def word_similarity(a: Column, b: Column) -> Column:
@@ -44,7 +44,7 @@ def best_form_ratio(fa: Column, fb: Column) -> Column:
 
 def name_forms(column: Column) -> Column:
     """The case forms of each meaningful word: array<array<string>>. Computed once per name, it carries both scores below."""
-    return F.transform(meaningful_tokens(column), word_forms)
+    return F.transform(meaningful_tokens(column), normal_word_forms)
 
 
 def _best_per_token(left: Column, right: Column) -> Column:
@@ -73,21 +73,36 @@ def actual_to_context(actual: Column, context: Column) -> Column:
     return forms_context(name_forms(actual), name_forms(context))
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    matcher, last, out = SequenceMatcher(None), None, []
-    for x, y in zip(a, b, strict=True):
-        if y != last:
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype=float)
+def _letters(texts: pd.Series) -> np.ndarray:
+    """Counts of letters in 32 buckets, a row per text."""
+    counts = np.zeros((len(texts), 32), dtype=np.int16)
+    codes, inverse = pd.factorize(texts)
+    kinds = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) & 31, minlength=32) for t in inverse], dtype=np.int16).reshape(-1, 32)
+    return kinds[codes] if len(kinds) else counts
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp likeness; sorted by b, its index is built once for each b."""
-    return _sequence_ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+def _ratios(a: pd.Series, b: pd.Series, least: float) -> pd.Series:
+    """Ratios, 0 where the letters in common rule out `least`: matched letters are at most those, so no pair that reaches it is lost."""
+    length = (a.str.len() + b.str.len()).to_numpy()
+    bound = np.where(length > 0, 2.0 * np.minimum(_letters(a), _letters(b)).sum(axis=1) / np.maximum(length, 1), 1.0)
+    out, matcher, last = np.zeros(len(a)), SequenceMatcher(None), None
+    left, right = a.to_numpy(), b.to_numpy()
+    for i in np.nonzero(bound >= least)[0]:
+        if right[i] != last:
+            matcher.set_seq2(last := right[i])
+        matcher.set_seq1(left[i])
+        out[i] = matcher.ratio()
+    return pd.Series(out)
+
+
+def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp likeness, or 0 where it cannot reach `least`; sorted by b, its index is built once for each b."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _ratios(x, y, least)
+
+    return ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 def provinces_compatible(expected: Column, actual: Column, targets: Column | None = None) -> Column:

@@ -91,9 +91,19 @@ def norm_name(column: Column) -> Column:
     return _words(clean_name(column))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def latin_key(column: Column) -> Column:
     """A spelling-blind key: j v y as i u i, ph th ch as f t c, ae oe as e, no blanks."""
-    return _replace(norm_name(column), ("j", "i"), ("v", "u"), ("y", "i"), ("ph", "f"), ("th", "t"), ("ch", "c"), ("ae", "e"), ("oe", "e"), (" ", ""))
+    return spelling_key(norm_name(column))
+
+
+def spelling_key(words: Column) -> Column:
+    """latin_key of words that are in norm_name's form already."""
+    return _replace(words, ("j", "i"), ("v", "u"), ("y", "i"), ("ph", "f"), ("th", "t"), ("ch", "c"), ("ae", "e"), ("oe", "e"), (" ", ""))
 
 
 def clean_line(column: Column) -> Column:

@@ -40,7 +40,7 @@ def province_candidates(provinces: DataFrame, names: DataFrame, cutoff: float =
     b = keyed.select("key").distinct().select("key", F.explode(grams("key")).alias("gram"))
     m, n = F.length("variant"), F.length("key")
     met = a.join(b, "gram").where(2 * F.least(m, n) / (m + n) >= cutoff).groupBy("variant", "key").agg(F.count("*").alias("shared"))
-    ratio = met.withColumn("score", F.when(F.col("variant") == F.col("key"), F.lit(1.0)).otherwise(sequence_ratio(F.col("variant"), F.col("key")))).where(F.col("score") >= cutoff)
+    ratio = met.withColumn("score", F.when(F.col("variant") == F.col("key"), F.lit(1.0)).otherwise(sequence_ratio(F.col("variant"), F.col("key"), cutoff))).where(F.col("score") >= cutoff)
     scored = variants.join(ratio, "variant").groupBy("province", "key").agg(F.max("score").alias("score"))
     best = keep_one(scored.join(keyed, "key"), ["province", "place_id"], F.desc("score"), F.asc("name"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("province").orderBy(F.desc("score"), "place_id"))).where(F.col("rank") <= top)
@@ -61,7 +61,7 @@ def probe_unmatched(targets: DataFrame, names: DataFrame, cutoff: float = 0.55,
     a = own.select("search").distinct().where("search <> ''").select("search", F.explode(grams("search")).alias("gram"))
     b = keyed.select("key").distinct().select("key", F.explode(grams("key")).alias("gram"))
     m, n = F.length("search"), F.length("key")
-    met = a.join(b, "gram").where(2 * F.least(m, n) / (m + n) >= cutoff).select("search", "key").distinct().withColumn("score", sequence_ratio(F.col("key"), F.col("search"))).where(F.col("score") >= cutoff)
+    met = a.join(b, "gram").where(2 * F.least(m, n) / (m + n) >= cutoff).select("search", "key").distinct().withColumn("score", sequence_ratio(F.col("key"), F.col("search"), cutoff)).where(F.col("score") >= cutoff)
     near = met.withColumn("n", F.row_number().over(W.partitionBy("search").orderBy(F.desc("score"), "key"))).where(F.col("n") <= close)
     second = own.join(near, "search").join(keyed, "key").select("id", F.col("search").alias("form"), "place_id", "name", F.lit(1).alias("stage"), "score")
     once = keep_one(first.unionByName(second), ["id", "place_id"], F.asc("stage"), F.desc("score"), F.asc("form"), F.asc("name"))

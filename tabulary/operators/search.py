@@ -137,22 +137,35 @@ def field_score(value: Column, term: str, field: Field) -> Column:
 
 
 class Compiler:
-    """Compiles terms and trees to (matched, score) columns over the folded fields of an index."""
+    """Compiles terms and trees to (matched, score) columns over the folded fields of an index.
+
+    Each term gets one column, the array of its scores by field, so every field is tested once however the query uses it.
+    """
 
     def __init__(self, fields: Sequence[Field]):
-        self.fields = fields
+        self.fields, self.terms = fields, {}
+
+    def scores(self, term: str) -> Column:
+        return F.col(self.terms.setdefault(term, f"_term{len(self.terms)}"))
 
-    def scores(self, term: str, scope: str) -> list[tuple[Field, Column]]:
-        return [(f, field_score(F.col(f"_{f.column}"), term, f)) for f in self.fields if scope in ("all", f.scope)]
+    def scored(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({name: F.array(*[field_score(F.col(f"_{f.column}"), term, f) for f in self.fields]) for term, name in self.terms.items()})
 
     def best(self, term: str, scope: str) -> Column:
-        scored = [c for _, c in self.scores(term, scope)]
-        return F.greatest(*scored) if len(scored) > 1 else scored[0] if scored else F.lit(None).cast("bigint")
+        if scope == "all":
+            return F.array_max(self.scores(term))
+        return F.array_max(F.array(*[F.get(self.scores(term), F.lit(i)) for i, f in enumerate(self.fields) if f.scope == scope] or [F.lit(None).cast("bigint")]))
+
+    def strong(self, term: str) -> Column:
+        """Whether the term's best field holds it as a whole or as whole words."""
+        whole = F.array(*[F.lit(750 + f.weight - (CONTEXT_PENALTY if f.scope == "context" else 0)) for f in self.fields])
+        best = self.best(term, "all")
+        return F.exists(F.zip_with(self.scores(term), whole, lambda s, w: (s == best) & (s >= w)), lambda x: F.coalesce(x, F.lit(False)))
 
     def all_terms(self, terms: Sequence[str], scope: str = "all") -> tuple[Column, Column]:
         bests = [self.best(t, scope) for t in terms]
         matched = reduce(lambda a, b: a & b, [b.isNotNull() for b in bests])
-        direct = [F.coalesce(*[c for f, c in self.scores(t, scope) if f.scope == "direct"], F.lit(None).cast("bigint")).isNotNull().cast("bigint") for t in terms]
+        direct = [(self.best(t, "direct").isNotNull() if scope != "context" else F.lit(False)).cast("bigint") for t in terms]
         total = lambda cs: reduce(lambda a, b: a + b, cs)
         weakest = F.least(*bests) if len(bests) > 1 else bests[0]
         return matched, (total(direct) * DIRECT_WEIGHT + weakest * WEAKEST_WEIGHT + total(bests)).cast("bigint")
@@ -162,13 +175,15 @@ class Compiler:
             return self.all_terms(node.value.split(), scope)
         inner = node.kind in ("in", "not_in")
         (lm, ls), (rm, rs) = self.tree(node.left, "direct" if inner else scope), self.tree(node.right, "context" if inner else scope)
-        lm, rm = F.coalesce(lm, F.lit(False)), F.coalesce(rm, F.lit(False))
         if node.kind == "not_in":
             return lm & ~rm, ls
         if node.kind == "or":
             return lm | rm, F.when(lm & rm, F.greatest(ls, rs) + OR_BONUS).when(lm, ls).otherwise(rs)
         return lm & rm, ls + rs + (IN_BONUS if inner else 0)
 
+    def hits(self, df: DataFrame, matched: Column, score: Column) -> DataFrame:
+        return self.scored(df).withColumn("score", score).where(matched)
+
 
 def index(df: DataFrame, fields: Sequence[Field] = FIELDS) -> DataFrame:
     """df with a folded column _name for each field; arrays are joined by blanks, missing columns are empty. Keep it for many queries."""
@@ -180,11 +195,10 @@ def index(df: DataFrame, fields: Sequence[Field] = FIELDS) -> DataFrame:
 def _single(df: DataFrame, term: str, compiler: Compiler) -> DataFrame:
     """Records for one term; where any matches as exact or whole words in its best field, only such records."""
     matched, score = compiler.all_terms([term])
-    fields = compiler.scores(term, "all")
-    strong = F.coalesce(*[F.when((s == compiler.best(term, "all")), (s - f.weight + (CONTEXT_PENALTY if f.scope == "context" else 0)) >= 750) for f, s in fields])
-    hits = df.withColumn("score", score).where(matched).withColumn("_strong", strong)
+    strong = compiler.strong(term)
+    hits = compiler.hits(df, matched, score).withColumn("_strong", strong)
     any_strong = hits.agg(F.bool_or("_strong").alias("_any"))
-    return hits.crossJoin(F.broadcast(any_strong)).where(F.col("_strong") | ~F.col("_any")).drop("_strong", "_any")
+    return hits.crossJoin(F.broadcast(any_strong)).where(F.col("_strong") | ~F.col("_any")).drop("_strong", "_any", *compiler.terms.values())
 
 
 def search(df: DataFrame, query: str, fields: Sequence[Field] = FIELDS, key: str = "id") -> DataFrame:
@@ -201,10 +215,10 @@ def search(df: DataFrame, query: str, fields: Sequence[Field] = FIELDS, key: str
         return df.where(F.lit(False)).select("*", F.lit(0).cast("bigint").alias("score"), one).drop(*own)
     if is_advanced(query) and (tree := parse(query)):
         matched, score = compiler.tree(tree)
-        return df.withColumn("score", score).where(matched).select("*", one).drop(*own)
+        return compiler.hits(df, matched, score).select("*", one).drop(*own, *compiler.terms.values())
     boolean = simple_boolean(found)
     if boolean and boolean[1] == "or":
-        parts = [_single(df, t, compiler).select("*", one).withColumn("_t", F.lit(t)) for t in (boolean[0], boolean[2])]
+        parts = [_single(df, t, Compiler(fields)).select("*", one).withColumn("_t", F.lit(t)) for t in (boolean[0], boolean[2])]
         merged = parts[0].unionByName(parts[1]) if boolean[0] != boolean[2] else parts[0]
         w = W.partitionBy(key)
         ranked_ = merged.withColumn("matched_terms", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "_t"))).where("_n = 1")
@@ -213,7 +227,7 @@ def search(df: DataFrame, query: str, fields: Sequence[Field] = FIELDS, key: str
     if len(terms) == 1:
         return _single(df, terms[0], compiler).select("*", one).drop(*own)
     matched, score = compiler.all_terms(terms)
-    return df.withColumn("score", score).where(matched).select("*", one).drop(*own)
+    return compiler.hits(df, matched, score).select("*", one).drop(*own, *compiler.terms.values())
 
 
 def ranked(hits: DataFrame, line: str = "line", key: str = "id") -> DataFrame:

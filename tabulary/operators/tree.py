@@ -141,57 +141,80 @@ class _Chapter:
         return (self.open[-1] if self.open else None), None, False, any(n.get("staff") for n in self.open)
 
 
+def _stream(body: DataFrame, schema: str, machine) -> DataFrame:
+    """Runs machine() -> step(row) over the lines of each chapter in order; lines stream through, so a chapter may be of any length.
+
+    Chapters are spread by (document, chapter) and sorted within the partitions; a fresh machine starts with each.
+    """
+    names = [c.split()[0] for c in re.sub(r"<[^>]*>+", "", schema).split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, step = None, None
+        for batch in batches:
+            rows = []
+            for row in zip(*[batch[c].tolist() for c in body_columns], strict=True):
+                if row[:2] != at:
+                    at, step = row[:2], machine()
+                rows.append(step(*row))
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({"parent_line": "Int32"})
+
+    body_columns = body.columns
+    return body.repartition("document", "chapter_no").sortWithinPartitions("document", "chapter_no", "line").mapInPandas(run, schema)
+
+
+def _body(lines: DataFrame, *extra: Column) -> DataFrame:
+    return lines.where("chapter_no > 0 and not is_chapter").select("document", F.col("chapter_no").cast("int").alias("chapter_no"), F.col("line").cast("int").alias("line"), *extra, "label")
+
+
 def parse_chapters(lines: DataFrame, heading_types: list[tuple[str, str]], unit_types: list[tuple[str, str]]) -> DataFrame:
-    """Nodes of every chapter by the heading stack with factory and staff modes (see NODES); a chapter is one group.
+    """Nodes of every chapter by the heading stack with factory and staff modes (see NODES).
 
     lines: with document, chapter_no, line, level, label. All state ends with the chapter, so chapters are parsed in
-    parallel; one chapter's lines must fit a task.
+    parallel.
     """
 
-    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
-        chapter, paths, rows = _Chapter(heading_types), {}, []
-        for r in pdf.sort_values("line").itertuples():
-            parent, heading, factory, suppress = chapter.add(int(r.line), r.label, int(r.level))
-            path = [*paths.get(parent["line"], [])] if parent else []
-            if parent:
-                path.append({"line": parent["line"], "type": parent["type"], "title": parent["title"]})
+    def machine():
+        chapter, paths = _Chapter(heading_types), {}
+
+        def step(document, number, line, level, label):
+            parent, heading, factory, suppress = chapter.add(line, label, level)
+            path = [*paths.get(parent["line"], []), {"line": parent["line"], "type": parent["type"], "title": parent["title"]}] if parent else []
             if heading:
                 paths[heading["line"]] = path
                 tag, kind = "group", heading["type"]
             else:
-                tag = kind = "factory" if factory else next((t for p, t in unit_types if r.label.startswith(p)), "unknown")
-            rows.append((r.document, r.chapter_no, r.line, parent["line"] if parent else None, tag, kind, r.level, heading["title"] if heading else r.label, suppress, r.label if heading and heading.get("staff") else None, path))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
-        return out.astype({"parent_line": "Int32"})
+                tag = kind = "factory" if factory else next((t for p, t in unit_types if label.startswith(p)), "unknown")
+            return document, number, line, parent["line"] if parent else None, tag, kind, level, heading["title"] if heading else label, suppress, label if heading and heading.get("staff") else None, path
+
+        return step
 
-    body = lines.where("chapter_no > 0 and not is_chapter").select("document", F.col("chapter_no").cast("int").alias("chapter_no"), F.col("line").cast("int").alias("line"), "level", "label")
-    return body.groupBy("document", "chapter_no").applyInPandas(parse, NODES)
+    return _stream(_body(lines, F.col("level")), NODES, machine)
 
 
 def adjacency(lines: DataFrame) -> DataFrame:
     """Adjacency list of the older parser: blocks close on an equal or shallower heading, entries only when something deeper was seen.
 
-    (document, chapter_no, line, parent_line, level, kind, text); one chapter is one group.
+    (document, chapter_no, line, parent_line, level, kind, text).
     """
-    schema = "document string, chapter_no int, line int, parent_line int, level int, kind string, text string"
 
-    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+    def machine():
         stack: list[list[int]] = []  # line, indent, level, whether deeper was seen
-        rows = []
-        for r in pdf.sort_values("line").itertuples():
-            block = r.label.endswith(":")
-            while stack and (r.indent <= stack[-1][1] if block else r.indent < stack[-1][1] or (r.indent == stack[-1][1] and stack[-1][3])):
+
+        def step(document, number, line, indent, label):
+            block = label.endswith(":")
+            while stack and (indent <= stack[-1][1] if block else indent < stack[-1][1] or (indent == stack[-1][1] and stack[-1][3])):
                 stack.pop()
             for open_ in stack:
-                open_[3] |= r.indent > open_[1]
+                open_[3] |= indent > open_[1]
             parent, level = (stack[-1][0], stack[-1][2] + 1) if stack else (None, 2)
-            rows.append((r.document, r.chapter_no, r.line, parent, level, "block" if block else "entry", r.label[:-1].strip() if block else r.label.rstrip(".")))
             if block:
-                stack.append([r.line, r.indent, level, 0])
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"parent_line": "Int32"})
+                stack.append([line, indent, level, 0])
+            return document, number, line, parent, level, "block" if block else "entry", label[:-1].strip() if block else label.rstrip(".")
+
+        return step
 
-    body = lines.where("chapter_no > 0 and not is_chapter").select("document", F.col("chapter_no").cast("int").alias("chapter_no"), F.col("line").cast("int").alias("line"), (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent"), "label")
-    return body.groupBy("document", "chapter_no").applyInPandas(parse, schema)
+    return _stream(_body(lines, (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent")), "document string, chapter_no int, line int, parent_line int, level int, kind string, text string", machine)
 
 
 def roman(number: Column) -> Column:

@@ -130,8 +130,9 @@ SELECT id, place_id, round(s, 6) AS similarity FROM l JOIN d USING (f) JOIN r US
 
 def sim_token_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _context(spark, sf_dir).select("declaredProvince", "gisProvince").where("declaredProvince is not null and gisProvince is not null").distinct()
-    e, a = F.col("declaredProvince"), F.col("gisProvince")
-    return pairs.select("declaredProvince", "gisProvince", F.round(Z.expected_to_actual(e, a), 6).alias("likeness"), F.round(Z.similarity(e, a), 6).alias("whole"))
+    forms = lambda c, f: pairs.select(c).distinct().select(c, Z.name_forms(F.col(c)).alias(f))
+    both = pairs.join(forms("declaredProvince", "e"), "declaredProvince").join(forms("gisProvince", "a"), "gisProvince")
+    return both.select("declaredProvince", "gisProvince", F.round(Z.forms_likeness(F.col("e"), F.col("a")), 6).alias("likeness"), F.round(Z.similarity(F.col("declaredProvince"), F.col("gisProvince")), 6).alias("whole"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.TITLE_STOPWORDS)
@@ -158,7 +159,7 @@ def sim_top2_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sim_ratio_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     provinces = table(spark, sf_dir, "province_gazetteer").select(F.col("canonicalName").alias("province")).where("province is not null").distinct()
     names = _places(spark, sf_dir).select(F.col("pleiadesId").alias("place_id"), F.col("title").alias("name")).where("name is not null").distinct()
-    return linkage.province_candidates(provinces, names, cutoff=0.55)
+    return linkage.province_candidates(provinces, names)
 
 
 def sim_probe_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
