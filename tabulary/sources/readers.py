@@ -72,3 +72,53 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def json_array_items(batches, key: str = "@graph", chunk: int = 1 << 20):
+    """Members of the array under a key of JSON files, a chunk at a time, for mapInPandas over (uri): (uri, ord, item text).
+
+    The file is never held whole: the decoder takes one member after another from a sliding buffer.
+    """
+    import json
+
+    import pandas as pd
+    from pyarrow import fs
+
+    decoder = json.JSONDecoder()
+    for batch in batches:
+        for uri in batch["uri"]:
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(path) as raw:
+                import codecs
+
+                decode, buffer, inside, rows, n = codecs.getincrementaldecoder("utf-8-sig")().decode, "", False, [], 0
+                while True:
+                    data = raw.read(chunk)
+                    buffer += decode(data, final=not data)
+                    if not inside and (at := buffer.find(f'"{key}"')) >= 0 and (start := buffer.find("[", at)) >= 0:
+                        buffer, inside = buffer[start + 1 :], True
+                    while inside:
+                        buffer = buffer.lstrip(" \r\n\t,")
+                        if buffer.startswith("]"):
+                            data, inside = b"", False
+                            break
+                        try:
+                            item, end = decoder.raw_decode(buffer)
+                        except ValueError:
+                            break
+                        rows.append((uri, n, json.dumps(item, ensure_ascii=False)))
+                        n, buffer = n + 1, buffer[end:]
+                        if len(rows) >= 5000:
+                            yield pd.DataFrame(rows, columns=["uri", "ord", "item"])
+                            rows = []
+                    if not data:
+                        break
+                yield pd.DataFrame(rows, columns=["uri", "ord", "item"])
+
+
+def json_array(spark: SparkSession, uris: list[str], key: str = "@graph") -> DataFrame:
+    """(uri, ord, item): the members of one large array per file, read in constant memory, a file a task."""
+    from functools import partial
+
+    files = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, len(uris)), "uri")
+    return files.mapInPandas(partial(json_array_items, key=key), "uri string, ord bigint, item string")

@@ -173,3 +173,15 @@ def test_streams(spark, tmp_path, data):
     stream = incremental.table_stream(spark, str(tmp_path / "in"), 1)
     incremental.drain(incremental.windowed_counts(stream, "ts", "node", late="400 days"), str(tmp_path / "out"), str(tmp_path / "c1"))
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 0
+
+
+def test_json_array_in_chunks(spark, tmp_path):
+    import json
+
+    path = tmp_path / "graph.json"
+    path.write_text("﻿" + json.dumps({"x": [1], "@graph": [{"id": i, "t": "é" * 50} for i in range(500)], "y": 2}), encoding="utf-8")
+    import pandas as pd
+
+    rows = pd.concat(readers.json_array_items(iter([pd.DataFrame({"uri": [path.as_uri()]})]), chunk=777))
+    assert len(rows) == 500 and json.loads(rows["item"].iloc[499]) == {"id": 499, "t": "é" * 50}
+    assert readers.json_array(spark, [path.as_uri()]).count() == 500
