@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import squeeze
+from tabulary.operators.relational import positions
 
 
 def entity_page(mentions: DataFrame, place: str = "place_id") -> DataFrame:
-    """(place, mentions): all mentions of a place in order of line, each with its office and unit; mentions (id, line, office, unit, place)."""
+    """(place, position, line, id, label): all mentions of a place in order of line, each with its office and unit; mentions (id, line, office, unit, place)."""
     label = squeeze(F.concat_ws(" ", "office", "unit"))
-    return mentions.where(F.col(place).isNotNull()).groupBy(place).agg(F.array_sort(F.collect_list(F.struct("line", "id", label.alias("label")))).alias("mentions"))
+    rows = mentions.where(F.col(place).isNotNull()).select(place, "line", "id", label.alias("label"))
+    return positions(rows, [place], F.asc_nulls_first("line"), F.asc("id"))
 
 
 def line_page(lines: DataFrame, parts: Sequence[str], context: Sequence[str]) -> DataFrame:
@@ -23,8 +25,8 @@ def line_page(lines: DataFrame, parts: Sequence[str], context: Sequence[str]) ->
 
 
 def container_page(children: DataFrame, parent: str, text: str, *order: str) -> DataFrame:
-    """(parent, texts): the texts of all children in order."""
-    return children.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda c: c["_t"]).alias("texts"))
+    """(parent, position, text): the texts of all children in order, a row each."""
+    return positions(children.select(parent, text, *order), [parent], *[F.asc(c) for c in (*order, text)]).select(parent, "position", text)
 
 
 def mapped_places(hits: DataFrame, places: DataFrame) -> DataFrame:

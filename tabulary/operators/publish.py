@@ -25,7 +25,7 @@ def occurrences(mentions: DataFrame, places: DataFrame) -> DataFrame:
     wanted = mentions.where("eligible and literal <> ''").select(*KEY).distinct()
     named = places.join(wanted, KEY, "left_semi").withColumn("explicit", explicit_province(F.col("literal")))
     made = named.withColumns({"expected": first_non_empty(*[F.col(c) for c in ("explicit", "direct", "hard", "soft")]), "context": F.array_join(F.filter("titles", lambda t: t != ""), " / ")})
-    return sequential_ids(made, "OCC%06d", "occurrence_id", F.asc("document"), F.asc("line"), F.asc("literal"), F.asc("source"), buckets=64)
+    return sequential_ids(made, "OCC%06d", "occurrence_id", F.asc("document"), F.asc("line"), F.asc("literal"), F.asc("source"))
 
 
 def unplaced(mentions: DataFrame, places: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def gazetteer(matches: DataFrame, places: DataFrame) -> DataFrame:
         squeeze(F.col("place_name")).alias("place_name"), "place_id", first_non_empty(F.col("title")).alias("title"), F.coalesce("latitude", "_lat").alias("latitude"), F.coalesce("longitude", "_lon").alias("longitude"), first_non_empty(F.col("feature_type"), F.col("_type")).alias("feature_type"),
         first_non_empty(F.col("description")).alias("description"), first_non_empty(F.col("uri")).alias("uri"), F.when(F.coalesce("match_type", F.lit("")) == "", "provisional").otherwise("confirmed").alias("confidence"),
     )
-    return sequential_ids(joined, "GAZ%05d", "gazetteer_id", F.lower("place_name").asc(), F.asc("place_name"), F.asc("place_id"), F.asc("latitude"), buckets=64)
+    return sequential_ids(joined, "GAZ%05d", "gazetteer_id", F.lower("place_name").asc(), F.asc("place_name"), F.asc("place_id"), F.asc("latitude"))
 
 
 def confirmed(matches: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulary.session import written
+
 
 def keep_one(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row per key, the first in order; rows with null keys form groups of their own as in GROUP BY.
@@ -22,22 +24,32 @@ def top_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def sequential_ids(df: DataFrame, pattern: str, column: str, *order: Column, buckets: int = 1024) -> DataFrame:
-    """Dense ids 1, 2, ... over a total order, written by a printf pattern.
+def positions(df: DataFrame, keys: Sequence[str], *order: Column, column: str = "position") -> DataFrame:
+    """df with the position of each row from 1 within its key, in order; equal rows need a last order column to come out alike.
 
-    The rows are range-partitioned by the order and counted per partition; only the counts, one per partition, are
-    summed up in one place. No window holds the table.
+    The rows are range-partitioned by key and order and written once, so a hot key spreads over many tasks; each part
+    is numbered by itself and shifted by the counts of the parts before it, of which a key has as many as partitions.
     """
-    spread = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_o"))
-    return spread.join(F.broadcast(offsets), "_p").withColumn(column, F.format_string(pattern, F.col("_o") + F.col("_i"))).drop("_p", "_i", "_o")
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order) if keys else df.repartitionByRange(*order)
+    spread = written(ranged.withColumn("_p", F.spark_partition_id()), "positions")
+    sizes = spread.groupBy("_p", *keys).agg(F.count("*").alias("_c"))
+    before = W.partitionBy(*keys).orderBy("_p") if keys else W.orderBy("_p")
+    offsets = sizes.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.sum("_c").over(before) - F.col("_c")).alias("_o"))
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    local = spread.withColumn("_i", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)))
+    return local.join(offsets, same).withColumn(column, F.col("_o") + F.col("_i")).drop("_p", "_q", "_i", "_o", *[f"_k{i}" for i in range(len(keys))])
+
+
+def sequential_ids(df: DataFrame, pattern: str, column: str, *order: Column) -> DataFrame:
+    """Dense ids 1, 2, ... over a total order, written by a printf pattern. No window holds the table, see `positions`."""
+    return positions(df, [], *order, column=column).withColumn(column, F.format_string(pattern, F.col(column)))
 
 
 def multimap(df: DataFrame, key: str, value: str, *order: Column) -> DataFrame:
-    """(key, values): all values of a key in order."""
-    tagged = F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)], F.col(value).alias("_v"))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(tagged)), lambda s: s["_v"]).alias("values"))
+    """(key, position, value): all values of a key in order, a row each, so a key may have any number of them."""
+    return positions(df.where(F.col(key).isNotNull()), [key], *order).select(key, "position", value)
 
 
 def unique_or_null(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -96,8 +108,6 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame
     Each round joins the nodes reached last with the edges and takes off those known; it is written to the shared
     folder, so a hub is expanded once and lineage stays short. A null node or edge end reaches nothing.
     """
-    from tabulary.session import written
-
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
     frontier = written(seeds.where("node is not null").distinct(), "closure")
     known = frontier

@@ -197,8 +197,8 @@ def _single(df: DataFrame, term: str, compiler: Compiler) -> DataFrame:
     matched, score = compiler.all_terms([term])
     strong = compiler.strong(term)
     hits = compiler.hits(df, matched, score).withColumn("_strong", strong)
-    any_strong = hits.agg(F.bool_or("_strong").alias("_any"))
-    return hits.crossJoin(F.broadcast(any_strong)).where(F.col("_strong") | ~F.col("_any")).drop("_strong", "_any", *compiler.terms.values())
+    any_strong = hits.agg(F.coalesce(F.bool_or("_strong"), F.lit(False))).scalar()
+    return hits.where(F.col("_strong") | ~any_strong).drop("_strong", *compiler.terms.values())
 
 
 def search(df: DataFrame, query: str, fields: Sequence[Field] = FIELDS, key: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from tabulary.functions.keys import number_key
 from tabulary.functions.morphology import GAZETTEER_FORMS, WORD_FORMS, gazetteer_variants
 from tabulary.operators import linkage, relational, resolve
 from tabulary.operators.pages import by_any_column, entity_page, keep_all_if_empty, mapped_places, stations
-from tabulary.plans.text_queries import _LOW, _NORM, _key, _rule_sql
+from tabulary.plans.text_queries import _FEATURE, _LOW, _NORM, _key, _rule_sql
 from tabulary.session import table
 
 _PLACE = "(SELECT DISTINCT * EXCLUDE (loadedAt) FROM pleiades_place)"
@@ -40,7 +40,7 @@ JOIN (SELECT rowId AS row_id, {_NORM('title')} AS k FROM {_PLACE}) g USING (k) W
 
 
 def join_multimap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.multimap(_places(spark, sf_dir), "title", "pleiadesId", F.col("rowId")).select("title", F.array_join("values", "|").alias("ids"))
+    return relational.multimap(_places(spark, sf_dir), "title", "pleiadesId", F.asc("rowId"))
 
 
 def join_exact_then_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +211,12 @@ def resolve_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+RESOLVE_RANK_SQL = f"""
+SELECT occurrenceId AS occ_id, rowId AS row_id, CAST(row_number() OVER (PARTITION BY occurrenceId ORDER BY CASE contextStatus WHEN 'HARD_MATCH' THEN 7 WHEN 'HARD_NEAR_MATCH' THEN 6 WHEN 'SOFT_MATCH' THEN 5 WHEN 'SOFT_NEAR_MATCH' THEN 4 WHEN 'REGION_MATCH' THEN 3 WHEN 'REGION_NEAR_MATCH' THEN 2 ELSE 0 END DESC,
+  nameSimilarity DESC, {_FEATURE} DESC, coalesce(tier, 0), rowId) AS INTEGER) AS candidate_rank FROM {_ONCE} WHERE occurrenceId IS NOT NULL
+"""
+
+
 def resolve_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).where("occ_id is not null").withColumn("has_hard", F.col("hard").isNotNull()).withColumn("context_status", F.coalesce("context_status", F.lit("NO_CONTEXT")))
     return resolve.decide(rows)
@@ -268,12 +274,12 @@ SELECT id, place_id, score FROM p QUALIFY row_number() OVER (PARTITION BY id ORD
 
 def entity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = _context(spark, sf_dir).select(F.col("rowId").alias("id"), F.col("sourceLine").alias("line"), "office", "unit", number_key("pleiadesId").alias("place_id"))
-    return entity_page(mentions).select("place_id", F.array_join(F.transform("mentions", lambda m: F.concat_ws(":", m["line"], m["id"], m["label"])), "|").alias("mentions"))
+    return entity_page(mentions).select("place_id", "position", "id", "label")
 
 
 ENTITY_SQL = f"""
-SELECT place_id, string_agg(concat_ws(':', sourceLine, rowId, trim(regexp_replace(concat_ws(' ', office, unit), '\\s+', ' ', 'g'))), '|' ORDER BY sourceLine NULLS FIRST, rowId) AS mentions
-FROM (SELECT *, TRY_CAST(TRY_CAST(trim(pleiadesId) AS DOUBLE) AS BIGINT) AS place_id FROM {_ONCE}) WHERE place_id IS NOT NULL GROUP BY 1
+SELECT place_id, row_number() OVER (PARTITION BY place_id ORDER BY sourceLine NULLS FIRST, rowId) AS position, rowId AS id, trim(regexp_replace(concat_ws(' ', office, unit), '\\s+', ' ', 'g')) AS label
+FROM (SELECT *, TRY_CAST(TRY_CAST(trim(pleiadesId) AS DOUBLE) AS BIGINT) AS place_id FROM {_ONCE}) WHERE place_id IS NOT NULL
 """
 
 
@@ -304,9 +310,8 @@ SELECT count(*) FILTER (there) AS mapped, count(*) FILTER (NOT there) AS missing
 
 
 def filter_any_province(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "place_conflict_context").agg(F.max_by("declaredProvince", "rowId").alias("p"))
-    rows = _context(spark, sf_dir).crossJoin(F.broadcast(first))
-    return by_any_column(rows, ["declaredProvince", "hardProvince", "softProvince", "expectedProvince"], F.col("p")).select(F.col("rowId").alias("row_id"))
+    wanted = table(spark, sf_dir, "place_conflict_context").agg(F.max_by("declaredProvince", "rowId")).scalar()
+    return by_any_column(_context(spark, sf_dir), ["declaredProvince", "hardProvince", "softProvince", "expectedProvince"], wanted).select(F.col("rowId").alias("row_id"))
 
 
 def filter_keep_all_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,11 +326,11 @@ QUERIES = {
     "filter_keep_all_if_empty": filter_keep_all_if_empty,
 }
 SQL = {
-    "join_exact_multimap": JOIN_EXACT_SQL, "join_multimap_lists": f"SELECT title, string_agg(pleiadesId, '|' ORDER BY rowId) AS ids FROM {_PLACE} WHERE title IS NOT NULL GROUP BY title", "join_exact_then_variant": JOIN_VARIANT_SQL, "join_prefix_rule": JOIN_PREFIX_SQL,
+    "join_exact_multimap": JOIN_EXACT_SQL, "join_multimap_lists": f"SELECT title, row_number() OVER (PARTITION BY title ORDER BY rowId) AS position, pleiadesId FROM {_PLACE} WHERE title IS NOT NULL", "join_exact_then_variant": JOIN_VARIANT_SQL, "join_prefix_rule": JOIN_PREFIX_SQL,
     "join_keep_last": "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "join_update_blanks": JOIN_UPDATE_SQL, "join_alias_closure": JOIN_CLOSURE_SQL,
     "join_scored_pick": "SELECT l_orderkey, l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END) + (CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_extendedprice DESC, l_linenumber) = 1",
     "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
-    "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
+    "resolve_rank": RESOLVE_RANK_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
     "filter_any_province": f"WITH f AS (SELECT arg_max(declaredProvince, rowId) AS p FROM place_conflict_context) SELECT DISTINCT rowId AS row_id FROM place_conflict_context, f WHERE declaredProvince = p OR hardProvince = p OR softProvince = p OR expectedProvince = p",
     "filter_keep_all_if_empty": f"SELECT rowId AS row_id FROM (SELECT *, max(CASE WHEN featureType = 'fort' THEN 1 ELSE 0 END) OVER (PARTITION BY occurrenceId) AS any_fort FROM {_ONCE}) WHERE featureType = 'fort' OR any_fort = 0",
 }

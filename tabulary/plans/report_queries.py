@@ -58,7 +58,7 @@ def top_n_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.sequential_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "GAZ%07d", "gazetteer_id", F.desc("o_totalprice"), F.asc("o_orderkey"), buckets=64).select("o_orderkey", "gazetteer_id")
+    return relational.sequential_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "GAZ%07d", "gazetteer_id", F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_orderkey", "gazetteer_id")
 
 
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,8 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of places in a case-blind order with numbers behind, lines without number last."""
-    from pyspark.sql import Window as W
-
-    rows = _context(spark, sf_dir)
-    order = W.partitionBy("document").orderBy(F.lower(F.coalesce("pleiadesName", F.lit(""))), F.coalesce("sourceLine", F.lit(999_999)), "rowId")
-    return rows.select("document", F.col("rowId").alias("row_id"), F.row_number().over(order).alias("position"))
+    rows = _context(spark, sf_dir).select("document", F.col("rowId").alias("row_id"), F.lower(F.coalesce("pleiadesName", F.lit(""))).alias("name"), F.coalesce("sourceLine", F.lit(999_999)).alias("line"))
+    return relational.positions(rows, ["document"], F.asc("name"), F.asc("line"), F.asc("row_id")).select("document", "row_id", "position")
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +226,7 @@ SQL = {
     "agg_ambiguity": AMBIGUITY_SQL,
     "top5_per_group": "SELECT l_suppkey, CAST(row_number() OVER w AS INTEGER) AS rank, l_orderkey, l_linenumber FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) QUALIFY row_number() OVER w <= 5",
     "top_n_frequency": f"SELECT chapter, count(*) AS count, min(rowId) AS first FROM {_ONCE} WHERE chapter IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT 20", "stable_ids": "SELECT o_orderkey, printf('GAZ%07d', row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)) AS gazetteer_id FROM orders",
-    "dedup_first_last": "SELECT min(rowId) AS row_id FROM place_conflict_context GROUP BY pleiadesName, latitude, longitude", "multi_key_order": f"SELECT document, rowId AS row_id, CAST(row_number() OVER (PARTITION BY document ORDER BY lower(coalesce(pleiadesName, '')), coalesce(sourceLine, 999999), rowId) AS INTEGER) AS position FROM {_ONCE}",
+    "dedup_first_last": "SELECT min(rowId) AS row_id FROM place_conflict_context GROUP BY pleiadesName, latitude, longitude", "multi_key_order": f"SELECT document, rowId AS row_id, row_number() OVER (PARTITION BY document ORDER BY lower(coalesce(pleiadesName, '')), coalesce(sourceLine, 999999), rowId) AS position FROM {_ONCE}",
     "set_distinct_union_except": SET_SQL, "render_phrase": RENDER_SQL, "render_status": RENDER_STATUS_SQL, "audit_mentions": AUDIT_SQL, "audit_eligibility": _MENTIONS + "SELECT rowId AS row_id, coalesce(issues[-1], '') AS issue FROM i",
     "audit_geography": f"SELECT placeSource, contextStatus, count(*) AS n FROM {_ONCE} GROUP BY ROLLUP (placeSource, contextStatus)", "audit_keywords": f"SELECT rowId AS row_id FROM {_ONCE} WHERE contains({_N('concat_ws(chr(32), chapter, region)')}, 'secunda') OR contains({_N('concat_ws(chr(32), chapter, region)')}, 'salutaris')",
     "audit_before_after": f"WITH s AS (SELECT CAST(pleiadesId AS BIGINT) AS key, latitude FROM (SELECT DISTINCT * EXCLUDE (loadedAt) FROM pleiades_place) QUALIFY row_number() OVER (PARTITION BY CAST(pleiadesId AS BIGINT) ORDER BY createdAt DESC, rowId DESC) = 1) SELECT 'before' AS stage, count(*) FILTER (latitude IS NULL) AS missing FROM {_ONCE} UNION ALL SELECT 'after', count(*) FILTER (coalesce(t.latitude, s.latitude) IS NULL) FROM {_ONCE} t LEFT JOIN s ON s.key = TRY_CAST(TRY_CAST(trim(t.pleiadesId) AS DOUBLE) AS BIGINT)",

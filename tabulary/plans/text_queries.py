@@ -166,6 +166,8 @@ def _prefix_sql(x: str, rules) -> str:
 
 
 _MIL = f"(trim(coalesce(unit, '')) <> '' OR regexp_matches({_NORM('chapter')}, '^(dux |comes limitis |comes britann|comes tractus )'))"
+_FEATURE = f"""CASE WHEN {_NORM('featureType')} = '' THEN 0 WHEN {_MIL} AND regexp_matches({_NORM('featureType')}, '{"|".join(R.MILITARY_WORDS)}') THEN 4 WHEN regexp_matches({_NORM('featureType')}, '{"|".join(R.SITE_WORDS)}') THEN 2
+    WHEN regexp_matches({_NORM('featureType')}, '{"|".join(R.NON_SITE_WORDS)}') THEN -2 ELSE 0 END"""
 CLASSIFY_SQL = f"""
 SELECT rowId AS row_id, {_prefix_sql('chapter', R.CHAPTERS)} AS chapter_type, {_prefix_sql('unit', R.UNITS)} AS unit_type, {_prefix_sql('region', R.HEADINGS)} AS heading_type,
   {_prefix_sql("string_split_regex(coalesce(office, ''), '\\s+')[1]", R.OFFICES)} AS office_type,
@@ -173,8 +175,7 @@ SELECT rowId AS row_id, {_prefix_sql('chapter', R.CHAPTERS)} AS chapter_type, {_
     WHEN regexp_matches(lower(concat_ws(' ', office, unit)), '\\b(dux|ducis)\\b') THEN 'dux' WHEN regexp_matches(lower(concat_ws(' ', office, unit)), '\\bcom(es|itis)\\b') THEN 'comes' WHEN coalesce(office, '') <> '' THEN 'office' ELSE 'other' END AS mention_type,
   (regexp_matches(lower({_SQ("coalesce(unit, '')")}), '^({"|".join(R.STATION_WORDS)})( |$)') OR regexp_matches(lower(coalesce(unit, '')), '\\bclassis\\b')
     OR (lower(office) IN ('praefectus', 'tribunus', 'praepositus') AND regexp_matches(lower(coalesce(unit, '')), '\\b({"|".join(R.STATION_WORDS)})\\b'))) AS station,
-  CASE WHEN {_NORM('featureType')} = '' THEN 0 WHEN {_MIL} AND regexp_matches({_NORM('featureType')}, '{"|".join(R.MILITARY_WORDS)}') THEN 4 WHEN regexp_matches({_NORM('featureType')}, '{"|".join(R.SITE_WORDS)}') THEN 2
-    WHEN regexp_matches({_NORM('featureType')}, '{"|".join(R.NON_SITE_WORDS)}') THEN -2 ELSE 0 END AS feature_score,
+  {_FEATURE} AS feature_score,
   list_has_any(string_split({_NORM('featureType')}, ' '), [{_in(R.NON_POINT_TYPES)}]) AS non_point
 FROM {_ONCE}
 """

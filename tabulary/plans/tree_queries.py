@@ -181,7 +181,7 @@ LINE_PAGE_SQL = f"SELECT rowId AS row_id, concat_ws(' / ', {', '.join(map(_P, ['
 
 
 def container_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return container_page(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", F.array_join("texts", "").alias("texts"))
+    return container_page(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +215,5 @@ SQL = {
     "join_range_lines": _LINES + "SELECT document, line, chapter_no FROM k WHERE chapter_no > 0 AND NOT is_chapter", "running_heading": RUNNING_SQL, "flat_blocks": FLAT_SQL, "owner_offices": OWNER_SQL,
     "roman_numerals": f"SELECT n, {_ROMAN} AS numeral, n AS back FROM (SELECT DISTINCT sourceLine AS n FROM place_conflict_context WHERE sourceLine BETWEEN 1 AND 3999)", "tree_validate": VALIDATE_SQL,
     "tree_orphans": _STAR + "SELECT node_id, parent_id FROM n WHERE node_id LIKE 'P%'", "node_path_context": PATH_SQL, "descendants": DESCENDANTS_SQL, "language_coalesce": PARALLEL_SQL, "line_page": LINE_PAGE_SQL,
-    "container_page": "SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS texts FROM lineitem GROUP BY 1", "xml_flatten": XML_SQL, "short_titles": SHORT_SQL,
+    "container_page": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS position, l_returnflag FROM lineitem", "xml_flatten": XML_SQL, "short_titles": SHORT_SQL,
 }

@@ -91,8 +91,9 @@ def test_search_scores(spark):
 def test_relational(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "b", 2), (None, "c", 1), (None, "d", 0)], "k int, v string, n int")
     assert {r["v"] for r in relational.keep_one(df, ["k"], F.asc_nulls_last("n")).collect()} == {"b", "d"}
-    ids = [r["id"] for r in relational.sequential_ids(df, "G%03d", "id", F.asc("v"), buckets=3).orderBy("v").collect()]
+    ids = [r["id"] for r in relational.sequential_ids(df, "G%03d", "id", F.asc("v")).orderBy("v").collect()]
     assert ids == ["G001", "G002", "G003", "G004"]
+    assert {(r["k"], r["position"], r["v"]) for r in relational.positions(df, ["k"], F.asc("v")).collect()} == {(1, 1, "a"), (1, 2, "b"), (None, 1, "c"), (None, 2, "d")}
     assert relational.keep_one(df.limit(0), ["k"], F.asc("n")).count() == 0
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), (None, "q")], "a string, b string")
     assert {r[0] for r in relational.closure(edges, spark.createDataFrame([("a",)], "node string")).collect()} == {"a", "b", "c"}
