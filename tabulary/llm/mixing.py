@@ -121,8 +121,8 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("use_no") == 1).alias("documents"), F.max("use_no").alias("most_uses"))
     goals = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"))
     both = goals.join(per, "source", "left").fillna(0, ["tokens", "documents", "most_uses"])
-    total = both.agg(F.sum("tokens").alias("total"))
-    return both.crossJoin(F.broadcast(total)).select("source", "target_share", F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0)).alias("reached_share"), "tokens", "documents", "most_uses")
+    total = both.agg(F.sum("tokens")).scalar()
+    return both.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("reached_share"), "tokens", "documents", "most_uses")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -116,9 +117,10 @@ class Detector:
         self._beside_contacts(text, found)
         kept: list[tuple[int, int, str]] = []
         for span in sorted(found, key=lambda s: (RANK[s[2]], -(s[1] - s[0]), s[0])):
-            if all(span[1] <= a or span[0] >= b for a, b, _ in kept):
-                kept.append(span)
-        return sorted(kept)
+            at = bisect(kept, span)
+            if (at == 0 or kept[at - 1][1] <= span[0]) and (at == len(kept) or kept[at][0] >= span[1]):
+                kept.insert(at, span)
+        return kept
 
     def _at(self, text: str, low: str, start: int, end: int, found: set) -> None:
         left = start - (start > 0 and text[start - 1] in "  ")
