@@ -120,7 +120,7 @@ def split_values(rows: DataFrame) -> DataFrame:
     parsed = written(rows.select(F.col("row_id").cast("bigint").alias("row_id"), "field", "text").where("text is not null").mapInPandas(_parse, PARSED), "multivalue")
     values = parsed.select("field", F.explode(F.col("dialects")[0]["parts"]).alias("value"))
     counted = values.groupBy("field", "value").agg(F.count("*").alias("n"))
-    codes = counted.join(F.broadcast(counted.groupBy("field").agg(F.sum("n").alias("total"))), "field").select("field", "value", (F.log2(F.col("total") / F.col("n")) + 1).alias("bits"))
+    codes = counted.join(counted.groupBy("field").agg(F.sum("n").alias("total")), "field").select("field", "value", (F.log2(F.col("total") / F.col("n")) + 1).alias("bits"))
     several = parsed.where(F.size("dialects") > 1)
     options = several.select("row_id", "field", F.posexplode("dialects").alias("option", "d"))
     spread = options.select("row_id", "field", "option", (F.col("d.marks") * MARK_BITS + F.col("d.stray") * STRAY_BITS).alias("head"), F.log2(F.col("d.marks") + 1.0).alias("separator"), F.explode("d.parts").alias("value"))

@@ -120,3 +120,13 @@ def test_nearest_region(spark):
     got = {r["key"]: round(r["km"], 2) for r in spatial.nearest_region(points, regions, 200.0).collect()}
     assert got[1] == 110.57 and got[2] == 1.11 and len(got) == 3
     assert {r["key"] for r in spatial.nearest_region(points, regions, 5.0).collect()} == {2}
+
+
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p5_found", "p5_report"])
+def test_odd_tables(spark, odd_tables, data, name):
+    from tabulary.plans import catalog
+
+    query = catalog.queries()[name]
+    assert query(spark, str(odd_tables["empty"])).count() == 0 and query(spark, str(odd_tables["nulls"])).count() == 0
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(query(spark, str(odd_tables["clash"]))) == rows(query(spark, data))
