@@ -230,3 +230,14 @@ def test_find_and_redact(spark):
     red = {r["doc_id"]: r["text"] for r in pii.redact(docs, names).collect()}
     assert red[1] == "Please write to [NAME] at [EMAIL] before noon." and red[2] is None and red[3] == ""
     assert pii.find(docs.limit(0), names).count() == 0 and pii.find(docs, names.limit(0)).where("pii_type = 'email'").count() == 3
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p6_found", "p7_found", "p8_mix", "p9_found", "p9_redacted", "p6_normalized"])
+def test_odd_tables(spark, odd_tables, data, name):
+    from tabulary.llm import queries
+
+    query = queries.queries()[name]
+    assert query(spark, str(odd_tables["empty"])).count() == 0
+    assert query(spark, str(odd_tables["nulls"])).where(F.coalesce(*[F.col(c).cast("string") for c in query(spark, str(odd_tables["nulls"])).columns]).isNotNull()).count() == 0
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(query(spark, str(odd_tables["clash"]))) == rows(query(spark, data))
