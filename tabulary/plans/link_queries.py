@@ -180,7 +180,7 @@ def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _context(spark, sf_dir).select(
         F.col("rowId").alias("place_id"), F.col("occurrenceId").alias("occ_id"), F.col("hardProvince").alias("hard"), F.col("softProvince").alias("soft"), F.upper("region").alias("region"), F.col("gisProvince").alias("actual"), F.col("nearestProvince").alias("nearest"), F.col("nearestKm").alias("nearest_km"),
-        F.col("contextText").alias("context_text"), F.coalesce("tier", F.lit(0)).alias("tier"), F.col("nameSimilarity").alias("similarity"), F.col("featureType").alias("feature_type"), "unit", "chapter", F.col("placeSource").alias("place_source"), F.col("contextStatus").alias("context_status"),
+        F.col("contextText").alias("context_text"), F.coalesce("tier", F.lit(0)).alias("tier"), F.col("nameSimilarity").alias("similarity"), F.col("featureType").alias("feature_type"), "unit", "chapter", F.col("placeSource").alias("place_source"), F.col("contextStatus").alias("context_status"), F.col("contextScore").alias("context_score"),
     )
     return resolve.with_feature_score(rows).withColumn("method", F.when(F.col("similarity") >= 0.999, "EXACT").otherwise("FUZZY"))
 
@@ -205,7 +205,7 @@ FROM t
 
 
 def resolve_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumn("context_score", F.lit(0.0)).where("occ_id is not null")
+    rows = _scored(spark, sf_dir).where("occ_id is not null")
     return resolve.rank_candidates(rows).select("occ_id", F.col("place_id").alias("row_id"), "candidate_rank")
 
 
