@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulary.functions.morphology import candidate_variants
-from tabulary.functions.rules import feature_score, non_point
-from tabulary.functions.similarity import AUTO_SIMILARITY, CONTEXT_THRESHOLD, MIN_MARGIN, NEAR_KM, forms_context, forms_likeness, name_forms, provinces_compatible
-from tabulary.functions.text import latin_key, norm_name
+from tabulary.functions.rules import feature_score, macro_region, non_point
+from tabulary.functions.similarity import AUTO_SIMILARITY, CONTEXT_THRESHOLD, MIN_MARGIN, NEAR_KM, best_form_ratio, forms_context, forms_likeness, name_forms, provinces_compatible
+from tabulary.functions.text import clean_name, latin_key, norm_name
 from tabulary.operators.linkage import blocked_fuzzy_join
 from tabulary.operators.relational import keep_one
 from tabulary.session import written
@@ -29,6 +29,96 @@ REGIONS = {
     "AFRICA": "AFRICA PROCONSULARIS; BYZACENA; NUMIDIA CIRTENSIS; NUMIDIA MILITIANA; MAURETANIA CAESARIENSIS; MAURETANIA SITIFENSIS; TRIPOLITANA",
     "HISPANIA": "BAETICA; LUSITANIA; TARRACONENSIS; GALLAECIA; CARTBAGINIENSIS",
 }
+# Polygon names and the forms of a province that stand for them.
+PROVINCE_ALIASES = [
+    ("ACHAIA", "achaiae"),
+    ("AEMILIA ET LIGURIA", "aemiliae; aemilia; liguriae"),
+    ("ALPES COTTIAE", "alpium cottiarum"),
+    ("ALPES GRAIAE ET POENINAE", "alpium poeninarum et graiarum"),
+    ("ALPES MARITIMAE", "alpium maritimarum"),
+    ("APULIA ET CALABRIA", "apuliae et calabriae"),
+    ("AQUITANIA I", "aquitanicae primae"),
+    ("AQUITANIA II", "aquitanicae secundae"),
+    ("ARABIA", "arabiae"),
+    ("ASIA", "asiae"),
+    ("AUGUSTA EUPHRATENSIS", "augusta eufratensi; augusta euphratensi"),
+    ("BAETICA", "baeticae"),
+    ("BELGICA I", "belgicae primae"),
+    ("BELGICA II", "belgicae secundae; balgicae secundae"),
+    ("BITHYNIA", "bithyniae"),
+    ("BRITANNIAE I AND II", "britanniae; britanniarum"),
+    ("BYZACENA", "byzacii"),
+    ("CAMPANIA", "campaniae"),
+    ("CAPPADOCIA", "cappadociae primae; cappadociae secundae"),
+    ("CARIA", "cariae"),
+    ("GALLAECIA", "callaeciae; callaecia"),
+    ("CILICIA", "ciliciae"),
+    ("CORSICA", "corsicae"),
+    ("CRETA", "cretae"),
+    ("CYPRUS", "cypri"),
+    ("DACIA MEDITERRANEA", "daciae mediterraneae"),
+    ("DACIA RIPENSIS", "daciae ripensis"),
+    ("DALMATIA", "dalmaticarum"),
+    ("DARDANIA", "dardaniae"),
+    ("EPIRUS NOVA", "epiri nouae"),
+    ("EPIRUS VETUS", "epiri ueteris"),
+    ("EUROPA", "europae"),
+    ("FLAMINIA ET PICENUM", "flaminiae et piceni annonarii; flaminia"),
+    ("GALATIA", "galatiae"),
+    ("GERMANIA I", "germaniae primae; mogontiacensis"),
+    ("GERMANIA II", "germaniae secundae"),
+    ("HAEMIMONTUS", "haemimonti"),
+    ("HELLESPONTUS", "hellesponti"),
+    ("INSULAE", "insularum"),
+    ("LIBYA INFERIOR", "libyae inferioris"),
+    ("LIBYA SUPERIOR", "libyae superioris"),
+    ("LUCANIA ET BRUTTII", "lucaniae et brittiorum"),
+    ("LUGDUNENSIS I", "lugdunensis primae"),
+    ("LUGDUNENSIS II", "lugdunensis secundae"),
+    ("LUSITANIA", "lusitaniae"),
+    ("LYCIA ET PAMPHYLIA", "lyciae; pamfyliae"),
+    ("LYDIA", "lydiae"),
+    ("MACEDONIA", "macedoniae"),
+    ("MAURETANIA SITIFENSIS", "mauretaniae sitifensis"),
+    ("MAURETANIA TINGITANA", "tingitaniae"),
+    ("MESOPOTAMIA", "mesopotamiae"),
+    ("NARBONENSIS I", "narbonensis primae"),
+    ("NARBONENSIS II", "narbonensis secundae"),
+    ("NORICUM MEDITERRANEUM", "norici mediterranei"),
+    ("NORICUM RIPENSE", "norici ripensis"),
+    ("NOVEM POPULI", "novempopulanae"),
+    ("OSRHOENE", "osroehenae; osrhoenae"),
+    ("PALAESTINA", "palaestinae"),
+    ("PAPHLAGONIA", "paflagoniae"),
+    ("PISIDIA", "pisidiae"),
+    ("PONTUS POLEMONIACUS", "ponti polemoniaci"),
+    ("PRAEVALITANA", "praeualitanae"),
+    ("RHODOPE", "rhodopae"),
+    ("SARDINIA", "saradiniae"),
+    ("SAVIA", "saviae"),
+    ("SCYTHIA", "scythiae"),
+    ("SEQUANIA", "maximae sequanorum"),
+    ("SICILIA", "siciliae"),
+    ("SYRIA COELE", "syriae"),
+    ("TARRACONENSIS", "tarraconensis"),
+    ("THEBAIS", "thebaidos"),
+    ("THESSALIA", "thessaliae"),
+    ("THRACIA", "thraciae"),
+    ("TRIPOLITANA", "tripolitanae"),
+    ("TUSCIA ET UMBRIA", "tusciae et umbriae"),
+    ("VALERIA", "valeriae; valeriae ripensis"),
+    ("VENETIA ET HISTRIA", "venetiae et histriae"),
+    ("VIENNENSIS", "viennensis"),
+    ("PANNONIA INFERIOR; PANNONIA SUPERIOR", "pannoniae"),
+    ("PANNONIA SUPERIOR", "pannoniae primae"),
+    ("PANNONIA INFERIOR", "pannoniae secundae; pannoniae secundae ripariensis"),
+    ("MOESIA SUPERIOR", "moesiae primae"),
+    ("MOESIA INFERIOR", "moesiae secundae"),
+    ("RAETIA", "raetiae; raetiae primae; raetiae secundae; raetiae primae et secundae"),
+    ("AEGYPTUS HERCULIA; AEGYPTUS IOVIA", "aegypti"),
+    ("PHOENICE; AUGUSTA LIBANENSIS", "foenicis"),
+    ("ARMENIA MINOR", "armeniae"),
+]
 
 
 def candidates(occurrences: DataFrame, names: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
@@ -54,34 +144,45 @@ def candidates(occurrences: DataFrame, names: DataFrame, anchors: DataFrame | No
     return found.unionByName(near.select(*columns))
 
 
+def _named(df: DataFrame, column: str, forms: str) -> DataFrame:
+    return written(df.select(column).distinct().withColumn(forms, name_forms(F.col(column))), "forms")
+
+
+def _with_like_words(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, name) of a (key, forms e) and b (name, forms a) that hold words 0.82 alike, by equality on the letter pairs such words share."""
+    pair = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    grams = lambda word: F.explode(F.array_distinct(F.flatten(F.transform(word, pair)))).alias("gram")
+    left, right = a.select(key, F.explode("e").alias("x")), b.select("name", F.explode("a").alias("y"))
+    words = left.select("x").distinct().select("x", grams(F.col("x"))).join(right.select("y").distinct().select("y", grams(F.col("y"))), "gram").select("x", "y").distinct()
+    alike = words.where(best_form_ratio(F.col("x"), F.col("y")) >= CONTEXT_THRESHOLD)
+    return left.join(alike, "x").join(right, "y").select(key, "name").distinct()
+
+
 def province_targets(expected: DataFrame, polygons: DataFrame, aliases: DataFrame) -> DataFrame:
     """(expected, targets): the polygon names an expected province may stand for, by alias of it or of a part joined by et, or alike in 0.82.
 
-    expected (expected), polygons (name), aliases (alias, name). Distinct names only. Words 0.82 alike have a letter
-    pair in common in one of their case forms, so names meet by equality on letter pairs and lose nothing by it.
+    expected (expected), polygons (name), aliases (alias, name). Distinct names only. The likeness of names is a mean over
+    words, so names meet by words 0.82 alike, and these by a letter pair that their case forms share; nothing is lost by it.
     """
     parts = expected.where("expected <> ''").distinct().withColumn("part", F.explode(F.array_union(F.array("expected"), F.filter(F.transform(F.split("expected", r"(?i)\bet\b"), lambda p: F.trim(p)), lambda p: p != ""))))
     by_alias = parts.withColumn("alias", norm_name(F.col("part"))).join(aliases, "alias").join(polygons, "name", "left_semi").select("expected", "name")
-    def named(df: DataFrame, column: str, forms: str) -> DataFrame:
-        return written(df.select(column).distinct().withColumn(forms, name_forms(F.col(column))), "forms")
-
-    def grams(forms: str) -> Column:
-        pair = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-        return F.explode(F.array_distinct(F.flatten(F.transform(F.flatten(forms), pair)))).alias("gram")
-
-    a, b = named(parts, "part", "e"), named(polygons, "name", "a")
-    pairs = a.select("part", grams("e")).join(b.select("name", grams("a")), "gram").select("part", "name").distinct()
-    alike = pairs.join(a, "part").join(b, "name").where(forms_likeness(F.col("e"), F.col("a")) >= CONTEXT_THRESHOLD).select("part", "name")
+    a, b = _named(parts, "part", "e"), _named(polygons, "name", "a")
+    alike = _with_like_words(a, b, "part").join(a, "part").join(b, "name").where(forms_likeness(F.col("e"), F.col("a")) >= CONTEXT_THRESHOLD).select("part", "name")
     by_score = parts.join(alike, "part").select("expected", "name")
     return by_alias.unionByName(by_score).groupBy("expected").agg(F.array_sort(F.collect_set("name")).alias("targets"))
 
 
+def geographic_chapters(chapters: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(chapter): the chapters (chapter) whose title fits the name of some polygon (name) in 0.82, which takes a word 0.82 like one of the name."""
+    a, b = _named(chapters.where("chapter <> ''"), "chapter", "e"), _named(polygons, "name", "a")
+    return _with_like_words(a, b, "chapter").join(a, "chapter").join(b, "name").where(forms_context(F.col("a"), F.col("e")) >= CONTEXT_THRESHOLD).select("chapter").distinct()
+
+
 def region_targets(region: Column) -> Column:
-    """The provinces of a large region as an array, [] for none."""
-    result = F.array().cast("array<string>")
-    for name, provinces in REGIONS.items():
-        result = F.when(F.upper(F.trim(region)) == name, F.array(*[F.lit(p.strip()) for p in provinces.split(";")])).otherwise(result)
-    return result
+    """The provinces of a large region, by its name or as a title names it, as an array, [] for none."""
+    own = F.upper(clean_name(region))
+    large = F.create_map(*[x for name, provinces in REGIONS.items() for x in (F.lit(name), F.array(*[F.lit(p.strip()) for p in provinces.split(";")]))])
+    return F.coalesce(large[own], large[macro_region(region, F.lit(""))], F.array().cast("array<string>"))
 
 
 def context_status(df: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from tabulary.functions import similarity as Z
 from tabulary.functions import text as X
 from tabulary.functions.keys import number_key
 from tabulary.functions.morphology import GAZETTEER_FORMS, WORD_FORMS, gazetteer_variants
-from tabulary.operators import linkage, relational, resolve
+from tabulary.operators import linkage, multivalue, relational, resolve
 from tabulary.operators.pages import by_any_column, entity_page, keep_all_if_empty, mapped_places, stations
 from tabulary.plans.text_queries import _FEATURE, _LOW, _NORM, _key, _rule_sql
-from tabulary.session import table
+from tabulary.session import table, written
 
 _PLACE = "(SELECT DISTINCT * EXCLUDE (loadedAt) FROM pleiades_place)"
 _ONCE = "(SELECT DISTINCT * EXCLUDE (loadedAt) FROM place_conflict_context)"
@@ -185,12 +185,26 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.with_feature_score(rows).withColumn("method", F.when(F.col("similarity") >= 0.999, "EXACT").otherwise("FUZZY"))
 
 
+def _province_targets(spark: SparkSession, sf_dir: str, expected: DataFrame) -> DataFrame:
+    """(expected, targets), with the fixed forms and every name the gazetteer packs for a province as aliases."""
+    polygons = table(spark, sf_dir, "province_polygon").select(F.col("gisProvince").alias("name")).where("name is not null").distinct()
+    gazetteer = table(spark, sf_dir, "province_gazetteer").dropDuplicates(["rowId"])
+    named = multivalue.split_values(multivalue.packed_fields(gazetteer, ["geojsonNames"])).select("row_id", F.col("value").alias("name"))
+    aliases = gazetteer.select(F.col("rowId").alias("row_id"), X.norm_name(F.col("canonicalName")).alias("alias")).join(named, "row_id").select("alias", "name")
+    fixed = spark.createDataFrame([(a, n) for names, forms in resolve.PROVINCE_ALIASES for a in forms.split("; ") for n in names.split("; ")], "alias string, name string")
+    return resolve.province_targets(expected, polygons, aliases.unionByName(fixed).distinct())
+
+
 def resolve_context_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of every candidate; targets are the polygons that carry the expected name, upper case."""
-    rows = _scored(spark, sf_dir).drop("context_status").withColumns({
-        "hard_targets": F.when(F.col("hard").isNotNull(), F.transform(F.array("hard"), lambda v: F.upper(v))), "soft_targets": F.when(F.col("soft").isNotNull(), F.transform(F.array("soft"), lambda v: F.upper(v))),
-        "region_targets": resolve.region_targets(F.col("region")), "chapter_geography": F.lit(False),
-    })
+    """Status of every candidate; targets are the polygons that the expected name may stand for."""
+    rows = _scored(spark, sf_dir).drop("context_status", "context_score")
+    targets = written(_province_targets(spark, sf_dir, rows.select("hard").unionByName(rows.select(F.col("soft").alias("hard"))).select(F.col("hard").alias("expected")).distinct()), "targets")
+    for name in ("hard", "soft"):
+        rows = rows.join(targets.select(F.col("expected").alias(name), F.col("targets").alias(f"{name}_targets")), name, "left")
+    polygons = table(spark, sf_dir, "province_polygon").select(F.col("gisProvince").alias("name")).where("name is not null")
+    regions = written(rows.select("region").where("region is not null").distinct().withColumn("region_targets", resolve.region_targets(F.col("region"))), "regions")
+    chapters = written(resolve.geographic_chapters(rows.select("chapter"), polygons).withColumn("chapter_geography", F.lit(True)), "chapters")
+    rows = rows.join(regions, "region", "left").join(chapters, "chapter", "left")
     return resolve.context_status(rows).select(F.col("place_id").alias("row_id"), "context_status", F.when(F.col("context_score") == 1.0, 1).otherwise(0).alias("full_score"))
 
 

@@ -16,3 +16,25 @@ def test_rank_uses_the_context_score(spark, tmp_path):
     rows = [row(1, "SOFT_MISMATCH", 0.1, 1.0), row(2, "SOFT_MISMATCH", 0.7, 0.9), row(3, "SOFT_MISMATCH", None, 1.0), row(4, "HARD_MATCH", 0.0, 0.8), row(5, "SOFT_MISMATCH", 0.7, 0.95)]
     ranked = link_queries.resolve_rank(spark, folder(spark, tmp_path, place_conflict_context=rows)).orderBy("candidate_rank").collect()
     assert [r["row_id"] for r in ranked] == [4, 5, 2, 1, 3]
+
+
+def test_context_status_expands_targets_and_falls_through(spark, tmp_path):
+    row = lambda i, **more: {"rowId": i, "contextText": "", **more}
+    rows = [
+        row(1, hardProvince="Belagulia maior", gisProvince="BELAGULIAE MAIOR"),  # alike
+        row(2, hardProvince="Nusquam", gisProvince="TUSCOVIA"),  # stands for the second packed name
+        row(3, hardProvince="Nusquam", gisProvince="BELAGULIAE MAIOR"),
+        row(4, hardProvince="Xyz", softProvince="Tuscovia", gisProvince="TUSCOVIA"),  # unknown, so soft
+        row(5, hardProvince="Xyz", softProvince="Qqq", region="In Italia", gisProvince="CAMPANIA"),  # unknown, so region
+        row(6, hardProvince="Xyz", chapter="Dux Tuscoviae", contextText="Dux Tuscoviae", gisProvince="TUSCOVIA"),  # unknown, so chapter
+        row(7, softProvince="Xyz", chapter="Dux Tuscoviae", nearestProvince="CAMPANIA", nearestKm=3.0, contextText="in Tuscovia"),
+        row(8, hardProvince="Xyz", chapter="Dux Alienus", gisProvince="TUSCOVIA"),
+        row(9, hardProvince="Thebaidos", nearestProvince="THEBAIS", nearestKm=1.0),  # a fixed form
+        row(10, hardProvince="Xyz"),
+    ]
+    polygons = [{"geojsonId": i, "gisProvince": n} for i, n in enumerate(("BELAGULIAE MAIOR", "TUSCOVIA", "CAMPANIA", "THEBAIS"))]
+    gazetteer = [{"rowId": 1, "canonicalName": "nusquam", "geojsonNames": '"ALIA, QUAE ET MAIOR"; TUSCOVIA'}]
+    got = link_queries.resolve_context_status(spark, folder(spark, tmp_path, place_conflict_context=rows, province_polygon=polygons, province_gazetteer=gazetteer))
+    assert [(r["context_status"], r["full_score"]) for r in got.orderBy("row_id").collect()] == [
+        ("HARD_MATCH", 1), ("HARD_MATCH", 1), ("HARD_MISMATCH", 0), ("SOFT_MATCH", 1), ("REGION_MATCH", 1), ("SOFT_MATCH", 1), ("SOFT_NEAR_MISMATCH", 0), ("NO_CONTEXT", 0), ("HARD_NEAR_MATCH", 1), ("NO_POLYGON", 0),
+    ]
