@@ -9,6 +9,7 @@ from tabulary.functions import morphology as M
 from tabulary.functions import rules as R
 from tabulary.functions import text as X
 from tabulary.operators import extract as E
+from tabulary.operators.multivalue import packed_fields, split_values
 from tabulary.session import table
 
 
@@ -241,12 +242,21 @@ FROM province_gazetteer
 """
 
 
+def _province_forms(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The fixed forms, and the names and forms of provinces in the tables: up to 1,000,000, checked."""
+    gazetteer = table(spark, sf_dir, "province_gazetteer")
+    names = gazetteer.select(F.col("canonicalName").alias("name")).union(table(spark, sf_dir, "province_polygon").select("gisProvince")).union(split_values(packed_fields(gazetteer, ["notitiaForms"])).select("value"))
+    forms = [r["form"] for r in names.select(X.folded_line(F.col("name")).alias("form")).where("form <> ''").distinct().limit(1_000_001).collect()]
+    if len(forms) > 1_000_000:
+        raise ValueError("more than 1,000,000 forms of provinces")
+    return sorted({*R.PROVINCE_FORMS, *forms})
+
+
 def extract_tail_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed places of composed unit lines: recursive phrases, an Arrow UDF over distinct lines."""
     lines = _places(spark, sf_dir).select(F.coalesce("unit", F.lit("")).alias("unit"), F.lower(F.coalesce("office", F.lit(""))).alias("office_type"), F.concat_ws(" in ", "placeName", "region").alias("tail")).distinct()
-    provinces = ["africae", "arabiae", "daciae ripensis"]
     lines = lines.withColumn("bears_station", R.station_bearing(F.col("unit"), F.col("office_type")))
-    return E.line_geography(lines, provinces).select("unit", "tail", F.posexplode("geo").alias("ord", "g")).select("unit", "tail", "ord", "g.tag", "g.value", "g.source")
+    return E.line_geography(lines, _province_forms(spark, sf_dir)).select("unit", "tail", F.posexplode("geo").alias("ord", "g")).select("unit", "tail", "ord", "g.tag", "g.value", "g.source")
 
 
 def extract_longest_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 from tests.conftest import DATA
 
-from tabulary.plans import link_queries
+from tabulary.plans import link_queries, text_queries
 
 
 def folder(spark, tmp_path, **tables):
@@ -38,3 +38,13 @@ def test_context_status_expands_targets_and_falls_through(spark, tmp_path):
     assert [(r["context_status"], r["full_score"]) for r in got.orderBy("row_id").collect()] == [
         ("HARD_MATCH", 1), ("HARD_MATCH", 1), ("HARD_MISMATCH", 0), ("SOFT_MATCH", 1), ("REGION_MATCH", 1), ("SOFT_MATCH", 1), ("SOFT_NEAR_MISMATCH", 0), ("NO_CONTEXT", 0), ("HARD_NEAR_MATCH", 1), ("NO_POLYGON", 0),
     ]
+
+
+def test_tails_are_split_at_every_known_province(spark, tmp_path):
+    row = lambda i, name, region: {"rowId": i, "unit": "Cohors prima", "placeName": name, "region": region}
+    rows = [row(1, "Amida", "Mesopotamiae"), row(2, "Ad Fontes", "Nusquam minore"), row(3, "Tuscovia", None), row(4, "Altera apuliae et calabriae", None)]
+    gazetteer = [{"rowId": 1, "canonicalName": "Nusquam minor", "notitiaForms": "Nusquam minor|Nusquam  minore"}]
+    got = text_queries.extract_tail_geo(spark, folder(spark, tmp_path, place_conflict_context=rows, province_gazetteer=gazetteer, province_polygon=[{"geojsonId": 1, "gisProvince": "TUSCOVIA"}]))
+    assert [(r["tag"], r["value"]) for r in got.orderBy("tail", "ord").collect()] == [
+        ("place", "Ad Fontes"), ("province", "Nusquam minore"), ("place", "Altera"), ("province", "apuliae et calabriae"), ("place", "Amida"), ("province", "Mesopotamiae"), ("province", "Tuscovia"),
+    ]
