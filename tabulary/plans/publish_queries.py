@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulary.functions.keys import number_key
 from tabulary.operators import publish
+from tabulary.operators.multivalue import packed_fields, split_values
 from tabulary.operators.pages import destination
 from tabulary.operators.relational import keep_one
 from tabulary.plans.text_queries import _CLEAN
@@ -92,9 +93,12 @@ SELECT diocese AS region, string_agg(DISTINCT gisProvince, '|' ORDER BY gisProvi
 
 
 def province_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    references = table(spark, sf_dir, "province_gazetteer").dropDuplicates(["rowId"]).select(F.col("rowId").alias("id"), F.regexp_extract("geojsonNames", r"^([^|;,]*)", 1).alias("name"))
+    """One row per name packed in geojsonNames, at its position; a row without any has one, at position 0."""
+    packed = packed_fields(table(spark, sf_dir, "province_gazetteer"), ["geojsonNames"]).select(F.col("row_id").alias("id"))
+    named = split_values(packed_fields(table(spark, sf_dir, "province_gazetteer"), ["geojsonNames"])).select(F.col("row_id").alias("id"), "position", F.col("value").alias("name"))
+    references = packed.join(named, "id", "left").select("id", F.coalesce("position", F.lit(0)).alias("position"), "name")
     matches = table(spark, sf_dir, "province_polygon").select(F.col("geojsonId").alias("ord"), F.col("gisProvince").alias("name"), F.col("geojsonId").cast("string").alias("polygon"))
-    return publish.province_status(references, matches)
+    return publish.province_status(references.withColumn("id", F.struct("id", "position")), matches).select("id.id", "id.position", "polygon", "status")
 
 
 _CR = lambda x: f"lower(trim(regexp_replace(regexp_replace(trim(coalesce({x}, ''), ' '), '[.:]+$', ''), '\\s+', ' ', 'g'), ' '))"

@@ -1,6 +1,6 @@
 from tests.conftest import DATA
 
-from tabulary.plans import link_queries, text_queries
+from tabulary.plans import link_queries, publish_queries, text_queries
 
 
 def folder(spark, tmp_path, **tables):
@@ -48,3 +48,12 @@ def test_tails_are_split_at_every_known_province(spark, tmp_path):
     assert [(r["tag"], r["value"]) for r in got.orderBy("tail", "ord").collect()] == [
         ("place", "Ad Fontes"), ("province", "Nusquam minore"), ("place", "Altera"), ("province", "apuliae et calabriae"), ("place", "Amida"), ("province", "Mesopotamiae"), ("province", "Tuscovia"),
     ]
+
+
+def test_every_packed_reference_is_looked_up(spark, tmp_path):
+    names = ['"TUSCOVIA, ORA"', ", CAMPANIA", "CAMPANIA / Nusquam\tTuscovia, ora", None, "“CAMPANIA”；“TUSCOVIA, ORA”", ""]
+    polygons = [{"geojsonId": 7, "gisProvince": "CAMPANIA"}, {"geojsonId": 8, "gisProvince": "TUSCOVIA, ORA"}, {"geojsonId": 9, "gisProvince": "CAMPANIA"}]
+    sf = folder(spark, tmp_path, province_gazetteer=[{"rowId": i, "geojsonNames": n} for i, n in enumerate(names)], province_polygon=polygons)
+    got = publish_queries.province_references(spark, sf).orderBy("id", "position").collect()
+    assert [(r["id"], r["polygon"]) for r in got if r["id"] != 2] == [(0, "8"), (1, "9"), (3, ""), (4, "9"), (4, "8"), (5, "")]
+    assert [r["polygon"] for r in got if r["id"] == 2][:2] == ["9", ""]
