@@ -63,5 +63,11 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of df, 0 where it has none, to size files and partitions by; it never decides what is computed."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
