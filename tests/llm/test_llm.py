@@ -39,7 +39,7 @@ def test_row_groups_are_skipped(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    frame = pd.DataFrame({"group_hash": 7, "source_table": "t", "group_key": "g", "s1": [float(x) for x in range(10_000, 0, -1)], "s2": 0.0, "s3": 0.0, "row_id": range(10_000)})
+    frame = pd.DataFrame({"source_table": "t", "group_key": "g", "s1": [float(x) for x in range(10_000, 0, -1)], "s2": 0.0, "s3": 0.0, "row_id": range(10_000)})
     pq.write_table(pa.Table.from_pandas(frame, preserve_index=False), tmp_path / "f.parquet", row_group_size=1000)
     read, original = [], pq.ParquetFile.read_row_group
     pq.ParquetFile.read_row_group = lambda self, g, *a, **k: read.append(g) or original(self, g, *a, **k)
@@ -50,6 +50,25 @@ def test_row_groups_are_skipped(spark, tmp_path):
     assert read == [0] and kept[0]["row_id"].tolist() == [0, 1, 2, 3, 4]
 
 
+def test_reader_is_linear_in_rows_of_small_groups(tmp_path):
+    """Eight times the rows of small groups take some eight times the time, and no group stays in memory."""
+    import time
+
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    seconds = {}
+    for rows in (100_000, 800_000):
+        frame = pd.DataFrame({"source_table": "t", "group_key": [f"{i // 5:08d}" for i in range(rows)], "s1": [float(9 - i % 5) for i in range(rows)], "s2": 0.0, "s3": 0.0, "row_id": range(rows)})
+        pq.write_table(pa.Table.from_pandas(frame, preserve_index=False), tmp_path / "f.parquet", row_group_size=9_999)
+        uri, start = pd.DataFrame({"uri": [(tmp_path / "f.parquet").as_uri()]}), time.perf_counter()
+        got = pd.concat(topn._skipping_reader(3)(iter([uri])))
+        seconds[rows] = time.perf_counter() - start
+        assert len(got) == rows // 5 * 3 and sorted(got["row_id"].head(9)) == sorted(i for i in got["row_id"].head(9) if i % 5 < 3)
+    assert seconds[800_000] < 16 * seconds[100_000] + 1
+
+
 # 4. canonical names
 NAMES = [(1, "Aquae Sogagarium"), (2, "Scypardeta"), (3, "Vinelseta"), (4, "Scybrymnola"), (5, "Ab"), (6, ""), (7, None)]
 
