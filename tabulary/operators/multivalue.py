@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
-from itertools import combinations
+from collections import Counter
+from collections.abc import Collection, Iterable, Iterator, Sequence
+from math import log2
 
 import pandas as pd
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +19,12 @@ from tabulary.session import table, written
 # Marks that never set values apart, besides letters, digits and blanks.
 BELONGING = ":：()（）.'’‘`´@%?!*§°ʼ[]"
 QUOTES = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "‘": "’", "'": "'"}
-#: Up to so many separating marks in one field all their subsets are tried; beyond, all but at most two of them.
-ALL_SUBSETS = 6
-CHARACTER_BITS, STRAY_BITS, MARK_BITS = 5.0, 12.0, 4.0
-PARSED = "row_id bigint, field string, dialects array<struct<marks:int,stray:int,parts:array<string>>>"
+#: The chance, before anything is counted, that a mark sets values apart.
+SEPARATES = 0.95
+CHARACTER_BITS, STRAY_BITS, PLAIN_BITS = 5.0, 20.0, 4.0
+OTHER = regex.compile(r"[^\p{L}\p{M}\p{N} :()-]")
+SPANS = "row_id bigint, field string, several boolean, plain boolean, need string, inner string, code bigint, spelled double, extra double, letters int, prior double, n int"
+VALUES = "row_id bigint, field string, position int, value string"
 
 
 def separates(ch: str) -> bool:
@@ -31,109 +36,242 @@ def separates(ch: str) -> bool:
 def scan(text: str, quoting: bool = True) -> list[tuple[str, str]]:
     """The text as pieces ('v', unquoted text), ('q', what quotation marks protect) and ('d', one separating mark)."""
     pieces: list[tuple[str, str]] = []
-    i, run, size = 0, "", len(text)
-    while i < size:
-        ch = text[i]
-        if quoting and ch in QUOTES and not run.strip():
-            end, inner, closed = i + 1, "", False
-            while end < size:
-                if text[end] in QUOTES[ch]:
-                    if ch == '"' and text[end + 1 : end + 2] == '"':
-                        inner, end = inner + '"', end + 2
-                        continue
-                    rest = text[end + 1 :].lstrip("  ")
-                    closed = not rest or separates(rest[0])
-                    if closed:
-                        break
-                inner, end = inner + text[end], end + 1
-            if closed:
-                pieces.append(("q", inner))
-                i, run = end + 1, ""
+    at, run, size, open_ended = 0, 0, len(text), set()
+
+    def put(end: int) -> None:
+        if text[run:end].strip():
+            pieces.append(("v", text[run:end]))
+
+    while at < size:
+        ch = text[at]
+        if quoting and ch in QUOTES and ch not in open_ended and not text[run:at].strip():
+            end = _closing(text, at)
+            if end >= 0:
+                inner = text[at + 1 : end]
+                pieces.append(("q", inner.replace('""', '"') if ch == '"' else inner))
+                at = run = end + 1
                 continue
+            if '""' not in text:
+                open_ended.add(ch)
         if separates(ch):
-            if run.strip():
-                pieces.append(("v", run))
+            put(at)
             pieces.append(("d", ch))
-            run = ""
-        else:
-            run += ch
-        i += 1
-    if run.strip():
-        pieces.append(("v", run))
+            run = at + 1
+        at += 1
+    put(size)
     return pieces
 
 
-def join_pieces(pieces: Sequence[tuple[str, str]], marks: frozenset[str]) -> list[str]:
-    """The values when only the given marks separate; other marks stay inside their value, and bare marks are none."""
-    values, raw, alone = [], [], []
-    for kind, part in [*pieces, ("d", "")]:
-        if kind == "d" and (part in marks or not part):
-            value = alone[0] if len(raw) == 1 and alone else "".join(raw)
-            if value.strip() and (alone or any(c.isalnum() for c in value)):
-                values.append(value.strip())
-            raw, alone = [], []
-        else:
-            raw.append(part)
-            if kind == "q":
-                alone.append(part)
-    return values
-
-
-def dialects(text: str | None) -> list[dict]:
-    """Every delimiter-and-quote parse of a field, the one with all marks and quoting first; [] for a field without values."""
+def _closing(text: str, start: int) -> int:
+    """Where the quotation that opens at start closes: before a separating mark or the end, blanks aside; -1 for nowhere."""
+    ch, end, size = text[start], start + 1, len(text)
+    while end < size:
+        if text[end] in QUOTES[ch]:
+            if ch == '"' and text[end + 1 : end + 2] == '"':
+                end += 2
+                continue
+            after = end + 1
+            while after < size and text[after] in " \u00a0":
+                after += 1
+            if after == size or separates(text[after]):
+                return end
+        end += 1
+    return -1
+
+
+def body_of(text: str | None) -> str:
+    """A field without the blanks around it and the square brackets around the whole of it."""
     body = (text or "").strip()
-    if re.fullmatch(r"\[.*\]", body, re.S):
-        body = body[1:-1].strip()
-    result, seen = [], set()
-    for quoting in (True, False):
-        if not quoting and not any(q in body for q in QUOTES):
-            break
-        pieces = scan(body, quoting)
-        found = sorted({p for k, p in pieces if k == "d"})
-        sizes = range(len(found), -1, -1) if len(found) <= ALL_SUBSETS else range(len(found), len(found) - 3, -1)
-        for size in sizes:
-            for chosen in combinations(found, size):
-                values = join_pieces(pieces, frozenset(chosen))
-                if values and tuple(values) not in seen:
-                    seen.add(tuple(values))
-                    stray = sum(v.count(q) for v in values for q in '"“”') if not quoting else 0
-                    result.append({"marks": len(chosen) + (not quoting), "stray": stray, "parts": values})
-    return result
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return body[1:-1].strip() if re.fullmatch(r"\[.*\]", body, re.S) else body
+
+
+class Regions:
+    """A field cut at every mark: regions of text with the mark after each, from which any dialect's values are joined."""
+
+    def __init__(self, pieces: Sequence[tuple[str, str]]):
+        self.marks: list[str] = []
+        self.bounds, self.quoted, parts, at, start, quoted = [], [], [], 0, 0, False
+        for kind, part in [*pieces, ("d", "")]:
+            if kind == "d":
+                self.bounds.append((start, at))
+                self.quoted.append(quoted)
+                self.marks.append(part)
+                start, quoted = at + len(part), False
+            quoted |= kind == "q"
+            parts.append(part)
+            at += len(part)
+        self.raw = "".join(parts)
+        self.others = [m.start() for m in OTHER.finditer(self.raw)]
+
+    def value(self, first: int, last: int) -> str:
+        """The value that regions first to last make together, '' when it is none: bare marks are no value."""
+        value = self.raw[self.bounds[first][0] : self.bounds[last][1]].strip()
+        return value if value and (any(self.quoted[first : last + 1]) or any(c.isalnum() for c in value)) else ""
+
+    def values(self, marks: Collection[str]) -> list[str]:
+        """The values when only the given marks separate; other marks stay inside their value."""
+        found, first = [], 0
+        for last, mark in enumerate(self.marks):
+            if not mark or mark in marks:
+                found.append(self.value(first, last))
+                first = last + 1
+        return [v for v in found if v]
+
+    def spans(self) -> Iterator[tuple[str, str, str]]:
+        """(marks that bound it, marks inside it, value) of every value that some dialect has, each place once.
+
+        A value between marks a and b holds neither, so from each region it is enough to go on to the next a and to
+        stop at the first of every other mark: at most regions times marks, whatever the number of dialects.
+        """
+        left = ""
+        for first in range(len(self.marks)):
+            inside: set[str] = set()
+            for last in range(first, len(self.marks)):
+                right = self.marks[last]
+                if right not in inside and (value := self.value(first, last)):
+                    yield "".join(sorted({left, right})), "".join(sorted(inside)), value
+                if not right or right == left:
+                    break
+                inside.add(right)
+            left = self.marks[first]
+
+
+def spelled_bits(value: str) -> float:
+    """The length of a value written letter by letter."""
+    others = len(OTHER.findall(value))
+    return (len(value) - others) * CHARACTER_BITS + others * STRAY_BITS + CHARACTER_BITS
+
+
+def readings(text: str | None) -> list[tuple[bool, Regions]]:
+    """(whether quotation marks are plain characters, regions): one or two readings of a field."""
+    body = body_of(text)
+    quoted = scan(body)
+    plain = scan(body, False) if any(q in body for q in QUOTES) else quoted
+    return [(False, Regions(quoted))] + ([(True, Regions(plain))] if plain != quoted else [])
+
+
+def field_spans(text: str | None) -> list[tuple]:
+    """Rows of SPANS without row_id and field: the distinct values of all dialects of a field and how likely each is.
+
+    The prior of a value is the chance that a dialect of the field has it, so the code book is not taken from one
+    parse: a mark separates with the chance SEPARATES. A reading that takes paired quotation marks as plain characters
+    adds nothing to the book.
+    """
+    ways = readings(text)
+    several = len(ways) > 1 or any(len(r.marks) > 1 for _, r in ways)
+    rows = []
+    for plain, regions in ways:
+        counts = Counter(regions.spans())
+        for (need, inner, value), n in counts.items():
+            extra = STRAY_BITS * sum(value.count(q) for q in '"“”') if plain else 0.0
+            prior = n * SEPARATES ** len(need) * (1 - SEPARATES) ** len(inner) * (not plain)
+            code = xxhash.xxh64_intdigest(value)
+            rows.append((several, plain, need, inner, code - (1 << 64 if code >> 63 else 0), spelled_bits(value), extra, sum(map(str.isalnum, value)), prior, n))
+    return rows
+
+
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in SPANS.split(", ")]
+    for batch in batches:
+        rows = []
+        for row_id, field, text in zip(batch["row_id"].tolist(), batch["field"].tolist(), batch["text"].tolist(), strict=True):
+            rows += [(row_id, field, *span) for span in field_spans(text)]
+            if len(rows) > 100_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+
+def cheapest(spans: Iterable[tuple[str, str, float, int, int]]) -> tuple[float, str]:
+    """(cost, marks) of the cheapest dialect of one reading, of (need, inner, bits, letters, n) of its values.
+
+    A value counts when all marks that bound it separate and none inside it does. The order of the separating marks is
+    coded by their frequencies. Branch and bound over the marks: what is settled, and for the letters not yet covered
+    the lowest bits a letter among values still possible, bound the cost from below, so the search is exact for any
+    number of marks. On a tie more marks win.
+    """
+    spans = list(spans)
+    marks = sorted({m for need, inner, *_ in spans for m in need + inner})
+    bit = {m: 1 << i for i, m in enumerate(marks)}
+    rows: dict[tuple[int, int], list] = {}
+    times = {m: max(0, sum(n for need, _, _, _, n in spans if need == m) - 1) for m in marks}  # of the values that m alone sets apart
+    for need, inner, bits, letters, n in spans:
+        row = rows.setdefault((sum(bit[m] for m in need), sum(bit[m] for m in inner)), [0.0, 0, float("inf")])
+        row[0] += bits
+        row[1] += letters
+        row[2] = min(row[2], bits / letters) if letters else row[2]
+    facts = [(need, inner, *row) for (need, inner), row in rows.items()]
+    whole = sum(letters for need, _, _, letters, _ in facts if not need)
+    best: list = [float("inf"), 0]
+
+    def search(level: int, chosen: int, refused: int, used: int, orders: float, live: list) -> None:
+        cost, covered, rate = (used * log2(used) if used else 0.0) - orders, 0, float("inf")
+        cost -= chosen.bit_count() * log2(SEPARATES) + refused.bit_count() * log2(1 - SEPARATES)
+        for need, inner, bits, letters, low in live:
+            if need & chosen == need and inner & refused == inner:
+                cost, covered = cost + bits, covered + letters
+            elif low < rate:
+                rate = low
+        if whole > covered and rate < float("inf"):
+            cost += (whole - covered) * rate
+        cost = round(cost, 6)
+        if cost > best[0] or (cost == best[0] and chosen.bit_count() + len(marks) - level <= best[1].bit_count()):
+            return
+        if level == len(marks):
+            best[:] = cost, chosen
+            return
+        mark, n = 1 << level, times[marks[level]]
+        search(level + 1, chosen | mark, refused, used + n, orders + n * log2(max(n, 1)), [f for f in live if not f[1] & mark])
+        search(level + 1, chosen, refused | mark, used, orders, [f for f in live if not f[0] & mark])
+
+    search(0, 0, 0, 0, 0.0, facts)
+    return best[0], "".join(m for m in marks if bit[m] & best[1])
+
+
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["plain", "need", "inner", "bits", "letters", "n"]
+    for batch in batches:
+        chosen = []
+        for row in zip(*[batch[c] for c in columns], strict=True):
+            options = []
+            for reading in sorted(set(row[0])):
+                cost, marks = cheapest((need, inner, bits, letters, n) for plain, need, inner, bits, letters, n in zip(*row, strict=True) if plain == reading)
+                options.append((cost + reading * PLAIN_BITS, reading, marks))
+            chosen.append(min(options))
+        yield pd.DataFrame({"row_id": batch["row_id"], "field": batch["field"], "as_plain": [c[1] for c in chosen], "marks": [c[2] for c in chosen]})
+
+
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = batch[["row_id", "field"]].copy()
-        out["dialects"] = [dialects(t) for t in batch["text"]]
-        yield out[out["dialects"].map(len) > 0]
+        rows = []
+        for row_id, field, text, plain, marks in zip(*[batch[c] for c in ("row_id", "field", "text", "as_plain", "marks")], strict=True):
+            ways = dict(readings(text))
+            rows += [(row_id, field, i, v) for i, v in enumerate(ways[bool(plain)].values(marks or ""), 1)]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in VALUES.split(", ")])
 
 
 def split_values(rows: DataFrame) -> DataFrame:
     """rows (row_id, field, text) -> (row_id, field, position, value).
 
-    Each field is parsed by every dialect it admits (which of its marks separate, whether quotation marks protect). A
-    dialect costs its marks, a separator for each value, and each value's code: by its frequency among all values of
-    the field in the table (counted over everything, from the parse with all marks), or character by character where
-    that is shorter. The cheapest dialect is taken, on a tie the one with more marks. row_id is one per row; a null,
-    empty or mark-only field has no values; position counts from 1.
+    Each field takes the cheapest of all its dialects: which of its marks separate, and whether quotation marks
+    protect. A dialect costs its marks, their order, and each value's code: by its expected frequency
+    among the values of the field over the whole table and all dialects, with its part of the entry in the code book,
+    or letter by letter where that is shorter. No parse is written out: the values that any dialect can have are listed once with a hash to look their codes up by, and
+    the search over the marks is exact for any number of them. On a tie the dialect with more marks is taken. row_id
+    is one per row; a null, empty or mark-only field has no values; position counts from 1.
     """
-    parsed = written(rows.select(F.col("row_id").cast("bigint").alias("row_id"), "field", "text").where("text is not null").mapInPandas(_parse, PARSED), "multivalue")
-    values = parsed.select("field", F.explode(F.col("dialects")[0]["parts"]).alias("value"))
-    counted = values.groupBy("field", "value").agg(F.count("*").alias("n"))
-    codes = counted.join(counted.groupBy("field").agg(F.sum("n").alias("total")), "field").select("field", "value", (F.log2(F.col("total") / F.col("n")) + 1).alias("bits"))
-    several = parsed.where(F.size("dialects") > 1)
-    options = several.select("row_id", "field", F.posexplode("dialects").alias("option", "d"))
-    spread = options.select("row_id", "field", "option", (F.col("d.marks") * MARK_BITS + F.col("d.stray") * STRAY_BITS).alias("head"), F.log2(F.col("d.marks") + 1.0).alias("separator"), F.explode("d.parts").alias("value"))
-    letters = F.length(F.regexp_replace("value", r"[^\p{L}\p{M}\p{N} :()-]", ""))
-    spelled = letters * CHARACTER_BITS + (F.length("value") - letters) * STRAY_BITS + CHARACTER_BITS
-    cost = F.least(F.coalesce("bits", spelled), spelled) + F.col("separator")
-    best = (
-        spread.join(codes, ["field", "value"], "left").groupBy("row_id", "field", "option").agg((F.sum(cost) + F.first("head")).alias("cost"))
-        .groupBy("row_id", "field").agg(F.min(F.struct(F.round("cost", 6), "option"))["option"].alias("option"))
-    )
-    chosen = several.join(best, ["row_id", "field"]).select("row_id", "field", F.col("dialects")[F.col("option")]["parts"].alias("parts"))
-    single = parsed.where(F.size("dialects") == 1).select("row_id", "field", F.col("dialects")[0]["parts"].alias("parts"))
-    return chosen.unionByName(single).select("row_id", "field", F.posexplode("parts").alias("position", "value")).select("row_id", "field", (F.col("position") + 1).cast("int").alias("position"), "value")
+    rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), "field", "text").where("text is not null")
+    spans = written(rows.mapInPandas(_spans, SPANS), "multivalue")
+    counted = spans.where("prior > 0").groupBy("field", "code").agg(F.sum("prior").alias("n"))
+    totals = counted.groupBy("field").agg(F.sum("n").alias("total"))
+    codes = counted.join(totals, "field").select("field", "code", (F.log2(F.col("total") / F.col("n")) + 1).alias("coded"), F.col("n").alias("uses"))
+    coded = F.least(F.col("coded") + F.col("spelled") / F.col("uses"), "spelled") + F.col("extra")
+    costs = spans.where("several").join(codes, ["field", "code"], "left").withColumn("bits", F.col("n") * coded)
+    own = ["row_id", "field"]
+    kinds = costs.groupBy(*own, "plain", "need", "inner", "letters").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
+    lists = kinds.withColumn("letters", F.col("letters") * F.col("n")).groupBy(*own).agg(*[F.collect_list(c).alias(c) for c in ("plain", "need", "inner", "bits", "letters", "n")])
+    dialects = lists.mapInPandas(_choose, "row_id bigint, field string, as_plain boolean, marks string")
+    return rows.join(dialects, own, "left").mapInPandas(_split, VALUES)
 
 
 FIELDS = ("notitiaForms", "sourceRefs", "geoObjectIds", "geojsonNames")

@@ -1,4 +1,8 @@
+import itertools
+import math
 import random
+import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -33,7 +37,44 @@ def test_known_values_stay_whole(spark):
 @given(st.lists(st.text("abc XYZ:,|;\"", min_size=1, max_size=8).map(str.strip).filter(bool), min_size=1, max_size=5))
 def test_quoted_round_trip(values):
     packed = " | ".join('"' + v.replace('"', '""') + '"' for v in values)
-    assert multivalue.dialects(packed)[0]["parts"] == [v.strip() for v in values]
+    plain, regions = multivalue.readings(packed)[0]
+    assert not plain and regions.values("|") == [v.strip() for v in values]
+
+
+def brute_cheapest(text, bits):
+    """(cost, values) over every subset of the marks, each parsed by cutting the text at its characters."""
+    marks = sorted({c for c in text if multivalue.separates(c)})
+    best = None
+    for size in range(len(marks), -1, -1):
+        for chosen in itertools.combinations(marks, size):
+            parts = [p.strip() for p in re.split("[" + "".join(map(re.escape, chosen)) + "]", text)] if chosen else [text.strip()]
+            values = [p for p in parts if any(c.isalnum() for c in p)]
+            alone = {m: max(0, sum(any(c.isalnum() for c in p) for p in text.split(m)) - 1) for m in marks}
+            n = sum(alone[m] for m in chosen)
+            cost = sum(map(bits, values)) + (n * math.log2(n) if n else 0) - sum(alone[m] * math.log2(alone[m]) for m in chosen if alone[m])
+            cost -= size * math.log2(multivalue.SEPARATES) + (len(marks) - size) * math.log2(1 - multivalue.SEPARATES)
+            if best is None or round(cost, 6) < best[0]:
+                best = round(cost, 6), values
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("abA :;,|/&#~\t=", max_size=24), st.dictionaries(st.text("abA ;,", min_size=1, max_size=4), st.floats(0.5, 9), max_size=6))
+def test_cheapest_dialect_is_exact(text, book):
+    """The search agrees with all 2^n dialects, for any number of marks and any code book."""
+    text = text.strip()
+    bits = lambda v: min(book.get(v, 1e9), multivalue.spelled_bits(v))
+    (_, regions), *rest = multivalue.readings(text)
+    spans = [(need, inner, n * bits(v), n * sum(map(str.isalnum, v)), n) for (need, inner, v), n in Counter(regions.spans()).items()]
+    cost, _ = multivalue.cheapest(spans)
+    want = brute_cheapest(text, bits) if any(c.isalnum() for c in text) else None
+    assert not rest and (want is None or abs(cost - want[0]) < 1e-4)
+
+
+def test_fields_of_many_marks(spark):
+    """Ten marks of which three are known to belong to a value: the parse keeps them, which no subset close to all marks would."""
+    known = ['"alpha & beta # gamma ~ delta"'] * 40
+    assert split(spark, [*known, "one; two, three| four/ five= six\tseven; alpha & beta # gamma ~ delta"])[-1] == ["one", "two", "three", "four", "five", "six", "seven", "alpha & beta # gamma ~ delta"]
 
 
 def test_empty_table(spark):
