@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
@@ -21,12 +22,19 @@ BEFORE_NAMES = (
     "utfärdat till", "avskrift av", "avskrivet av", "läst av", "ritad av", "descripsit", "scripsit", "transcripsit", "vale,", "valete,",
 )
 AFTER_NAMES = (" can be reached", " may be reached", " nås på", " har läst ", " checked the ", " lent us ")
-AT_SIGNS = ("@", "＠", "(at)", "[at]", "{at}", "<at>")
+#: What people do: stands after a name of any shape.
+SPEAKING = (" wrote ", " writes ", " said ", " says ", " told ", " replied ", " skrev ", " säger ", " sade ", " berättade ")
+AT_SIGNS = ("@", "＠", "(at)", "[at]", "{at}", "<at>", "%40")
+SPELLED_AT = (" at ", " snabel-a ")
+SCHEMES = {"mailto:": "mail", "xmpp:": "mail", "sip:": "mail", "tel:": "call", "sms:": "call", "callto:": "call", "fax:": "call"}
+PHONE_CUES = ("phone number", "phone:", "telephone:", "tel.", "tel ", "telefon ", "telefon:", "mobile:", "mobile ", "mobil:", "mobil ", "fax ", "call me on ", "call me at ", "call ", "ring me on ", "ring ", "dial ", "nås på ")
+NO_PHONE = ("folio", "fol", "f", "ff", "ms", "shelfmark", "ref", "refs", "page", "p", "pp", "inv", "line", "build", "version", "sheet", "plan", "item", "order", "catalogue", "nummer", "no", "nr", "num")
+IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
 ID_CUES = ("card", "identity", "personnummer", "personnr", "samordningsnummer", "lånekort", "passport", "ssn", "social security", "insurance n", "licence n", "license n", "id-nummer", "id number", "an id", "id no", "id:", "id (", "tessera", "account n", "kontonummer")
 STREET_ENDS = ("gatan", "gata", "vägen", "väg", "torget", "torg", "gränden", "gränd", "stigen", "backen", "allén", "straße", "strasse", "str.", "platz", "weg", "allee", "gasse", "ufer")
 STREET_WORDS = ("Street", "St.", "St", "Road", "Rd.", "Rd", "Avenue", "Ave.", "Ave", "Lane", "Ln", "Court", "Ct", "Close", "Terrace", "Hill", "Drive", "Dr.", "Way", "Square", "Sq.", "Place", "Crescent", "Gardens", "Row", "Boulevard", "Blvd")
 STREET_STARTS = ("Via", "Viale", "Piazza", "Calle", "Rua", "Avenida", "Vicolo", "Largo")
-FRENCH = ("rue", "avenue", "place", "boulevard", "chemin", "quai", "allée", "impasse")
+FRENCH = ("rue", "avenue", "av.", "place", "bd.", "bd", "boulevard", "chemin", "quai", "allée", "impasse")
 FLATS = ("Flat", "Apt", "Apt.", "Apartment", "Unit", "Suite", "Lgh")
 PARTICLES = ("van der", "van den", "van de", "van", "von der", "von", "af", "de la", "de", "den", "der", "del", "du", "di", "da", "dos", "le", "la", "zu", "zur", "ter", "ten", "av")
 FAMILY_ENDS = ("berger", "berg", "strand", "holt", "hurst", "lund", "vik", "wick", "by", "ley", "ton", "sen", "son", "der", "mar", "ow", "beck", "feldt", "feld", "gaard", "mann", "ström", "stad", "qvist", "kvist", "gren", "dal", "ham", "ford", "field", "wood", "well", "stein", "bach", "ski", "sky", "ov", "ova", "ez", "ini", "elli")
@@ -40,7 +48,10 @@ PARTICLE = rf"(?:(?i:{'|'.join(PARTICLES)}){S})*"
 FIRST = rf"(?:{WORD}(?:-{WORD})?|{INITIALS})"
 FULL = rf"(?P<first>{FIRST}){S}?(?:(?<=[  \n.])(?:{INITIALS}{S}?|{WORD}{S}(?={PARTICLE}{WORD})){{0,2}})(?<=[  \n.]){PARTICLE}(?P<family>{FAMILY})"
 TURNED = rf"{PARTICLE}(?P<family>{FAMILY}),{S}(?P<first>{FIRST})(?:{S}{INITIALS})*(?:{S}(?i:{'|'.join(PARTICLES)})(?![\p{{L}}]))?"
-NAME_AFTER = regex.compile(rf"{S}{{0,3}}(?:(?i:{'|'.join(map(regex.escape, TITLES))})\.?{S})*(?P<name>{TURNED}|{FULL})(?![\p{{L}}\p{{N}}])")
+TURNED_BEFORE = regex.compile(rf"(?<![\p{{L}}\p{{N}}-]){PARTICLE}(?P<family>{FAMILY}),{S}$")
+# Capitalised words that begin sentences and are no names.
+STARTERS = {"The", "A", "An", "This", "That", "These", "Those", "In", "On", "At", "As", "When", "Then", "Here", "There", "My", "Our", "Their", "His", "Her", "Den", "Det", "De", "En", "Ett", "När", "Här", "Saint", "St", "Pope", "King", "Emperor", "Bishop"}
+SPEAKER = regex.compile(rf"(?<![\p{{L}}\p{{N}}.@-])(?<!\p{{Lu}}[\p{{L}}'’-]*{S})(?P<name>(?P<first>{FIRST}){S}{PARTICLE}(?P<family>{FAMILY}))$")
 NAME_BEFORE = regex.compile(rf"(?<![\p{{L}}\p{{N}}.@-])(?P<name>{TURNED}|{FULL})$")
 
 LOCAL = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_+-])?$")
@@ -50,7 +61,13 @@ DOMAIN = regex.compile(rf"{GAP}?(?P<domain>[\p{{L}}\p{{N}}-]+(?:{DOT}[\p{{L}}\p{
 PHONE = regex.compile(
     rf"(?:(?:\+{GAP}?|00)[1-9]\d{{0,2}}(?:{GAP}?\(0\))?(?:{GAP}?[./-]?{GAP}?(?:\(\d{{2,5}}\)|\d{{2,5}})){{2,6}}|\+?[1-9]?{GAP}?\(0?\d{{1,4}}\)(?:{GAP}?[/.-]?{GAP}?\d{{2,4}}){{1,5}}|0\d{{1,4}}{GAP}?[/-]?{GAP}?\d{{2,3}}(?:[-.]?{GAP}?\d{{2,3}}){{0,4}}|0\d{{6,11}}|\d{{3}}-\d{{4}})(?![\d]|[-/.:]\d|\p{{L}})"
 )
-ID = regex.compile(r"(?<![\p{L}\p{N}])(?:[A-Z]{1,3}[ -]?|[a-z]{1,3}-)?\d(?:[ -]?\d){5,13}(?:[ -]?[A-Z])?(?![\p{L}\p{N}]|-\d)")
+ID = regex.compile(r"(?<![\p{L}\p{N}])(?:[A-Z]{1,3}[ -]?|[a-z]{1,3}-)?\d(?:[ -]?\d){5,}+(?:[ -]?[A-Z](?![\p{L}\p{N}]))?(?![\p{L}\p{N}]|-\d)")
+LONG = regex.compile(r"(?<![\p{L}\p{N}.,/+-])(?<![\p{N}][ ])\d(?:[ -]?\d){11,}+(?![\p{L}\p{N}]|[-./]\d)")
+IBAN = regex.compile(r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z\d]){11,30}(?![\p{L}\p{N}])")
+LOOSE_PHONE = regex.compile(r"(?:\+|00)?\(?\d(?:[ ./-]?[()]?\d){5,}+(?![\p{L}\p{N}]|[-./]\d)")
+NATIONAL_PHONE = regex.compile(r"(?:\(\d{3}\)[ ]?|\d{3}(?P<mark>[-. ]))\d{3}(?(mark)(?P=mark)|[-. ])\d{4}(?![\p{L}\p{N}]|[-./ ]\d)")
+SPELLED_LOCAL = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}_-]+(?:[ ](?:dot|punkt|punctum)[ ][\p{L}\p{N}_-]+)*$", regex.I)
+SPELLED_DOMAIN = regex.compile(r"(?P<domain>[\p{L}\p{N}-]+(?:[ ](?:dot|punkt|punctum)[ ][\p{L}\p{N}-]+)*[ ](?:dot|punkt|punctum)[ ]\p{L}{2,})(?![\p{L}\p{N}])", regex.I)
 ID_SHAPES = regex.compile(r"(?<![\p{L}\p{N}./-])(?:(?:19|20)?\d{6}[-+]\d{4}|\d{3}-\d{2}-\d{4}|[A-Za-z]{2}[ -]\d{3}[ -]\d{3}[ -]\d|[A-Z]{2}\d{6}-?\d)(?![\p{L}\p{N}]|[-./]\d)")
 TOWN = rf"\p{{Lu}}[\p{{L}}-]+(?:{GAP}\p{{Lu}}[\p{{L}}-]+)?"
 CODE = rf"(?:\d{{3}}{GAP}\d{{2}}|\d{{4,5}}|[A-Z]{{1,2}}\d[A-Z\d]?{GAP}\d[A-Z]{{2}})"
@@ -65,9 +82,6 @@ STREET = (
 FLAT = rf"(?:(?:{'|'.join(map(regex.escape, FLATS))}){S}\d+[a-zA-Z]?,?{S})"
 ADDRESS = regex.compile(rf"(?<![\p{{L}}\p{{N}}]){FLAT}?{STREET}{TAIL}")
 STREET_END = regex.compile(rf"(?:{'|'.join(map(regex.escape, STREET_ENDS))})$", regex.I)
-FAMILY_SHAPE = regex.compile(rf"(?:{'|'.join(FAMILY_ENDS)})$", regex.I)
-
-NO_FIRST = {*TITLES, *(p.split()[-1] for p in BEFORE_NAMES), "med", "kind", "best", "vänliga"}
 
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id": "[ID]", "addr": "[ADDRESS]"}
 RANK = {"email": 0, "addr": 1, "id": 2, "phone": 3, "name": 4}
@@ -80,10 +94,62 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def luhn(digits: str) -> bool:
+    """Whether the last digit is the check digit of the others, as on cards and in Swedish personal numbers."""
+    twice = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+
+
+def iban_holds(text: str) -> bool:
+    """Whether the check digits of an account number hold: 1 modulo 97 with the country and check digits last."""
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _back(text: str, at: int, words: int) -> int:
+    """Where the last `words` words before `at` begin: the grammars hold so many at most, of any length."""
+    for _ in range(words):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _forth(text: str, at: int, words: int) -> int:
+    """Where the next `words` words after `at` end."""
+    size = len(text)
+    for _ in range(words):
+        while at < size and text[at].isspace():
+            at += 1
+        while at < size and not text[at].isspace():
+            at += 1
+    return at
+
+
+@dataclass(frozen=True)
+class Cues:
+    """The word lists a detector goes by, for texts of other kinds or languages."""
+
+    titles: Sequence[str] = TITLES
+    before_names: Sequence[str] = BEFORE_NAMES
+    after_names: Sequence[str] = AFTER_NAMES
+    speaking: Sequence[str] = SPEAKING
+    family_ends: Sequence[str] = FAMILY_ENDS
+    ids: Sequence[str] = ID_CUES
+    phones: Sequence[str] = PHONE_CUES
+    no_phones: Sequence[str] = NO_PHONE
+
+
 class Detector:
     """Finds anchors of all types in one pass of an automaton and parses around each."""
 
-    def __init__(self, given_names: Iterable[str] = ()):
+    def __init__(self, given_names: Iterable[str] = (), cues: Cues | None = None):
+        self.cues = cues or Cues()
+        self.shape = regex.compile(rf"(?:{'|'.join(map(regex.escape, self.cues.family_ends))})$", regex.I)
+        self.no_first = {*self.cues.titles, *(p.split()[-1] for p in self.cues.before_names), "med", "kind", "best", "vänliga"}
+        title = "|".join(map(regex.escape, self.cues.titles))
+        self.name_after = regex.compile(rf"{S}{{0,3}}(?:(?i:{title})\.?{S})*(?P<name>{TURNED}|{FULL})(?![\p{{L}}\p{{N}}])")
         anchors: dict[str, set[str]] = {}
 
         def add(kind: str, *texts: str) -> None:
@@ -93,11 +159,16 @@ class Detector:
         add("at", *AT_SIGNS)
         self.given = {n.lower() for n in given_names if n and n.strip()}
         add("given", *self.given)
-        add("before", *[t + s for t in (*TITLES, *BEFORE_NAMES) for s in (" ", "\n")], *[t + ". " for t in TITLES if t[-1] != "."])
-        add("after", *AFTER_NAMES)
-        add("id", *ID_CUES)
+        add("before", *[t + s for t in (*self.cues.titles, *self.cues.before_names) for s in (" ", "\n")], *[t + ". " for t in self.cues.titles if t[-1] != "."])
+        add("after", *self.cues.after_names)
+        add("speaks", *self.cues.speaking)
+        add("id", *self.cues.ids)
         add("street", *STREET_ENDS, *[" " + w.lower() for w in STREET_WORDS], *[w.lower() + " " for w in STREET_STARTS], *[" " + w + " " for w in FRENCH], *[w.lower() + " " for w in FLATS])
         add("phone", "+", *[c + "0" for c in " \n([: "], *[f"({d}" for d in range(1, 10)])
+        add("spelled", *SPELLED_AT)
+        add("call", *self.cues.phones, *[t for t, kind in SCHEMES.items() if kind == "call"])
+        add("mail", *[t for t, kind in SCHEMES.items() if kind == "mail"])
+        add("iban", *[c.lower() + str(d) for c in IBAN_COUNTRIES for d in range(10)])
         add("dash", *[f"{d}-" for d in range(10)])
         self.automaton = ahocorasick.Automaton()
         for text, kinds in anchors.items():
@@ -114,6 +185,7 @@ class Detector:
                 getattr(self, f"_{kind}")(text, low, start, end, found)
         if text[:1] == "0":
             self._number(text, 0, found)
+        self._long_numbers(text, found)
         self._beside_contacts(text, found)
         kept: list[tuple[int, int, str]] = []
         for span in sorted(found, key=lambda s: (RANK[s[2]], -(s[1] - s[0]), s[0])):
@@ -124,31 +196,65 @@ class Detector:
 
     def _at(self, text: str, low: str, start: int, end: int, found: set) -> None:
         left = start - (start > 0 and text[start - 1] in "  ")
-        local = LOCAL.search(text, max(0, left - 64), left)
+        base = left
+        while base and (text[base - 1].isalnum() or text[base - 1] in "._%+-"):
+            base -= 1
+        local = LOCAL.search(text, base, left)
         domain = DOMAIN.match(text, end)
         if local and domain and local.end() == left:
             found.add((local.start(), domain.end(), "email"))
 
+    def _spelled(self, text: str, low: str, start: int, end: int, found: set) -> None:
+        """An address with every mark written as a word: only where the domain has a spelled dot."""
+        domain = SPELLED_DOMAIN.match(text, end)
+        local = domain and SPELLED_LOCAL.search(text, _back(text, start, 9), start)
+        if local:
+            found.add((local.start(), domain.end(), "email"))
+
+    def _mail(self, text: str, low: str, start: int, end: int, found: set) -> None:
+        at = text.find("@", end, _forth(text, end, 1))
+        if at > 0:
+            self._at(text, low, at, at + 1, found)
+
+    def _call(self, text: str, low: str, start: int, end: int, found: set) -> None:
+        """A number right after a scheme or a cue may have any layout."""
+        if start and text[start - 1].isalnum():
+            return
+        at = end
+        while at < len(text) and text[at] in " :":
+            at += 1
+        match = LOOSE_PHONE.match(text, at)
+        if match and 7 <= sum(map(str.isdigit, match.group())) <= 15:
+            found.add((match.start() + (match.group()[0] == "(" and ")" not in match.group()), match.end(), "phone"))
+
+    def _iban(self, text: str, low: str, start: int, end: int, found: set) -> None:
+        match = IBAN.match(text, start)
+        while match and not iban_holds(match.group()):
+            match = IBAN.fullmatch(text, start, start + match.group().rfind(" ")) if " " in match.group() else None
+        if match:
+            found.add((*match.span(), "id"))
+
     def _given(self, text: str, low: str, start: int, end: int, found: set) -> None:
         if (start and (text[start - 1].isalnum() or text[start - 1] in "-@._")) or (end < len(text) and (text[end].isalnum() or text[end] in "@_")) or not text[start].isupper():
             return
-        match = NAME_AFTER.match(text, start)
+        match = self.name_after.match(text, start)
         if match and match.start("name") == start and match.group("first") and self._fits(match, text):
             found.add((*match.span("name"), "name"))
             return
-        turned = regex.search(rf"(?<![\p{{L}}\p{{N}}-]){PARTICLE}(?P<family>{FAMILY}),{S}$", text[max(0, start - 60) : start])
-        if turned and FAMILY_SHAPE.search(turned["family"].split("-")[-1]):
-            match = NAME_AFTER.match(text, max(0, start - 60) + turned.start())
+        base = _back(text, start, 4)
+        turned = TURNED_BEFORE.search(text, base, start)
+        if turned and self.shape.search(turned["family"].split("-")[-1]):
+            match = self.name_after.match(text, turned.start())
             if match and match.start("first") == start:
                 found.add((*match.span("name"), "name"))
 
     def _fits(self, match: regex.Match, text: str, cued: bool = False) -> bool:
         first, family = match.group("first"), match.group("family")
-        if first.lower() in NO_FIRST or first.lower() + "." in NO_FIRST:
+        if first.lower() in self.no_first or first.lower() + "." in self.no_first:
             return False
         if match.group("name").find(",") >= 0 and not (cued or first.lower() in self.given):
             return False
-        shaped = bool(FAMILY_SHAPE.search(family.split("-")[-1]))
+        shaped = bool(self.shape.search(family.split("-")[-1]))
         if first.isupper() and len(first) > 2 and not first.endswith("."):
             return family.isupper() and shaped
         if family.isupper() or family.lower() in self.given:
@@ -158,17 +264,23 @@ class Detector:
     def _before(self, text: str, low: str, start: int, end: int, found: set) -> None:
         if start and text[start - 1].isalnum():
             return
-        match = NAME_AFTER.match(text, end - 1)
+        match = self.name_after.match(text, end - 1)
         if match and self._fits(match, text, cued=True):
             found.add((*match.span("name"), "name"))
 
     def _after(self, text: str, low: str, start: int, end: int, found: set) -> None:
         self._name_ending(text, start, found)
 
+    def _speaks(self, text: str, low: str, start: int, end: int, found: set) -> None:
+        """Two names of any shape before a verb of speech, when no other name-like word goes before them."""
+        match = SPEAKER.search(text, _back(text, start, 4), start)
+        if match and match.group("first").lower() not in self.no_first and match.group("first") not in STARTERS and not match.group("family").isupper():
+            found.add((*match.span("name"), "name"))
+
     def _name_ending(self, text: str, end: int, found: set) -> None:
-        base = max(0, end - 70)
+        base = _back(text, end, 7)
         for match in NAME_BEFORE.finditer(text[base:end], overlapped=True):
-            if FAMILY_SHAPE.search(match.group("family").split("-")[-1]) and self._fits(match, text, cued=True):
+            if self.shape.search(match.group("family").split("-")[-1]) and self._fits(match, text, cued=True):
                 found.add((base + match.start("name"), base + match.end("name"), "name"))
                 return
 
@@ -183,10 +295,22 @@ class Detector:
         if start and text[start - 1].isalnum():
             return
         stop = regex.compile(r"[.;\n](?!\S)|\n").search(text, end)
-        match = ID.search(text, end, min(len(text), stop.start() if stop else end + 60, end + 60))
+        match = ID.search(text, end, stop.start() if stop else len(text))
+        if match and match.start() > _forth(text, end, 8):
+            return
         if match and sum(c.isdigit() for c in match.group()) >= 6 and not regex.search(r"[@+(]", text[end : match.start()].replace("(", "", 1)):
             found.add((*match.span(), "id"))
 
+    def _long_numbers(self, text: str, found: set) -> None:
+        """Numbers whose check digit shows what they are: cards of 13 to 19 digits, personal numbers of 12; and 3-3-4 phone numbers."""
+        for match in LONG.finditer(text):
+            digits = "".join(filter(str.isdigit, match.group()))
+            if len(digits) <= 19 and (len(digits) > 12 or digits[:2] in ("19", "20")) and luhn(digits[-10:] if len(digits) == 12 else digits):
+                found.add((*match.span(), "id"))
+        for match in NATIONAL_PHONE.finditer(text):
+            if not match.start() or text[match.start() - 1] not in ".,/+-" and not text[match.start() - 1].isalnum() and text[_back(text, match.start(), 1) : match.start()].strip(" .:;,(").lower() not in self.cues.no_phones:
+                found.add((*match.span(), "phone"))
+
     def _dash(self, text: str, low: str, start: int, end: int, found: set) -> None:
         base = max(0, start - 9)
         for pattern, kind in ((ID_SHAPES, "id"), (PHONE, "phone")):
@@ -216,12 +340,14 @@ class Detector:
             found.add((*shape.span(), "id"))
             return
         match = PHONE.match(text, at)
+        if match and match.group().isdigit() and match.group().startswith("0") and text[_back(text, at, 1) : at].strip(" .:;,(").lower() in self.cues.no_phones:
+            return
         if match and 7 <= sum(c.isdigit() for c in match.group()) <= 16:
             found.add((*match.span(), "phone"))
 
     def _street(self, text: str, low: str, start: int, end: int, found: set) -> None:
-        base = max(0, start - 60)
-        for match in ADDRESS.finditer(text, base, min(len(text), end + 90)):
+        base = _back(text, start, 8)
+        for match in ADDRESS.finditer(text, base, _forth(text, end, 10)):
             if match.start() <= start and match.end() >= end - 1:
                 found.add((*match.span(), "addr"))
 
@@ -241,16 +367,16 @@ def _detector(given_names: DataFrame) -> list[str]:
     return sorted(names)
 
 
-def find(documents: DataFrame, given_names: DataFrame) -> DataFrame:
+def find(documents: DataFrame, given_names: DataFrame, cues: Cues | None = None) -> DataFrame:
     """(doc_id, pii_type, pii_text), one row per document and distinct string, for documents (doc_id, text).
 
-    given_names: one column, at most MAX_NAMES values (checked), which only adds anchors. Whole texts are scanned in
+    given_names: one column, at most MAX_NAMES values (checked), which only adds anchors. cues: other word lists. Whole texts are scanned in
     one pass each; only rows with text reach Python. Null and empty texts hold nothing.
     """
     names = _detector(given_names)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(names)
+        detector = Detector(names, cues)
         for batch in batches:
             rows = dict.fromkeys((doc, kind, text[a:b]) for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True) for a, b, kind in detector.spans(text))
             if rows:
@@ -259,12 +385,12 @@ def find(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''").mapInPandas(scan, "doc_id bigint, pii_type string, pii_text string")
 
 
-def redact(documents: DataFrame, given_names: DataFrame) -> DataFrame:
+def redact(documents: DataFrame, given_names: DataFrame, cues: Cues | None = None) -> DataFrame:
     """(doc_id, text) with typed placeholders in the place of personal information; null stays null, empty stays empty."""
     names = _detector(given_names)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(names)
+        detector = Detector(names, cues)
         for batch in batches:
             yield batch.assign(text=[t and detector.redact(t) for t in batch["text"]])
 

@@ -6,7 +6,7 @@ from tabulary.llm import canonical, glyphs, leaks, mixing, pii, topn
 
 
 def queries():
-    return {"p1_found": topn.found, "p4_found": canonical.found, "p6_found": glyphs.found, "p6_normalized": glyphs.normalized, "p7_found": leaks.found, "p8_mix": mixing.p8_mix, "p8_shares": mixing.p8_shares, "p9_found": pii.found, "p9_redacted": pii.redacted}
+    return {"p1_found": topn.found, "p4_found": canonical.found, "p6_found": glyphs.found, "p6_normalized": glyphs.normalized, "p7_found": leaks.found, "p7_near": leaks.near, "p8_mix": mixing.p8_mix, "p8_shares": mixing.p8_shares, "p9_found": pii.found, "p9_redacted": pii.redacted}
 
 
 def oracle_sql():
