@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Mapping
+
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,117 +18,190 @@ from tabulary.session import table, written
 # Letters and marks that look like others, and what they look like, place by place.
 LOOKALIKE = "АВЕЅІЈКМНОРСТХУаеѕіјорсхуԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲϳ‐‑"
 LOOKS_LIKE = "ABESIJKMHOPCTXYaesijopcxydhqwABEZHIKMNOPTYXvopcj--"
-#: Combining marks whose clusters are compiled in advance: the common accents above and below.
-MARKS = [chr(c) for c in (*range(0x300, 0x315), 0x31B, *range(0x323, 0x333))]
+# Further letters of that kind, by script: Armenian, Cherokee, Coptic, Lisu and letters of phonetic script.
+MORE_LOOKALIKE = "օՕոսհցՏᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃⲞⲟⲤⲥⲢⲣꓐꓚꓓꓰꓖꓧꓙꓗꓡꓟꓠꓳꓑꓢꓔꓦꓪꓫꓬꓜɡıοᴏᴄᴠᴡᴢꜱ"
+MORE_LOOKS_LIKE = "oOnuhgSABCDEHJKLMPSTVWZOoCcPpBCDEGHJKLMNOPSTVWXYZgıoocvwzs"
+#: Kinds of Unicode compatibility forms that differ in width, style or place in a word only; circled, raised or squared forms look different.
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
+#: Marks whose clusters are compiled in advance; clusters of other or of more than two marks are composed before the pass.
+ABOVE, BELOW = [chr(c) for c in (*range(0x300, 0x30D), 0x30F, 0x311, 0x313, 0x314)], [chr(c) for c in (0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)]
+RARE = regex.compile(rf"\p{{M}}{{3}}|[^\P{{M}}{''.join(ABOVE + BELOW)}\u034f\ufe00-\ufe0f]")
+#: What does not show: format characters and variation selectors, save joiners and selectors where they do show.
+UNSEEN = regex.compile(
+    r"(?:(?<![\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}])\u200c|\u200c(?![\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}])|(?<![\p{Extended_Pictographic}\ufe0f\p{Emoji_Modifier}\p{Arabic}\p{Ccc=Virama}])\u200d|\u200d(?![\p{Extended_Pictographic}\p{Arabic}\p{L}])"
+    r"|(?<!\p{Extended_Pictographic})[\ufe00-\ufe0f]|(?![\u200c\u200d\U000e0020-\U000e007f])\p{Cf}|\u034f)+"
+)
+MAY_BE_UNSEEN = regex.compile(r"[\p{Cf}\u034f\ufe00-\ufe0f]")
 #: Text of this form is already consistent and passes through untouched.
-CONSISTENT = r"^(?:[!-~À-ɏΆ-ώ–—‘’“”…]+(?: [!-~À-ɏΆ-ώ–—‘’“”…]+)*)?$"
+CONSISTENT = r"^(?:[!-~À-ıĴ-ĿŁ-ňŊ-ǃǍ-ǰǴ-ɏΆ-ώ–—‘’“”…]+(?: [!-~À-ıĴ-ĿŁ-ňŊ-ǃǍ-ǰǴ-ɏΆ-ώ–—‘’“”…]+)*)?$"
+
+
+def confusables(lines: Iterable[str]) -> dict[str, str]:
+    """The mapping in a file of Unicode's confusables format, `source ; target ; kind # comment` in hexadecimal; one character to one or more."""
+    pairs = {}
+    for line in lines:
+        parts = line.split("#")[0].split(";")
+        if len(parts) >= 2:
+            source, target = ("".join(chr(int(c, 16)) for c in p.split()) for p in parts[:2])
+            pairs[source] = target
+    return pairs
 
 
 class Transducer:
-    """A mapping of character sequences, compiled into one longest-match pattern over grapheme clusters.
+    """A mapping of grapheme clusters, compiled into one automaton that takes the longest match at each place in one pass.
 
-    The mapping is computed in advance: full-width and joined letters, look-alikes, blanks, characters that do not
-    show, and clusters of a letter with a mark. Compiling fails when one sequence would get two outputs or when an
-    output would itself be changed, so a single pass reaches a form that a second pass leaves alone.
+    The mapping is computed when it is built: look-alikes (table: the fixed ones, or any other passed as data), the
+    compatibility forms that look the same, letters that Unicode writes in two ways, and clusters of each letter with one or two
+    marks in every order and composition. Building fails when one sequence would get two outputs, or when any output
+    would itself be changed, so one pass reaches a form that a second leaves alone.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, table: Mapping[str, str] | None = None) -> None:
         self.map: dict[str, str] = {}
-        single = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-        for c in (*range(0xFB00, 0xFB07), *range(0x2160, 0x2180)):
-            single[chr(c)] = unicodedata.normalize("NFKC", chr(c))
-        for a, b in zip(LOOKALIKE, LOOKS_LIKE, strict=True):
-            self.add(a, b)
-        for a, b in single.items():
+        self.table = dict(zip(LOOKALIKE + MORE_LOOKALIKE, LOOKS_LIKE + MORE_LOOKS_LIKE, strict=True)) if table is None else dict(table)
+        self.table = {a: b for a, b in self.table.items() if a != b}
+        for a, b in self.table.items():
             self.add(a, b)
-        self.single = dict(self.map)
-        bases = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x370, 0x400), *range(0x400, 0x460))] + list(single)
-        for base in bases:
-            for mark in MARKS:
-                self.add(base + mark, unicodedata.normalize("NFC", self.single.get(base, base) + mark))
-        for c in (*range(0xC0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)):
-            parts = unicodedata.normalize("NFD", chr(c))
-            base = self.single.get(parts[0], parts[0])
-            if len(parts) > 1 and (out := unicodedata.normalize("NFC", base + parts[1:])) != chr(c):
-                self.add(chr(c), out)
+        self._same_look()
+        for base in sorted({unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0x41, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))} | {a for a in self.table if len(a) == 1}):
+            if unicodedata.category(base)[0] == "L":
+                self._clusters(base)
+        for high in ABOVE:
+            for low in BELOW:
+                self.add(high + low, low + high)
+        self.automaton = ahocorasick.Automaton()
         for sequence, out in self.map.items():
-            if self._cluster(out) != out and len(out) == 1:
-                raise ValueError(f"{sequence!r} becomes {out!r}, which is itself mapped")
-        special = "".join(sorted({s for s in self.map if len(s) == 1}))
-        self.words: dict[str, str] = {}
-        self.pattern = regex.compile(r"[" + regex.escape(special) + r"][\p{M}\p{Cf}]*|[^\p{M}\p{Cf}][\p{M}\p{Cf}]+|[\p{M}\p{Cf}]+")
+            self.automaton.add_word(sequence, (len(sequence), out))
+        self.automaton.make_automaton()
+        self.back = {script: {b: a for a, b in zip(LOOKALIKE, LOOKS_LIKE, strict=True) if lo <= a <= hi} for script, lo, hi in (("Cyrillic", "\u0400", "\u052f"), ("Greek", "\u0370", "\u03ff"))} if table is None else {}
+        for out in set(self.map.values()):
+            if self.one_pass(out)[0] != out:
+                raise ValueError(f"the output {out!r} is itself mapped to {self.one_pass(out)[0]!r}")
 
     def add(self, sequence: str, out: str) -> None:
         if self.map.setdefault(sequence, out) != out:
             raise ValueError(f"{sequence!r} would become both {self.map[sequence]!r} and {out!r}")
 
-    def _cluster(self, cluster: str) -> str:
-        if cluster in self.map:
-            return self.map[cluster]
-        shown = "".join(c for c in cluster if unicodedata.category(c) != "Cf" and not 0xFE00 <= ord(c) <= 0xFE0F and c != "\u034f")
-        if shown in self.map or not shown:
-            return self.map.get(shown, "")
-        parts = unicodedata.normalize("NFD", shown)
-        return unicodedata.normalize("NFC", self.single.get(parts[0], parts[0]) + parts[1:])
-
-    def word(self, word: str) -> str:
-        """The form of a word: every cluster that may change goes through the mapping, once. Words already seen are kept."""
-        form = self.words.get(word)
-        if form is None:
-            form = self.pattern.sub(lambda m: self._cluster(m.group()), word)
-            if len(self.words) >= 200_000:
-                self.words.clear()
-            self.words[word] = form
-        return form
+    def _letters(self, text: str) -> str:
+        """text with its letters replaced by what they look like, composed."""
+        return unicodedata.normalize("NFC", "".join(self.table.get(c, c) for c in unicodedata.normalize("NFD", text)))
+
+    def _same_look(self) -> None:
+        for code in range(0xA0, 0x20000):
+            char = chr(code)
+            kind, *_ = unicodedata.decomposition(char).split(" ") or [""]
+            joined = kind == "<compat>" and unicodedata.category(char)[0] in "LN" and char not in "ſ" and not 0x370 <= code < 0x400 and not 0x2070 <= code < 0x20A0 or char == "µ"
+            if char in self.table or not kind or unicodedata.category(char)[0] in "ZM":
+                continue
+            if kind in SAME_LOOK or joined or not kind.startswith("<"):
+                out = self._letters(unicodedata.normalize("NFKC" if kind.startswith("<") else "NFC", char))
+                if out != char and not any(unicodedata.category(c)[0] in "ZM" and kind.startswith("<") for c in out):
+                    self.add(char, out)
+
+        for code in range(0xFF66, 0xFF9E):
+            for mark in "\uff9e\uff9f":
+                if len(out := unicodedata.normalize("NFKC", chr(code) + mark)) == 1:
+                    self.add(chr(code) + mark, out)
+
+    def _clusters(self, base: str) -> None:
+        marks = ABOVE + BELOW
+        own = [m for m in marks if len(unicodedata.normalize("NFC", base + m)) == 1 or base in self.table and len(self._letters(base + m)) == 1]
+        for first in marks:
+            self._ways(base, first)
+        for first in own:
+            for second in marks:
+                if second != first:
+                    self._ways(base, first, second)
+                    if unicodedata.combining(first) != unicodedata.combining(second):
+                        self._ways(base, second, first)
+
+    def _ways(self, base: str, *marks: str) -> None:
+        out = self._letters(base + "".join(marks))
+        for sequence in {base + "".join(marks), *([unicodedata.normalize("NFC", base + marks[0]) + marks[1]] if len(marks) > 1 else [])}:
+            if sequence != out:
+                self.add(sequence, out)
+
+    def one_pass(self, text: str) -> tuple[str, bool]:
+        """The text with every longest match replaced, and whether a mark follows a replaced character that has no cluster with it."""
+        parts, at, again = [], 0, False
+        for last, (size, out) in self.automaton.iter_long(text):
+            parts += (text[at : last + 1 - size], out)
+            at = last + 1
+            again |= at < len(text) and unicodedata.combining(text[at]) > 0
+        return "".join([*parts, text[at:]]) if at else text, again
+
+    def _own_script(self, word: str) -> str:
+        """A Cyrillic or Greek word whole in its script: one with letters only that script has, and none that only Latin has."""
+        for script, back in self.back.items():
+            if SCRIPT[script].search(word):
+                parts = unicodedata.normalize("NFD", word)
+                if not any(c.isalpha() and c not in back and not SCRIPT[script].match(c) for c in parts):
+                    return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in parts))
+        return word
 
     def __call__(self, text: str) -> str:
-        return " ".join(filter(None, map(self.word, text.split())))
+        if MAY_BE_UNSEEN.search(text):
+            text = UNSEEN.sub("", text)
+        if RARE.search(text):
+            text = unicodedata.normalize("NFC", text)
+        text, again = self.one_pass(text)
+        if again:
+            text = self.one_pass(unicodedata.normalize("NFC", text))[0]
+        words = text.split()
+        if self.back and OTHER_SCRIPT.search(text):
+            words = [self._own_script(w) for w in words]
+        return " ".join(words)
 
 
-_transducer: Transducer | None = None
+SCRIPT = {"Cyrillic": regex.compile(r"\p{Cyrillic}"), "Greek": regex.compile(r"\p{Greek}")}
+OTHER_SCRIPT = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 
 
-def one_form(text: str | None) -> str | None:
-    """The consistent form of one text; null stays null."""
-    global _transducer
-    if text is None:
-        return None
-    _transducer = _transducer or Transducer()
-    return _transducer(text)
+@functools.cache
+def compiled() -> Transducer:
+    """The transducer of the fixed table, built once in the driver and sent to the tasks as it is."""
+    return Transducer()
 
 
-@F.pandas_udf(T.StringType())
-def _one_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    transducer = Transducer()
-    for texts in batches:
-        yield texts.map(transducer, na_action="ignore")
+def one_form(text: str | None) -> str | None:
+    """The consistent form of one text; null stays null."""
+    return None if text is None else compiled()(text)
 
 
-def consistent(column: Column | str) -> Column:
+def consistent(column: Column | str, table: Mapping[str, str] | None = None) -> Column:
     """The consistent form of a text column: normal width, precomposed accents, Latin letters for look-alikes, single blanks.
 
-    Case, accents, letters and punctuation stay. Only texts that hold something to change go through Python; text that
-    looks the same gets the same form, whatever it consists of. Null stays null, and text of blanks becomes empty.
+    Case, accents, letters and punctuation stay; words with letters that only Cyrillic or Greek has stay in that script whole. Joiners
+    stay where they show (emoji, Arabic and Indic words). Only texts that hold something to change go through Python;
+    text that looks the same gets the same form, whatever it consists of. Null stays null, and text of blanks becomes
+    empty. table: other look-alikes than the fixed ones, as `confusables` reads them.
     """
     text = F.col(column) if isinstance(column, str) else column
-    latin = text.rlike(CONSISTENT) & ~text.rlike("[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορΆΈΉΊΌΎΪΫό]")
-    return F.when(latin, text).otherwise(_one_form(F.when(~latin, text)))
+    transducer = compiled() if table is None else Transducer(table)
+
+    @F.pandas_udf(T.StringType())
+    def formed(texts: pd.Series) -> pd.Series:
+        return texts.map(transducer, na_action="ignore")
+
+    latin = text.rlike(CONSISTENT) & ~text.rlike("[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορΆΈΉΊΌΎΪΫό]") if table is None else F.lit(False)
+    return F.when(latin, text).otherwise(formed(F.when(~latin, text)))
 
 
 def look_alikes(rows: DataFrame) -> DataFrame:
     """(field, row_id_a, row_id_b) of rows (group_key, field, row_id, value) of one group whose values look alike but differ.
 
     Groups of one form whose values are all the same characters are dropped after a pre-aggregation and never
-    expanded; only forms with two or more spellings are joined with themselves. The forms are written once, so no
-    text is brought into form twice. Null groups or values are out.
+    expanded; only forms with two or more spellings are joined with themselves, by a hash of the form that is then verified. The forms are
+    written once, so no text is brought into form twice. The result holds every pair of a group and form, so it grows
+    with the square of the rows that share both: of an occurrence some dozens, never of the table. Null groups or
+    values are out.
     """
-    formed = written(rows.where("group_key is not null and value is not null").withColumn("form", consistent("value")), "forms")
-    keys = ["group_key", "field", "form"]
-    mixed = formed.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*keys)
-    kept = formed.join(mixed, keys, "left_semi")
-    a = kept.select(*keys, F.col("row_id").alias("row_id_a"), F.col("value").alias("value_a"))
-    b = kept.select(*keys, F.col("row_id").alias("row_id_b"), F.col("value").alias("value_b"))
-    return a.join(b, keys).where("row_id_a < row_id_b and value_a <> value_b").select("field", "row_id_a", "row_id_b")
+    formed = written(rows.where("group_key is not null and value is not null").withColumn("form", consistent("value")).withColumn("h", F.xxhash64("group_key", "field", "form")), "forms")
+    mixed = formed.groupBy("h").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select("h")
+    kept = formed.join(mixed, "h", "left_semi")
+    a, b = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("group_key", "field", "form", "row_id", "value")]) for side in "ab")
+    same = (F.col("group_key_a") == F.col("group_key_b")) & (F.col("field_a") == F.col("field_b")) & (F.col("form_a") == F.col("form_b"))
+    return a.join(b, "h").where(same & (F.col("row_id_a") < F.col("row_id_b")) & (F.col("value_a") != F.col("value_b"))).select(F.col("field_a").alias("field"), "row_id_a", "row_id_b")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:

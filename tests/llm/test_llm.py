@@ -113,10 +113,28 @@ def test_one_form():
     assert glyphs.one_form(None) is None and all(glyphs.one_form(glyphs.one_form(a)) == glyphs.one_form(a) for pair in same for a in pair)
 
 
-def test_conflicting_mapping_is_refused():
-    t = glyphs.Transducer()
+def test_wider_coverage():
+    """Canonical singletons, half-width forms, styled letters, joiners that show, whole words of other scripts."""
+    same = [("\u212b", "Å"), ("\u2126", "Ω"), ("\u212a", "K"), ("ｶﾞｷ", "ガキ"), ("𝐀𝐛", "Ab"), ("𝐚\u0301", "á"), ("Ⅳ", "IV"), ("А\u0301", "Á"), ("Mocквa", "Москва"), ("сор", "cop"), ("Όρος", "Ό\u03c1oς"), ("ấ", "a\u0302\u0301"), ("\u1ea1\u0301", "a\u0301\u0323"), ("q\u0304\u0323", "q\u0323\u0304"), ("a\u0323\u0304\u0301", "ạ\u0304\u0301")]
+    assert all(glyphs.one_form(a) == glyphs.one_form(b) for a, b in same)
+    kept = ["می\u200cخواهم", "👨\u200d👩\u200d👧", "❤\ufe0f", "क्\u200dष", "Москва", "Όρος", "①", "x²", "ſ", "…"]
+    assert all(glyphs.one_form(t) == t for t in kept)
+    assert glyphs.one_form("a\u200db\u200cc\ufe0f\u00adx\u200e") == "abcx"
+
+
+def test_longest_match_decides():
+    """A letter that is mapped alone and in clusters takes the longest of them."""
+    t = glyphs.compiled()
+    assert [t.map[k] for k in ("а", "а\u0301", "а\u0302\u0301")] == ["a", "á", "ấ"] and t("а а\u0301 а\u0302\u0301") == "a á ấ"
+
+
+def test_other_tables_and_conflicts():
+    table = glyphs.confusables(["# comment", "0430 ; 0061 ; MA # а", "0030 ;\t004F ;\tMA\t", ""])
+    assert table == {"а": "a", "0": "O"} and glyphs.Transducer(table)("0а") == "Oa"
+    with pytest.raises(ValueError):
+        glyphs.compiled().add("А", "B")
     with pytest.raises(ValueError):
-        t.add("А", "B")
+        glyphs.Transducer({"a": "b", "b": "c"})
 
 
 def test_jvm_shortcut_agrees(spark):
