@@ -232,3 +232,11 @@ v AS (SELECT 'placeName' AS field, rowId, occurrenceId, placeName AS value FROM
 f AS (SELECT *, {_FORM_SQL.replace('{0}', 'value')} AS form FROM v)
 SELECT a.field, a.rowId AS row_id_a, b.rowId AS row_id_b FROM f a JOIN f b ON a.field = b.field AND a.occurrenceId = b.occurrenceId AND a.form = b.form AND a.rowId < b.rowId AND a.value <> b.value
 """
+_WORD_SQL = """CASE WHEN regexp_matches(w, '[Ͱ-Ͽἀ-῿]') AND NOT regexp_matches(w, '[CDFGJLQRSUVWabdefghiklmnqrstuwxyz]')
+  THEN translate(w, 'ABEZHIKMNOPTYXvopcjÁÉÍÓÝó', 'ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲϳΆΈΊΌΎό') ELSE w END"""
+NORMALIZED_SQL = f"""
+WITH once AS (SELECT DISTINCT rowId, placeName, contextText FROM place_conflict_context),
+v AS (SELECT 'placeName' AS field, rowId AS row_id, placeName AS value FROM once WHERE placeName IS NOT NULL UNION ALL SELECT 'contextText', rowId, contextText FROM once WHERE contextText IS NOT NULL),
+f AS (SELECT row_id, field, {_FORM_SQL.replace('{0}', 'value')} AS form FROM v)
+SELECT row_id, field, array_to_string(list_transform(string_split(form, ' '), lambda w: {_WORD_SQL}), ' ') AS form FROM f
+"""

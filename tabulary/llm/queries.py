@@ -10,4 +10,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"p1_found": topn.FOUND_SQL, "p4_found": canonical.FOUND_SQL, "p6_found": glyphs.FOUND_SQL, "p7_found": leaks.FOUND_SQL}
+    return {"p1_found": topn.FOUND_SQL, "p4_found": canonical.FOUND_SQL, "p6_found": glyphs.FOUND_SQL, "p6_normalized": glyphs.NORMALIZED_SQL, "p7_found": leaks.FOUND_SQL}
