@@ -217,48 +217,88 @@ def rank_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("candidate_rank", F.row_number().over(W.partitionBy("occ_id").orderBy(*order)))
 
 
+#: The kinds of evidence, by status: direct and near matches of each strength, contradicted, and open (neither).
+EVIDENCE = {"HARD_MATCH": "hard", "HARD_NEAR_MATCH": "hard_near", "SOFT_MATCH": "soft", "SOFT_NEAR_MATCH": "soft_near", "REGION_MATCH": "region", "REGION_NEAR_MATCH": "region_near"}
+FEATURE_SCORES = (4, 2, 0, -2)
+
+
+def _evidence(df: DataFrame) -> DataFrame:
+    """One row per occurrence with, for each kind of evidence, its candidates counted by feature score and its best one."""
+    status = F.col("context_status")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for p in EVIDENCE.items() for x in p])[status], F.when(status.endswith("MISMATCH"), "miss").otherwise("open"))
+    best = F.struct((-F.col("feature_score")).alias("f"), (-F.coalesce("similarity", F.lit(0.0))).alias("s"), "tier", "place_id", "method", F.coalesce("place_source", F.lit("")).alias("source"), F.col("context_status").contains("NEAR").alias("near"))
+    per = df.withColumn("kind", kind).groupBy("occ_id", "kind").agg(
+        *[F.count_if(F.col("feature_score") == v).alias(f"n{i}") for i, v in enumerate(FEATURE_SCORES)], F.min(best).alias("best"), F.max("has_hard").alias("has_hard"),
+        F.count_if(status.isin("HARD_MISMATCH", "HARD_NEAR_MISMATCH")).alias("hard_miss"), F.count_if(status == "HARD_UNVERIFIED").alias("hard_open"),
+    )
+    facts = F.map_from_entries(F.collect_list(F.struct("kind", F.struct(F.array("n0", "n1", "n2", "n3").alias("n"), "best"))))
+    return per.groupBy("occ_id").agg(facts.alias("e"), F.max("has_hard").alias("has_hard"), F.sum("hard_miss").alias("hard_miss"), F.sum("hard_open").alias("hard_open"))
+
+
+def _pool(kinds: Column) -> Column:
+    """The candidates of some kinds of evidence together: how many, by feature score, and the best; null for none."""
+    parts = F.array_compact(F.transform(kinds, lambda k: F.col("e")[k]))
+    none = F.array(*[F.lit(0).cast("bigint")] * len(FEATURE_SCORES))
+    counts = F.aggregate(parts, none, lambda acc, p: F.zip_with(acc, p["n"], lambda x, y: x + y))
+    return F.when(F.size(parts) > 0, F.struct(counts.alias("n"), F.aggregate(counts, F.lit(0).cast("bigint"), lambda x, y: x + y).alias("size"), F.array_min(F.transform(parts, lambda p: p["best"])).alias("best")))
+
+
+def _by_feature(pool: Column) -> Column:
+    """Whether the best of two or more stands out by its feature: alone at the top, at 4 with a lead of 2, or at 2 above the negative."""
+    values = F.flatten(F.transform(pool["n"], lambda n, i: F.array_repeat(F.array(*[F.lit(v) for v in FEATURE_SCORES])[i], F.least(n, F.lit(2)).cast("int"))))
+    top, second = F.get(values, F.lit(0)), F.get(values, F.lit(1))
+    clear = (top > second) & (((top >= 4) & (top - second >= 2)) | ((top >= 2) & (second < 0)))
+    return F.coalesce((pool["size"] >= 2) & clear & (_sure(pool) != ""), F.lit(False))
+
+
+def _sure(pool: Column) -> Column:
+    return F.when(pool["best"]["method"] == "EXACT", "EXACT").when(-pool["best"]["s"] >= AUTO_SIMILARITY, "FUZZY").otherwise("")
+
+
 def decide(df: DataFrame) -> DataFrame:
     """Per occurrence: chosen place with match_type, and whether it is a conflict or ambiguous.
 
-    df: scored candidates (occ_id, place_id, method, similarity, tier, context_status, feature_score, place_source,
-    has_hard). The evidence is counted per occurrence in one window; then one CASE decides in this order: a single
-    hard match (near if there is no other), a conflict of a single candidate, a single soft match, a single region
-    match, the clear winner by feature among compatible candidates, and a single candidate that nothing contradicts.
-    A lone near-alike candidate below 0.90 that its context confirms is chosen without a type, as documented.
-    Output: (occ_id, outcome, place_id, match_type, is_conflict), outcome MATCH or AMBIGUOUS.
+    df: scored candidates (occ_id, place_id, method, similarity, tier, context_status, feature_score of
+    FEATURE_SCORES, place_source, has_hard). Candidates are counted by kind of evidence in a partial aggregation, eight
+    rows an occurrence at most, whatever its candidates; the decision is an expression over these. With a hard province
+    the pool is its direct matches, else its near ones; without, the soft ones, else those of the region. A pool of
+    one is the match; of several the one that stands out by its feature is, first within the pool, then among all direct and
+    near matches of the strongest kind, or, where nothing matches, among candidates that nothing contradicts. A sole
+    candidate is the match when nothing contradicts it, or as a conflict when its hard province does. A lone
+    near-alike candidate below 0.90 that its context confirms is chosen without a type, as documented. Output: (occ_id,
+    outcome, place_id, match_type, is_conflict), outcome MATCH or AMBIGUOUS.
     """
-    by = W.partitionBy("occ_id")
-    status = F.col("context_status")
-    n = lambda *names: F.count_if(status.isin(*names)).over(by)
-    counted = df.withColumns({
-        "n_all": F.count("*").over(by), "hard_own": n("HARD_MATCH"), "hard_near": n("HARD_NEAR_MATCH"), "hard_miss": n("HARD_MISMATCH", "HARD_NEAR_MISMATCH"), "hard_open": n("HARD_UNVERIFIED"),
-        "soft_own": n("SOFT_MATCH"), "soft_near": n("SOFT_NEAR_MATCH"), "reg_own": n("REGION_MATCH"), "reg_near": n("REGION_NEAR_MATCH"), "open": F.count_if(~status.endswith("MISMATCH")).over(by),
-    })
-    hard_pool = F.when(F.col("hard_own") > 0, status == "HARD_MATCH").otherwise(status == "HARD_NEAR_MATCH") & F.col("has_hard")
-    soft_pool = F.when(F.col("soft_own") > 0, status == "SOFT_MATCH").otherwise(status == "SOFT_NEAR_MATCH")
-    reg_pool = F.when(F.col("reg_own") > 0, status == "REGION_MATCH").otherwise(status == "REGION_NEAR_MATCH")
-    hard_n = F.when(~F.col("has_hard"), 0).when(F.col("hard_own") > 0, F.col("hard_own")).otherwise(F.col("hard_near"))
-    soft_n = F.when(F.col("soft_own") > 0, F.col("soft_own")).otherwise(F.col("soft_near"))
-    reg_n = F.when(F.col("reg_own") > 0, F.col("reg_own")).otherwise(F.col("reg_near"))
-    pool = F.when(hard_pool & (hard_n > 0), 3).when(soft_pool & (soft_n > 0) & (hard_n == 0), 2).when(reg_pool & (reg_n > 0) & (hard_n == 0) & (soft_n == 0), 1).when(~status.endswith("MISMATCH") & (hard_n + soft_n + reg_n == 0), 0).otherwise(-1)
-    pooled = counted.withColumns({"hard_n": hard_n, "soft_n": soft_n, "reg_n": reg_n, "pool": pool})
-    best = W.partitionBy("occ_id", "pool").orderBy(F.desc("feature_score"), F.desc("similarity"), F.asc("tier"), F.asc("place_id"))
-    whole = W.partitionBy("occ_id", "pool")
-    top = F.max("feature_score").over(whole)
-    ahead = pooled.withColumns({"_n": F.row_number().over(best), "pool_n": F.count("*").over(whole), "top": top}).withColumn("ties", F.count_if(F.col("feature_score") == F.col("top")).over(whole)).withColumn("second", F.max(F.when(F.col("feature_score") < F.col("top"), F.col("feature_score"))).over(whole))
-    safe = (F.col("pool_n") >= 2) & (F.col("ties") == 1) & (((F.col("top") >= 4) & (F.col("top") - F.col("second") >= 2)) | ((F.col("top") >= 2) & (F.col("second") < 0))) & ((F.col("method") == "EXACT") | (F.col("similarity") >= AUTO_SIMILARITY))
-    sure = F.when(F.col("method") == "EXACT", "EXACT").when(F.col("similarity") >= AUTO_SIMILARITY, "FUZZY").otherwise("")
-    near = F.when(status.contains("NEAR"), F.lit("NEAR_")).otherwise(F.lit(""))
-    typed = lambda prefix: F.when(sure == "", "").otherwise(F.concat(F.lit(prefix), near, sure))
-    no_context = (F.col("open") == 1) & ((F.col("method") == "EXACT") | ((sure != "") & (F.coalesce("place_source", F.lit("")) != "limes")))
-    by_pool = F.when(F.col("pool") >= 2, typed("CONTEXT_")).when(F.col("pool") == 1, typed("REGION_")).when((F.col("pool") == 0) & no_context, F.concat(sure, F.lit("_NO_CONTEXT")))
-    alone = F.when(F.col("pool_n") == 1, by_pool)
-    conflict = F.col("has_hard") & (F.col("hard_n") == 0) & (F.col("hard_miss") > 0) & (F.col("hard_open") == 0)
-    lone_conflict = conflict & (F.col("n_all") == 1) & (F.col("pool") == -1) & (sure != "")
-    kind = F.when(lone_conflict, F.concat(F.lit("CONTEXT_CONFLICT_"), sure)).otherwise(F.coalesce(alone, F.when(safe & (F.col("pool") >= 0), F.concat(F.lit("FEATURE_"), sure))))
-    chosen = ahead.withColumn("kind", F.when((F.col("_n") == 1) & ((F.col("pool") >= 0) | lone_conflict), kind)).withColumn("is_conflict", conflict)
-    picked = chosen.groupBy("occ_id").agg(F.max("is_conflict").alias("is_conflict"), F.max_by(F.when(F.col("kind").isNotNull(), F.struct("place_id", "kind")), F.when(F.col("kind").isNotNull(), F.col("pool"))).alias("c"))
-    return picked.select("occ_id", F.when(F.col("c").isNotNull(), "MATCH").otherwise("AMBIGUOUS").alias("outcome"), F.col("c.place_id").alias("place_id"), F.col("c.kind").alias("match_type"), "is_conflict")
+    kinds = lambda *names: F.array(*[F.lit(n) for n in names])
+    has = lambda name: F.col("e")[name].isNotNull()
+    direct_or_near = lambda name: F.when(has(name), kinds(name)).otherwise(kinds(f"{name}_near"))
+    either = lambda name: has(name) | has(f"{name}_near")
+    own = F.when(F.col("has_hard"), direct_or_near("hard")).when(either("soft"), direct_or_near("soft")).otherwise(direct_or_near("region"))
+    wide = F.when(either("hard"), kinds("hard", "hard_near")).when(either("soft"), kinds("soft", "soft_near")).when(either("region"), kinds("region", "region_near")).otherwise(kinds("open"))
+    facts = _evidence(df.withColumn("has_hard", F.coalesce("has_hard", F.lit(False)))).withColumns({"own": _pool(own), "wide": _pool(wide), "all": _pool(F.map_keys("e"))})
+    facts = facts.withColumn("is_conflict", F.col("has_hard") & ~either("hard") & (F.col("hard_miss") > 0) & (F.col("hard_open") == 0))
+    sure, near = _sure(F.col("own")), F.when(F.col("own.best.near"), "NEAR_").otherwise("")
+    prefix = F.when(~F.col("has_hard") & ~either("soft"), "REGION_").otherwise("CONTEXT_")
+    sole, sure_sole = F.col("all.size") == 1, _sure(F.col("all"))
+    stands_alone = sole & (F.col("e")["miss"].isNull()) & ((sure_sole == "EXACT") | ((sure_sole == "FUZZY") & (F.col("all.best.source") != "limes")))
+    pick = lambda pool, kind: F.struct(F.col(f"{pool}.best.place_id").alias("place_id"), kind.alias("match_type"))
+    choice = (
+        F.when(F.col("own.size") == 1, pick("own", F.when(sure == "", "").otherwise(F.concat(prefix, near, sure))))
+        .when(F.col("is_conflict") & sole & (sure_sole != ""), pick("all", F.concat(F.lit("CONTEXT_CONFLICT_"), sure_sole)))
+        .when(_by_feature(F.col("own")), pick("own", F.concat(F.lit("FEATURE_"), sure)))
+        .when(_by_feature(F.col("wide")), pick("wide", F.concat(F.lit("FEATURE_"), _sure(F.col("wide")))))
+        .when(stands_alone, pick("all", F.concat(sure_sole, F.lit("_NO_CONTEXT"))))
+    )
+    return facts.select("occ_id", F.when(choice.isNotNull(), "MATCH").otherwise("AMBIGUOUS").alias("outcome"), choice["place_id"].alias("place_id"), choice["match_type"].alias("match_type"), "is_conflict")
+
+
+def decision_rows(df: DataFrame, decisions: DataFrame, top: int = 5) -> DataFrame:
+    """The candidates to show for every occurrence in conflict and for every ambiguous one, ranked, `top` at most: df's columns, candidate_rank and report.
+
+    An occurrence may be in both reports. df: as rank_candidates takes it; decisions: of decide.
+    """
+    reports = F.array_compact(F.array(F.when(F.col("is_conflict"), "CONFLICT"), F.when(F.col("outcome") == "AMBIGUOUS", "AMBIGUOUS")))
+    wanted = decisions.select("occ_id", F.explode(reports).alias("report"))
+    return rank_candidates(df).where(F.col("candidate_rank") <= top).join(wanted, "occ_id")
 
 
 def decide_local(df: DataFrame) -> DataFrame:

@@ -223,11 +223,9 @@ def resolve_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.rank_candidates(rows).select("occ_id", F.col("place_id").alias("row_id"), "candidate_rank")
 
 
-
-
 RESOLVE_RANK_SQL = f"""
 SELECT occurrenceId AS occ_id, rowId AS row_id, CAST(row_number() OVER (PARTITION BY occurrenceId ORDER BY CASE contextStatus WHEN 'HARD_MATCH' THEN 7 WHEN 'HARD_NEAR_MATCH' THEN 6 WHEN 'SOFT_MATCH' THEN 5 WHEN 'SOFT_NEAR_MATCH' THEN 4 WHEN 'REGION_MATCH' THEN 3 WHEN 'REGION_NEAR_MATCH' THEN 2 ELSE 0 END DESC,
-  nameSimilarity DESC, {_FEATURE} DESC, coalesce(tier, 0), rowId) AS INTEGER) AS candidate_rank FROM {_ONCE} WHERE occurrenceId IS NOT NULL
+  contextScore DESC NULLS LAST, nameSimilarity DESC, {_FEATURE} DESC, coalesce(tier, 0), rowId) AS INTEGER) AS candidate_rank FROM {_ONCE} WHERE occurrenceId IS NOT NULL
 """
 
 
@@ -236,6 +234,46 @@ def resolve_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.decide(rows)
 
 
+_DECISION_SQL = f"""
+WITH c AS (SELECT occurrenceId AS occ_id, rowId AS place_id, CASE WHEN nameSimilarity >= 0.999 THEN 'EXACT' ELSE 'FUZZY' END AS method, coalesce(nameSimilarity, 0) AS sim, coalesce(tier, 0) AS tier,
+    coalesce(contextStatus, 'NO_CONTEXT') AS st, {_FEATURE} AS fs, coalesce(placeSource, '') AS src, hardProvince IS NOT NULL AS h FROM {_ONCE} WHERE occurrenceId IS NOT NULL),
+n AS (SELECT occ_id, count(*) AS n, bool_or(h) AS h, count_if(st = 'HARD_MATCH') AS hd, count_if(st = 'HARD_NEAR_MATCH') AS hn, count_if(st = 'SOFT_MATCH') AS sd, count_if(st = 'SOFT_NEAR_MATCH') AS sn,
+    count_if(st = 'REGION_MATCH') AS rd, count_if(st = 'REGION_NEAR_MATCH') AS rn, count_if(st IN ('HARD_MISMATCH', 'HARD_NEAR_MISMATCH')) AS miss, count_if(st = 'HARD_UNVERIFIED') AS unv FROM c GROUP BY occ_id),
+p AS (
+  SELECT 1 AS pool, c.* FROM c JOIN n USING (occ_id) WHERE (n.h AND st = CASE WHEN hd > 0 THEN 'HARD_MATCH' ELSE 'HARD_NEAR_MATCH' END)
+    OR (NOT n.h AND sd + sn > 0 AND st = CASE WHEN sd > 0 THEN 'SOFT_MATCH' ELSE 'SOFT_NEAR_MATCH' END) OR (NOT n.h AND sd + sn = 0 AND st = CASE WHEN rd > 0 THEN 'REGION_MATCH' ELSE 'REGION_NEAR_MATCH' END)
+  UNION ALL SELECT 2, c.* FROM c JOIN n USING (occ_id) WHERE CASE WHEN hd + hn > 0 THEN st IN ('HARD_MATCH', 'HARD_NEAR_MATCH') WHEN sd + sn > 0 THEN st IN ('SOFT_MATCH', 'SOFT_NEAR_MATCH')
+    WHEN rd + rn > 0 THEN st IN ('REGION_MATCH', 'REGION_NEAR_MATCH') ELSE NOT ends_with(st, 'MISMATCH') END
+  UNION ALL SELECT 3, c.* FROM c),
+r AS (SELECT *, row_number() OVER w AS k, lead(fs) OVER w AS second, count(*) OVER (PARTITION BY occ_id, pool) AS size FROM p WINDOW w AS (PARTITION BY occ_id, pool ORDER BY fs DESC, sim DESC, tier, place_id)),
+b AS (SELECT *, CASE WHEN method = 'EXACT' THEN 'EXACT' WHEN sim >= 0.90 THEN 'FUZZY' ELSE '' END AS sure FROM r WHERE k = 1),
+f AS (SELECT *, size >= 2 AND fs > second AND ((fs >= 4 AND fs - second >= 2) OR (fs >= 2 AND second < 0)) AND sure <> '' AS stands_out FROM b),
+d AS (SELECT n.*, n.h AND hd + hn = 0 AND miss > 0 AND unv = 0 AS is_conflict, o.place_id AS p1, o.size AS s1, o.sure AS u1, o.st AS t1, coalesce(o.stands_out, false) AS f1, w.place_id AS p2, w.sure AS u2, coalesce(w.stands_out, false) AS f2,
+    a.place_id AS p3, a.sure AS u3, a.st AS t3, a.src AS src FROM n LEFT JOIN (SELECT * FROM f WHERE pool = 1) o USING (occ_id) LEFT JOIN (SELECT * FROM f WHERE pool = 2) w USING (occ_id) JOIN (SELECT * FROM f WHERE pool = 3) a USING (occ_id)),
+x AS (SELECT occ_id, is_conflict, CASE WHEN s1 = 1 THEN {{'id': p1, 't': CASE WHEN u1 = '' THEN '' ELSE CASE WHEN starts_with(t1, 'REGION') THEN 'REGION_' ELSE 'CONTEXT_' END || CASE WHEN contains(t1, 'NEAR') THEN 'NEAR_' ELSE '' END || u1 END}}
+    WHEN is_conflict AND n = 1 AND u3 <> '' THEN {{'id': p3, 't': 'CONTEXT_CONFLICT_' || u3}} WHEN f1 THEN {{'id': p1, 't': 'FEATURE_' || u1}} WHEN f2 THEN {{'id': p2, 't': 'FEATURE_' || u2}}
+    WHEN n = 1 AND NOT ends_with(t3, 'MISMATCH') AND (u3 = 'EXACT' OR (u3 = 'FUZZY' AND src <> 'limes')) THEN {{'id': p3, 't': u3 || '_NO_CONTEXT'}} END AS choice FROM d)
+"""
+RESOLVE_DECISION_SQL = _DECISION_SQL + "SELECT occ_id, CASE WHEN choice IS NULL THEN 'AMBIGUOUS' ELSE 'MATCH' END AS outcome, choice.id AS place_id, choice.t AS match_type, is_conflict FROM x"
+
+
+def resolve_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five candidates of every occurrence in conflict or ambiguous."""
+    rows = _scored(spark, sf_dir).where("occ_id is not null")
+    return resolve.decision_rows(rows, resolve_decision(spark, sf_dir)).select("occ_id", "report", "candidate_rank", F.col("place_id").alias("row_id"))
+
+
+RESOLVE_REPORTS_SQL = (
+    _DECISION_SQL
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY occ_id ORDER BY CASE contextStatus WHEN 'HARD_MATCH' THEN 7 WHEN 'HARD_NEAR_MATCH' THEN 6 WHEN 'SOFT_MATCH' THEN 5 WHEN 'SOFT_NEAR_MATCH' THEN 4 WHEN 'REGION_MATCH' THEN 3 WHEN 'REGION_NEAR_MATCH' THEN 2 ELSE 0 END DESC,
+  contextScore DESC NULLS LAST, nameSimilarity DESC NULLS LAST, fs DESC, tier, place_id) AS k FROM (SELECT c.*, o.contextStatus, o.contextScore, o.nameSimilarity FROM c JOIN """
+    + _ONCE
+    + """ o ON o.rowId = c.place_id))
+SELECT occ_id, report, CAST(k AS INTEGER) AS candidate_rank, place_id AS row_id FROM ranked JOIN (SELECT occ_id, 'CONFLICT' AS report FROM x WHERE is_conflict UNION ALL SELECT occ_id, 'AMBIGUOUS' FROM x WHERE choice IS NULL) USING (occ_id) WHERE k <= 5
+"""
+)
+
+
 def resolve_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).where("occ_id is not null").withColumn("expected", F.col("hard")).withColumn("province", F.col("actual")).withColumn("has_coordinates", F.col("actual").isNotNull() | F.col("nearest").isNotNull())
     return resolve.decide_local(rows)
@@ -335,7 +373,7 @@ def filter_keep_all_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "join_exact_multimap": join_exact_multimap, "join_multimap_lists": join_multimap_lists, "join_exact_then_variant": join_exact_then_variant, "join_prefix_rule": join_prefix_rule, "join_keep_last": join_keep_last, "join_update_blanks": join_update_blanks,
     "join_alias_closure": join_alias_closure, "join_scored_pick": join_scored_pick, "join_unique_or_null": join_unique_or_null, "join_fuzzy_blocked": join_fuzzy_blocked, "sim_token_best": sim_token_best, "sim_top2_blend": sim_top2_blend, "sim_ratio_candidates": sim_ratio_candidates,
-    "sim_probe_unmatched": sim_probe_unmatched, "resolve_candidates": resolve_candidates, "resolve_context_status": resolve_context_status, "resolve_rank": resolve_rank, "resolve_decision": resolve_decision, "resolve_local": resolve_local, "resolve_targets": resolve_targets,
+    "sim_probe_unmatched": sim_probe_unmatched, "resolve_candidates": resolve_candidates, "resolve_context_status": resolve_context_status, "resolve_rank": resolve_rank, "resolve_decision": resolve_decision, "resolve_reports": resolve_reports, "resolve_local": resolve_local, "resolve_targets": resolve_targets,
     "resolve_strict": resolve_strict, "resolve_first_name": resolve_first_name, "resolve_scored": resolve_scored, "entity_page": entity_pages, "command_stations": command_stations, "result_places": result_places, "filter_any_province": filter_any_province,
     "filter_keep_all_if_empty": filter_keep_all_if_empty,
 }
@@ -344,7 +382,7 @@ SQL = {
     "join_keep_last": "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "join_update_blanks": JOIN_UPDATE_SQL, "join_alias_closure": JOIN_CLOSURE_SQL,
     "join_scored_pick": "SELECT l_orderkey, l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END) + (CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_extendedprice DESC, l_linenumber) = 1",
     "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
-    "resolve_rank": RESOLVE_RANK_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
+    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
     "filter_any_province": f"WITH f AS (SELECT arg_max(declaredProvince, rowId) AS p FROM place_conflict_context) SELECT DISTINCT rowId AS row_id FROM place_conflict_context, f WHERE declaredProvince = p OR hardProvince = p OR softProvince = p OR expectedProvince = p",
     "filter_keep_all_if_empty": f"SELECT rowId AS row_id FROM (SELECT *, max(CASE WHEN featureType = 'fort' THEN 1 ELSE 0 END) OVER (PARTITION BY occurrenceId) AS any_fort FROM {_ONCE}) WHERE featureType = 'fort' OR any_fort = 0",
 }

@@ -136,6 +136,16 @@ def test_decisions(spark):
         ("fort", 8, "EXACT", 1.0, 0, "NO_CONTEXT", 4, "", False), ("fort", 9, "EXACT", 1.0, 0, "NO_CONTEXT", 2, "", False), ("tie", 10, "EXACT", 1.0, 0, "NO_CONTEXT", 2, "", False), ("tie", 11, "EXACT", 1.0, 0, "NO_CONTEXT", 2, "", False),
         ("region", 12, "EXACT", 1.0, 0, "REGION_MATCH", 0, "", False), ("region", 13, "EXACT", 1.0, 0, "REGION_MISMATCH", 0, "", False),
     ])
+    more = decided(spark, [
+        ("two", 1, "EXACT", 1.0, 0, "SOFT_MISMATCH", 0, "", False), ("two", 2, "EXACT", 1.0, 0, "NO_CONTEXT", 0, "", False),
+        ("open", 1, "EXACT", 1.0, 0, "HARD_MISMATCH", 0, "", True), ("open", 2, "EXACT", 1.0, 0, "HARD_UNVERIFIED", 0, "", True),
+        ("mixed", 1, "EXACT", 1.0, 0, "HARD_MISMATCH", 0, "", True), ("mixed", 2, "EXACT", 1.0, 0, "SOFT_MATCH", 0, "", True),
+        ("wide", 1, "EXACT", 1.0, 0, "SOFT_MATCH", 2, "", False), ("wide", 2, "EXACT", 1.0, 0, "SOFT_MATCH", 2, "", False), ("wide", 3, "EXACT", 1.0, 0, "SOFT_NEAR_MATCH", 4, "", False),
+        ("nulls", 1, "FUZZY", None, 0, "NO_POLYGON", 0, None, None),
+    ])
+    assert more["two"] == ("AMBIGUOUS", None, None, False) and more["open"] == ("AMBIGUOUS", None, None, False)
+    assert more["mixed"] == ("AMBIGUOUS", None, None, True)  # soft evidence never decides beside a hard province
+    assert more["wide"] == ("MATCH", 3, "FEATURE_EXACT", False) and more["nulls"][0] == "AMBIGUOUS"
     assert got["hard"] == ("MATCH", 1, "CONTEXT_EXACT", False) and got["near"] == ("MATCH", 3, "CONTEXT_NEAR_FUZZY", False)
     assert got["blank"] == ("MATCH", 4, "", False)  # a lone confirmed near form below 0.90 has no type
     assert got["conflict"] == ("MATCH", 5, "CONTEXT_CONFLICT_EXACT", True) and got["lone"][2] == "EXACT_NO_CONTEXT" and got["limes"][0] == "AMBIGUOUS"
