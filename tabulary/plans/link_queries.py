@@ -157,17 +157,66 @@ def sim_top2_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_ratio_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    provinces = table(spark, sf_dir, "province_gazetteer").select(F.col("canonicalName").alias("province")).where("province is not null").distinct()
-    names = _places(spark, sf_dir).select(F.col("pleiadesId").alias("place_id"), F.col("title").alias("name")).where("name is not null").distinct()
+    """The likest polygons and reference names of every name of the list."""
+    provinces = table(spark, sf_dir, "place_name_list").select(F.col("canonical_name").alias("province")).where("province is not null").distinct()
+    polygons = table(spark, sf_dir, "province_polygon").select((F.col("geojsonId") + 1_000_000).alias("place_id"), F.col("gisProvince").alias("name"))
+    names = table(spark, sf_dir, "place_name_list").select(F.col("name_id").alias("place_id"), F.col("canonical_name").alias("name")).unionByName(polygons).where("name is not null").distinct()
     return linkage.province_candidates(provinces, names)
 
 
 def sim_probe_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = _context(spark, sf_dir).groupBy("placeName").agg(F.min("rowId").alias("id")).select("id", F.col("placeName").alias("place_name")).where("place_name is not null")
-    names = _places(spark, sf_dir).select(F.col("pleiadesId").alias("place_id"), F.col("title").alias("name")).where("name is not null").distinct()
+    """The likest reference names of every name of a polygon or province."""
+    provinces = table(spark, sf_dir, "province_gazetteer").select((F.col("rowId") + 1_000_000).alias("id"), F.col("canonicalName").alias("place_name"))
+    polygons = table(spark, sf_dir, "province_polygon").select(F.col("geojsonId").alias("id"), F.col("gisProvince").alias("place_name"))
+    targets = provinces.unionByName(polygons).where("place_name is not null").groupBy("place_name").agg(F.min("id").alias("id")).select("id", "place_name")
+    names = table(spark, sf_dir, "place_name_list").select(F.col("name_id").alias("place_id"), F.col("canonical_name").alias("name")).where("name is not null").distinct()
     return linkage.probe_unmatched(targets, names)
 
 
+def _ratio_sql(pairs: str, least: float) -> str:
+    """CTEs that take (a, b) of `pairs` to score(a, b, s): the longest common block first, then left and right of it, over and over."""
+    common = "list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))"
+    return f"""may AS (SELECT DISTINCT a, b FROM {pairs} WHERE a <> '' AND b <> '' AND 2.0 * least(length(a), length(b)) >= {least} * (length(a) + length(b)) AND 2.0 * {common} >= {least} * (length(a) + length(b)) - 1e-9),
+part AS (SELECT a, b, a AS x, b AS y, 0 AS k FROM may
+  UNION ALL SELECT a, b, side.x, side.y, side.k FROM (
+    SELECT a, b, unnest([{{'x': x[1:i - 1], 'y': y[1:instr(y, x[i:i + n - 1]) - 1], 'k': n}}, {{'x': x[i + n:], 'y': y[instr(y, x[i:i + n - 1]) + n:], 'k': 0}}]) AS side FROM (
+      SELECT a, b, x, y, best[2] AS i, -best[1] AS n FROM (
+        SELECT a, b, x, y, list_min(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda n: [-n, i]))), lambda p: contains(y, x[p[2]:p[2] - p[1] - 1]))) AS best
+        FROM part WHERE x <> '' AND y <> '') WHERE best IS NOT NULL))),
+score AS (SELECT a, b, 2.0 * sum(k) / (length(a) + length(b)) AS s FROM part GROUP BY a, b HAVING s >= {least})"""
+
+
+_PROVINCE_KEY = lambda x: f"regexp_replace(regexp_replace(replace(replace(replace({_LOW(x)}, 'ph', 'f'), 'y', 'i'), 'v', 'u'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')"
+_PROBE_KEY = lambda x: f"""regexp_replace(regexp_replace(replace(replace({_LOW(x)}, 'j', 'i'), 'u', 'v'), '[.,;:()\\[\\]{{}}''’"*/?]', ' ', 'g'), '\\s+', ' ', 'g')"""
+# fixed values of the rules, written out a second time: ending, least length, what is cut and added
+_PROVINCE_CASES = "[{'e': 'iae', 'c': 3, 'a': 'ia'}, {'e': 'ae', 'c': 2, 'a': 'a'}, {'e': 'arum', 'c': 4, 'a': 'a'}, {'e': 'orum', 'c': 4, 'a': 'um'}, {'e': 'ensis', 'c': 5, 'a': 'ensis'}, {'e': 'enses', 'c': 5, 'a': 'ensis'}, {'e': 'i', 'c': 1, 'a': 'us'}]"
+_PROBE_CASES = "[{'e': 'o', 'l': 4, 'c': 1, 'a': 'um'}, {'e': 'ae', 'l': 5, 'c': 2, 'a': 'a'}, {'e': 'ae', 'l': 5, 'c': 2, 'a': 'um'}, {'e': 'i', 'l': 5, 'c': 1, 'a': 'um'}, {'e': 'i', 'l': 5, 'c': 1, 'a': 'us'}, {'e': 'is', 'l': 6, 'c': 2, 'a': 'um'}, {'e': 'is', 'l': 6, 'c': 2, 'a': 'a'}, {'e': 'a', 'l': 6, 'c': 1, 'a': 'um'}]"
+SIM_RATIO_SQL = f"""
+WITH RECURSIVE keyed AS (SELECT name_id AS place_id, canonical_name AS name, {_PROVINCE_KEY('canonical_name')} AS key FROM place_name_list UNION SELECT geojsonId + 1000000, gisProvince, {_PROVINCE_KEY('gisProvince')} FROM province_polygon WHERE gisProvince IS NOT NULL),
+p AS (SELECT DISTINCT canonical_name AS province, {_PROVINCE_KEY('canonical_name')} AS base FROM place_name_list WHERE canonical_name IS NOT NULL),
+rules AS (SELECT unnest({_PROVINCE_CASES}) AS r),
+variants AS (SELECT province, base AS variant FROM p UNION SELECT province, trim(left(trim(base), length(trim(base)) - r.c) || r.a) FROM p, rules WHERE ends_with(trim(base), r.e)),
+pairs AS (SELECT v.variant AS a, k.key AS b FROM variants v, keyed k),
+{_ratio_sql('pairs', 0.7)},
+best AS (SELECT province, place_id, name, s FROM (SELECT province, place_id, name, s, row_number() OVER (PARTITION BY province, place_id ORDER BY s DESC, name) AS n FROM variants JOIN score ON a = variant JOIN keyed ON key = b) WHERE n = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY province ORDER BY s DESC, place_id) AS k FROM best)
+SELECT province, CAST(k AS INTEGER) AS rank, printf('%.3f', s) AS score, CASE WHEN s = 1.0 THEN 'NORMALIZED' ELSE 'SIMILAR' END AS method, place_id, name AS matched_name FROM ranked WHERE k <= 5
+"""
+SIM_PROBE_SQL = f"""
+WITH RECURSIVE keyed AS (SELECT DISTINCT name_id AS place_id, canonical_name AS name, {_PROBE_KEY('canonical_name')} AS key FROM place_name_list WHERE canonical_name IS NOT NULL),
+t AS (SELECT min(id) AS id, place_name, {_PROBE_KEY('place_name')} AS search FROM (SELECT rowId + 1000000 AS id, canonicalName AS place_name FROM province_gazetteer UNION ALL SELECT geojsonId, gisProvince FROM province_polygon) WHERE place_name IS NOT NULL GROUP BY place_name),
+rules AS (SELECT unnest({_PROBE_CASES}) AS r),
+hits AS (SELECT DISTINCT id, key AS form, place_id, name, 0 AS stage, 1.0::DOUBLE AS s FROM t, rules JOIN keyed ON key = left(search, length(search) - r.c) || r.a WHERE ends_with(search, r.e) AND length(search) >= r.l AND key <> search),
+pairs AS (SELECT k.key AS a, search AS b FROM (SELECT DISTINCT search FROM t) q, (SELECT DISTINCT key FROM keyed) k),
+{_ratio_sql('pairs', 0.55)},
+near AS (SELECT a AS key, b AS search, s FROM score QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, a) <= 30),
+u AS (SELECT * FROM hits UNION ALL SELECT id, search, place_id, name, 1, s FROM t JOIN near USING (search) JOIN keyed USING (key)),
+o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id, place_id ORDER BY stage, s DESC, form, name) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stage, s DESC, place_id) AS k FROM o)
+SELECT id, CAST(k AS INTEGER) AS rank, CASE WHEN stage = 0 THEN 'VARIANT_EXACT' ELSE 'NEAR' END AS method, printf('%.3f', s) AS score, form, place_id, name AS matched_name FROM ranked WHERE k <= 5
+"""
+
+
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _context(spark, sf_dir).where("occurrenceId is not null").groupBy(F.col("occurrenceId").alias("occ_id")).agg(F.min_by("placeName", "rowId").alias("place_name"), F.min_by("placeSource", "rowId").alias("place_source"))
 
@@ -381,7 +430,7 @@ SQL = {
     "join_exact_multimap": JOIN_EXACT_SQL, "join_multimap_lists": f"SELECT title, row_number() OVER (PARTITION BY title ORDER BY rowId) AS position, pleiadesId FROM {_PLACE} WHERE title IS NOT NULL", "join_exact_then_variant": JOIN_VARIANT_SQL, "join_prefix_rule": JOIN_PREFIX_SQL,
     "join_keep_last": "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "join_update_blanks": JOIN_UPDATE_SQL, "join_alias_closure": JOIN_CLOSURE_SQL,
     "join_scored_pick": "SELECT l_orderkey, l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END) + (CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_extendedprice DESC, l_linenumber) = 1",
-    "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
+    "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "sim_ratio_candidates": SIM_RATIO_SQL, "sim_probe_unmatched": SIM_PROBE_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
     "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
     "filter_any_province": f"WITH f AS (SELECT arg_max(declaredProvince, rowId) AS p FROM place_conflict_context) SELECT DISTINCT rowId AS row_id FROM place_conflict_context, f WHERE declaredProvince = p OR hardProvince = p OR softProvince = p OR expectedProvince = p",
     "filter_keep_all_if_empty": f"SELECT rowId AS row_id FROM (SELECT *, max(CASE WHEN featureType = 'fort' THEN 1 ELSE 0 END) OVER (PARTITION BY occurrenceId) AS any_fort FROM {_ONCE}) WHERE featureType = 'fort' OR any_fort = 0",

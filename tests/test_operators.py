@@ -1,7 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tabulary.functions import rules as R
-from tabulary.operators import audit, extract, pages, relational, render, resolve, search, tree
+from tabulary.operators import audit, extract, linkage, pages, relational, render, resolve, search, tree
 from tabulary.sources import readers, writers
 
 SOURCE = """XXXVI. Dux Mesopotamiae.
@@ -158,6 +161,22 @@ def test_rendering(spark):
     assert got[:5] == [("shield factory", []), ("shield and spear factory", []), ("arrow and mirabilia factory", ["mirabilia"]), ("factory for all kinds of arms", []), ("factory", [])] and got[5][0] == "factory"
 
 
+@pytest.mark.parametrize("cutoff", [0.55, 0.7])
+def test_letters_lose_no_likeness(spark, cutoff):
+    """Every pair that reaches the cutoff meets, also without a pair of letters in common; pairs that do not meet cannot reach it."""
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(3)
+    texts = sorted({"oea", "oreia", "a", "ab", "ba", "é", "aaaa", "aabb", *("".join(rnd.choice("abcdeiorst ") for _ in range(rnd.randint(1, 9))).strip() for _ in range(160))} - {""})
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    met = {tuple(r) for r in linkage.meet_by_letters(df, df.withColumnRenamed("a", "b"), cutoff).collect()}
+    like = {(a, b) for a in texts for b in texts if SequenceMatcher(None, a, b).ratio() >= cutoff}
+    assert like <= met and ("oea", "oreia") in met
+    names = spark.createDataFrame([(1, "Oreia"), (2, "Oea"), (3, "Roma"), (4, None)], "place_id int, name string")
+    got = linkage.province_candidates(spark.createDataFrame([("Oea",), (None,), ("",)], "province string"), names)
+    assert [(r["rank"], r["place_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(1, 2, "1.000"), (2, 1, "0.750")]
+
+
 def test_pages_and_audit(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, n int")
     assert sorted(r["n"] for r in pages.keep_all_if_empty(df, "k", F.col("n") == 1).collect()) == [1, 3]
