@@ -11,22 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words without weight of their own in administrative titles.
-TITLE_STOPWORDS = (
-    "dux comes comitis vicarius praeses praesidis consularis corrector proconsul magister praefectus praefecti praepositus vir viri viro spectabilis spectabili illustris clarissimus clarissimi "
-    "perfectissimus sub dispositione iurisdictione per in intra provincia provinciae item et cum rei militaris officium habet idem autem hoc modo"
-).split()
-PROVINCE_STOPWORDS = "et in provincia provinciae pars prima primae secunda secundae superior superioris inferior inferioris".split()
-STEM_STOPWORDS = (
-    "insignia viri vir illustris spectabilis clarissimi perfectissimi sub dispositione iurisdictione per in de ex et sunt autem officium suprascripti suprascriptae habet habent ad item dioceses "
-    "dioceseos provinciae provincia infrascriptae infrascriptas rerum"
-).split()
+TITLE_STOPWORDS = [
+    "dux", "comes", "comitis", "vicarius", "praeses", "praesidis", "consularis", "corrector", "proconsul", "magister", "praefectus", "praefecti", "praepositus", "vir",
+    "viri", "viro", "spectabilis", "spectabili", "illustris", "clarissimus", "clarissimi", "perfectissimus", "sub", "dispositione", "iurisdictione", "per", "in",
+    "intra", "provincia", "provinciae", "item", "et", "cum", "rei", "militaris", "officium", "habet", "idem", "autem", "hoc", "modo",
+]
+PROVINCE_STOPWORDS = [
+    "et", "in", "provincia", "provinciae", "pars", "prima", "primae", "secunda", "secundae", "superior", "superioris", "inferior", "inferioris",
+]
+STEM_STOPWORDS = [
+    "insignia", "viri", "vir", "illustris", "spectabilis", "clarissimi", "perfectissimi", "sub", "dispositione", "iurisdictione", "per", "in", "de", "ex", "et", "sunt",
+    "autem", "officium", "suprascripti", "suprascriptae", "habet", "habent", "ad", "item", "dioceses", "dioceseos", "provinciae", "provincia", "infrascriptae",
+    "infrascriptas", "rerum",
+]
 # Words with a stem of their own.
 STEMS = {
-    "praefect": "praefectus praefecti praefecto praefectum", "magistr": "magistri magister magistrum magisteriae", "com": "comes comitis comite comitem", "quaest": "quaestor quaestoris",
-    "procons": "proconsul proconsulis", "vicar": "vicarius vicarii vicario", "duc": "dux ducis", "primicer": "primicerius primicerii", "praeposit": "praepositus praepositi", "consular": "consularis consulares",
-    "correct": "corrector correctores", "praesid": "praeses praesidis praesides", "praesent": "praesenti praesentalis praesentalem praesentales praesentali praesentis", "mauritan": "mauretaniae mauretania mauritaniae mauritania",
+    "praefectus": "praefect", "praefecti": "praefect", "praefecto": "praefect", "praefectum": "praefect", "magistri": "magistr", "magister": "magistr",
+    "magistrum": "magistr", "magisteriae": "magistr", "comes": "com", "comitis": "com", "comite": "com", "comitem": "com", "quaestor": "quaest", "quaestoris": "quaest",
+    "proconsul": "procons", "proconsulis": "procons", "vicarius": "vicar", "vicarii": "vicar", "vicario": "vicar", "dux": "duc", "ducis": "duc",
+    "primicerius": "primicer", "primicerii": "primicer", "praepositus": "praeposit", "praepositi": "praeposit", "consularis": "consular", "consulares": "consular",
+    "corrector": "correct", "correctores": "correct", "praeses": "praesid", "praesidis": "praesid", "praesides": "praesid", "praesenti": "praesent",
+    "praesentalis": "praesent", "praesentalem": "praesent", "praesentales": "praesent", "praesentali": "praesent", "praesentis": "praesent", "mauretaniae": "mauritan",
+    "mauretania": "mauritan", "mauritaniae": "mauritan", "mauritania": "mauritan",
 }
-STEM_ENDINGS = "arum orum ibus ium iae iam ias ae am as is um us i o a e".split()
+STEM_ENDINGS = [
+    "arum", "orum", "ibus", "ium", "iae", "iam", "ias", "ae", "am", "as", "is", "um", "us", "i", "o", "a", "e",
+]
 ADMIN_PREFIX = r"(?i)^(?:provinciae?|in\s+provincia)\s+"
 EDGE = r"[ .,;:()\[\]-]"
 
@@ -192,8 +202,7 @@ def clean_report(column: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """The stem of a lower-case word: from the table, else without the first listed ending that leaves four letters."""
-    table = {word: s for s, words in STEMS.items() for word in words.split()}
-    result = F.when(token.isin(list(table)), F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[token])
+    result = F.when(token.isin(list(STEMS)), F.create_map(*[F.lit(x) for pair in STEMS.items() for x in pair])[token])
     for ending in STEM_ENDINGS:
         result = result.when(token.endswith(ending) & (F.length(token) >= len(ending) + 4), F.left(token, F.length(token) - len(ending)))
     return result.otherwise(token)
@@ -273,11 +282,15 @@ def place_phrase(column: Column) -> Column:
 
 # Heads of blocks that stand for the whole, and how many words of other plural heads do.
 BLOCK_HEADS = ("Sub dispositione", "Officium", "Per ", "In provincia", "Intra ", "In ", "Item ", "Sub cura", "Sub iurisdictione", "Extenditur")
-BLOCK_WORDS = {"Magistri": 2, "Comites": 3, "Legiones": 2, "Vexillationes": 2, "Procuratores": 2, "Praepositi": 2} | dict.fromkeys("Vicarii Duces Consulares Correctores Praesides Auxilia Pseudocomitatenses Rationales Limitanei Provinciae Fabricae".split(), 1)
-NUMERALS = (
-    "unus una unum duo duae tres quattuor quinque sex septem octo nouem novem decem undecim duodecim tredecim quattuordecim quindecim sedecim septendecim uiginti triginta quadraginta quinquaginta "
-    "sexaginta LXV XXXII XVIII XVII XII VII VI V"
-).split()
+BLOCK_WORDS = {
+    "Magistri": 2, "Comites": 3, "Legiones": 2, "Vexillationes": 2, "Procuratores": 2, "Praepositi": 2, "Vicarii": 1, "Duces": 1, "Consulares": 1, "Correctores": 1,
+    "Praesides": 1, "Auxilia": 1, "Pseudocomitatenses": 1, "Rationales": 1, "Limitanei": 1, "Provinciae": 1, "Fabricae": 1,
+}
+NUMERALS = [
+    "unus", "una", "unum", "duo", "duae", "tres", "quattuor", "quinque", "sex", "septem", "octo", "nouem", "novem", "decem", "undecim", "duodecim", "tredecim",
+    "quattuordecim", "quindecim", "sedecim", "septendecim", "uiginti", "triginta", "quadraginta", "quinquaginta", "sexaginta", "LXV", "XXXII", "XVIII", "XVII", "XII",
+    "VII", "VI", "V",
+]
 
 
 def block_type(column: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulary.functions.morphology import candidate_variants
+from tabulary.functions.morphology import variant_rows
 from tabulary.functions.rules import feature_score, macro_region, non_point
 from tabulary.functions.similarity import AUTO_SIMILARITY, CONTEXT_THRESHOLD, MIN_MARGIN, NEAR_KM, best_form_ratio, forms_context, forms_likeness, name_forms, provinces_compatible
 from tabulary.functions.text import clean_name, latin_key, norm_name
@@ -18,106 +18,45 @@ from tabulary.session import written
 STATUS_WEIGHT = {"HARD_MATCH": 7, "HARD_NEAR_MATCH": 6, "SOFT_MATCH": 5, "SOFT_NEAR_MATCH": 4, "REGION_MATCH": 3, "REGION_NEAR_MATCH": 2}
 # The large regions and their provinces.
 REGIONS = {
-    "ITALIA": "AEMILIA ET LIGURIA; APULIA ET CALABRIA; CAMPANIA; FLAMINIA ET PICENUM; LUCANIA ET BRUTTII; TUSCIA ET UMBRIA; VENETIA ET HISTRIA; SICILIA; SARDINIA; CORSICA",
-    "GALLIAE": "AQUITANIA I; AQUITANIA II; BELGICA I; BELGICA II; GERMANIA I; GERMANIA II; LUGDUNENSIS I; LUGDUNENSIS II; NARBONENSIS I; NARBONENSIS II; NOVEM POPULI; SEQUANIA; VIENNENSIS; ALPES COTTIAE; ALPES GRAIAE ET POENINAE; ALPES MARITIMAE",
-    "BRITANNIA": "BRITANNIAE I AND II",
-    "ILLYRICUM": "PANNONIA INFERIOR; PANNONIA SUPERIOR; SAVIA; NORICUM MEDITERRANEUM; NORICUM RIPENSE; DALMATIA; PRAEVALITANA; DARDANIA; DACIA MEDITERRANEA; DACIA RIPENSIS; MACEDONIA; ACHAIA; EPIRUS NOVA; EPIRUS VETUS; THESSALIA",
-    "ORIENS": "SYRIA COELE; PHOENICE; AUGUSTA LIBANENSIS; PALAESTINA; ARABIA; CILICIA; CYPRUS; OSRHOENE; MESOPOTAMIA; AUGUSTA EUPHRATENSIS",
-    "PONTICA": "BITHYNIA; PAPHLAGONIA; GALATIA; CAPPADOCIA; ARMENIA MINOR; PONTUS POLEMONIACUS; DIOSPONTUS",
-    "ASIANA": "ASIA; LYDIA; CARIA; PHRYGIA I; PHRYGIA II; LYCIA ET PAMPHYLIA; PISIDIA; HELLESPONTUS; INSULAE",
-    "THRACIAE": "EUROPA; THRACIA; HAEMIMONTUS; RHODOPE; MOESIA INFERIOR; SCYTHIA",
-    "AFRICA": "AFRICA PROCONSULARIS; BYZACENA; NUMIDIA CIRTENSIS; NUMIDIA MILITIANA; MAURETANIA CAESARIENSIS; MAURETANIA SITIFENSIS; TRIPOLITANA",
-    "HISPANIA": "BAETICA; LUSITANIA; TARRACONENSIS; GALLAECIA; CARTBAGINIENSIS",
+    "ITALIA": ["AEMILIA ET LIGURIA", "APULIA ET CALABRIA", "CAMPANIA", "FLAMINIA ET PICENUM", "LUCANIA ET BRUTTII", "TUSCIA ET UMBRIA", "VENETIA ET HISTRIA", "SICILIA", "SARDINIA", "CORSICA"],
+    "GALLIAE": ["AQUITANIA I", "AQUITANIA II", "BELGICA I", "BELGICA II", "GERMANIA I", "GERMANIA II", "LUGDUNENSIS I", "LUGDUNENSIS II", "NARBONENSIS I", "NARBONENSIS II", "NOVEM POPULI", "SEQUANIA", "VIENNENSIS", "ALPES COTTIAE", "ALPES GRAIAE ET POENINAE", "ALPES MARITIMAE"],
+    "BRITANNIA": ["BRITANNIAE I AND II"],
+    "ILLYRICUM": ["PANNONIA INFERIOR", "PANNONIA SUPERIOR", "SAVIA", "NORICUM MEDITERRANEUM", "NORICUM RIPENSE", "DALMATIA", "PRAEVALITANA", "DARDANIA", "DACIA MEDITERRANEA", "DACIA RIPENSIS", "MACEDONIA", "ACHAIA", "EPIRUS NOVA", "EPIRUS VETUS", "THESSALIA"],
+    "ORIENS": ["SYRIA COELE", "PHOENICE", "AUGUSTA LIBANENSIS", "PALAESTINA", "ARABIA", "CILICIA", "CYPRUS", "OSRHOENE", "MESOPOTAMIA", "AUGUSTA EUPHRATENSIS"],
+    "PONTICA": ["BITHYNIA", "PAPHLAGONIA", "GALATIA", "CAPPADOCIA", "ARMENIA MINOR", "PONTUS POLEMONIACUS", "DIOSPONTUS"],
+    "ASIANA": ["ASIA", "LYDIA", "CARIA", "PHRYGIA I", "PHRYGIA II", "LYCIA ET PAMPHYLIA", "PISIDIA", "HELLESPONTUS", "INSULAE"],
+    "THRACIAE": ["EUROPA", "THRACIA", "HAEMIMONTUS", "RHODOPE", "MOESIA INFERIOR", "SCYTHIA"],
+    "AFRICA": ["AFRICA PROCONSULARIS", "BYZACENA", "NUMIDIA CIRTENSIS", "NUMIDIA MILITIANA", "MAURETANIA CAESARIENSIS", "MAURETANIA SITIFENSIS", "TRIPOLITANA"],
+    "HISPANIA": ["BAETICA", "LUSITANIA", "TARRACONENSIS", "GALLAECIA", "CARTBAGINIENSIS"],
 }
-# Polygon names and the forms of a province that stand for them.
+# Names of polygons, each with a form of a province that stands for it.
 PROVINCE_ALIASES = [
-    ("ACHAIA", "achaiae"),
-    ("AEMILIA ET LIGURIA", "aemiliae; aemilia; liguriae"),
-    ("ALPES COTTIAE", "alpium cottiarum"),
-    ("ALPES GRAIAE ET POENINAE", "alpium poeninarum et graiarum"),
-    ("ALPES MARITIMAE", "alpium maritimarum"),
-    ("APULIA ET CALABRIA", "apuliae et calabriae"),
-    ("AQUITANIA I", "aquitanicae primae"),
-    ("AQUITANIA II", "aquitanicae secundae"),
-    ("ARABIA", "arabiae"),
-    ("ASIA", "asiae"),
-    ("AUGUSTA EUPHRATENSIS", "augusta eufratensi; augusta euphratensi"),
-    ("BAETICA", "baeticae"),
-    ("BELGICA I", "belgicae primae"),
-    ("BELGICA II", "belgicae secundae; balgicae secundae"),
-    ("BITHYNIA", "bithyniae"),
-    ("BRITANNIAE I AND II", "britanniae; britanniarum"),
-    ("BYZACENA", "byzacii"),
-    ("CAMPANIA", "campaniae"),
-    ("CAPPADOCIA", "cappadociae primae; cappadociae secundae"),
-    ("CARIA", "cariae"),
-    ("GALLAECIA", "callaeciae; callaecia"),
-    ("CILICIA", "ciliciae"),
-    ("CORSICA", "corsicae"),
-    ("CRETA", "cretae"),
-    ("CYPRUS", "cypri"),
-    ("DACIA MEDITERRANEA", "daciae mediterraneae"),
-    ("DACIA RIPENSIS", "daciae ripensis"),
-    ("DALMATIA", "dalmaticarum"),
-    ("DARDANIA", "dardaniae"),
-    ("EPIRUS NOVA", "epiri nouae"),
-    ("EPIRUS VETUS", "epiri ueteris"),
-    ("EUROPA", "europae"),
-    ("FLAMINIA ET PICENUM", "flaminiae et piceni annonarii; flaminia"),
-    ("GALATIA", "galatiae"),
-    ("GERMANIA I", "germaniae primae; mogontiacensis"),
-    ("GERMANIA II", "germaniae secundae"),
-    ("HAEMIMONTUS", "haemimonti"),
-    ("HELLESPONTUS", "hellesponti"),
-    ("INSULAE", "insularum"),
-    ("LIBYA INFERIOR", "libyae inferioris"),
-    ("LIBYA SUPERIOR", "libyae superioris"),
-    ("LUCANIA ET BRUTTII", "lucaniae et brittiorum"),
-    ("LUGDUNENSIS I", "lugdunensis primae"),
-    ("LUGDUNENSIS II", "lugdunensis secundae"),
-    ("LUSITANIA", "lusitaniae"),
-    ("LYCIA ET PAMPHYLIA", "lyciae; pamfyliae"),
-    ("LYDIA", "lydiae"),
-    ("MACEDONIA", "macedoniae"),
-    ("MAURETANIA SITIFENSIS", "mauretaniae sitifensis"),
-    ("MAURETANIA TINGITANA", "tingitaniae"),
-    ("MESOPOTAMIA", "mesopotamiae"),
-    ("NARBONENSIS I", "narbonensis primae"),
-    ("NARBONENSIS II", "narbonensis secundae"),
-    ("NORICUM MEDITERRANEUM", "norici mediterranei"),
-    ("NORICUM RIPENSE", "norici ripensis"),
-    ("NOVEM POPULI", "novempopulanae"),
-    ("OSRHOENE", "osroehenae; osrhoenae"),
-    ("PALAESTINA", "palaestinae"),
-    ("PAPHLAGONIA", "paflagoniae"),
-    ("PISIDIA", "pisidiae"),
-    ("PONTUS POLEMONIACUS", "ponti polemoniaci"),
-    ("PRAEVALITANA", "praeualitanae"),
-    ("RHODOPE", "rhodopae"),
-    ("SARDINIA", "saradiniae"),
-    ("SAVIA", "saviae"),
-    ("SCYTHIA", "scythiae"),
-    ("SEQUANIA", "maximae sequanorum"),
-    ("SICILIA", "siciliae"),
-    ("SYRIA COELE", "syriae"),
-    ("TARRACONENSIS", "tarraconensis"),
-    ("THEBAIS", "thebaidos"),
-    ("THESSALIA", "thessaliae"),
-    ("THRACIA", "thraciae"),
-    ("TRIPOLITANA", "tripolitanae"),
-    ("TUSCIA ET UMBRIA", "tusciae et umbriae"),
-    ("VALERIA", "valeriae; valeriae ripensis"),
-    ("VENETIA ET HISTRIA", "venetiae et histriae"),
-    ("VIENNENSIS", "viennensis"),
-    ("PANNONIA INFERIOR; PANNONIA SUPERIOR", "pannoniae"),
-    ("PANNONIA SUPERIOR", "pannoniae primae"),
-    ("PANNONIA INFERIOR", "pannoniae secundae; pannoniae secundae ripariensis"),
-    ("MOESIA SUPERIOR", "moesiae primae"),
-    ("MOESIA INFERIOR", "moesiae secundae"),
-    ("RAETIA", "raetiae; raetiae primae; raetiae secundae; raetiae primae et secundae"),
-    ("AEGYPTUS HERCULIA; AEGYPTUS IOVIA", "aegypti"),
-    ("PHOENICE; AUGUSTA LIBANENSIS", "foenicis"),
-    ("ARMENIA MINOR", "armeniae"),
+    ("ACHAIA", "achaiae"), ("AEMILIA ET LIGURIA", "aemiliae"), ("AEMILIA ET LIGURIA", "aemilia"), ("AEMILIA ET LIGURIA", "liguriae"),
+    ("ALPES COTTIAE", "alpium cottiarum"), ("ALPES GRAIAE ET POENINAE", "alpium poeninarum et graiarum"), ("ALPES MARITIMAE", "alpium maritimarum"),
+    ("APULIA ET CALABRIA", "apuliae et calabriae"), ("AQUITANIA I", "aquitanicae primae"), ("AQUITANIA II", "aquitanicae secundae"), ("ARABIA", "arabiae"),
+    ("ASIA", "asiae"), ("AUGUSTA EUPHRATENSIS", "augusta eufratensi"), ("AUGUSTA EUPHRATENSIS", "augusta euphratensi"), ("BAETICA", "baeticae"),
+    ("BELGICA I", "belgicae primae"), ("BELGICA II", "belgicae secundae"), ("BELGICA II", "balgicae secundae"), ("BITHYNIA", "bithyniae"),
+    ("BRITANNIAE I AND II", "britanniae"), ("BRITANNIAE I AND II", "britanniarum"), ("BYZACENA", "byzacii"), ("CAMPANIA", "campaniae"),
+    ("CAPPADOCIA", "cappadociae primae"), ("CAPPADOCIA", "cappadociae secundae"), ("CARIA", "cariae"), ("GALLAECIA", "callaeciae"), ("GALLAECIA", "callaecia"),
+    ("CILICIA", "ciliciae"), ("CORSICA", "corsicae"), ("CRETA", "cretae"), ("CYPRUS", "cypri"), ("DACIA MEDITERRANEA", "daciae mediterraneae"),
+    ("DACIA RIPENSIS", "daciae ripensis"), ("DALMATIA", "dalmaticarum"), ("DARDANIA", "dardaniae"), ("EPIRUS NOVA", "epiri nouae"), ("EPIRUS VETUS", "epiri ueteris"),
+    ("EUROPA", "europae"), ("FLAMINIA ET PICENUM", "flaminiae et piceni annonarii"), ("FLAMINIA ET PICENUM", "flaminia"), ("GALATIA", "galatiae"),
+    ("GERMANIA I", "germaniae primae"), ("GERMANIA I", "mogontiacensis"), ("GERMANIA II", "germaniae secundae"), ("HAEMIMONTUS", "haemimonti"),
+    ("HELLESPONTUS", "hellesponti"), ("INSULAE", "insularum"), ("LIBYA INFERIOR", "libyae inferioris"), ("LIBYA SUPERIOR", "libyae superioris"),
+    ("LUCANIA ET BRUTTII", "lucaniae et brittiorum"), ("LUGDUNENSIS I", "lugdunensis primae"), ("LUGDUNENSIS II", "lugdunensis secundae"), ("LUSITANIA", "lusitaniae"),
+    ("LYCIA ET PAMPHYLIA", "lyciae"), ("LYCIA ET PAMPHYLIA", "pamfyliae"), ("LYDIA", "lydiae"), ("MACEDONIA", "macedoniae"),
+    ("MAURETANIA SITIFENSIS", "mauretaniae sitifensis"), ("MAURETANIA TINGITANA", "tingitaniae"), ("MESOPOTAMIA", "mesopotamiae"),
+    ("NARBONENSIS I", "narbonensis primae"), ("NARBONENSIS II", "narbonensis secundae"), ("NORICUM MEDITERRANEUM", "norici mediterranei"),
+    ("NORICUM RIPENSE", "norici ripensis"), ("NOVEM POPULI", "novempopulanae"), ("OSRHOENE", "osroehenae"), ("OSRHOENE", "osrhoenae"), ("PALAESTINA", "palaestinae"),
+    ("PAPHLAGONIA", "paflagoniae"), ("PISIDIA", "pisidiae"), ("PONTUS POLEMONIACUS", "ponti polemoniaci"), ("PRAEVALITANA", "praeualitanae"), ("RHODOPE", "rhodopae"),
+    ("SARDINIA", "saradiniae"), ("SAVIA", "saviae"), ("SCYTHIA", "scythiae"), ("SEQUANIA", "maximae sequanorum"), ("SICILIA", "siciliae"), ("SYRIA COELE", "syriae"),
+    ("TARRACONENSIS", "tarraconensis"), ("THEBAIS", "thebaidos"), ("THESSALIA", "thessaliae"), ("THRACIA", "thraciae"), ("TRIPOLITANA", "tripolitanae"),
+    ("TUSCIA ET UMBRIA", "tusciae et umbriae"), ("VALERIA", "valeriae"), ("VALERIA", "valeriae ripensis"), ("VENETIA ET HISTRIA", "venetiae et histriae"),
+    ("VIENNENSIS", "viennensis"), ("PANNONIA INFERIOR", "pannoniae"), ("PANNONIA SUPERIOR", "pannoniae"), ("PANNONIA SUPERIOR", "pannoniae primae"),
+    ("PANNONIA INFERIOR", "pannoniae secundae"), ("PANNONIA INFERIOR", "pannoniae secundae ripariensis"), ("MOESIA SUPERIOR", "moesiae primae"),
+    ("MOESIA INFERIOR", "moesiae secundae"), ("RAETIA", "raetiae"), ("RAETIA", "raetiae primae"), ("RAETIA", "raetiae secundae"),
+    ("RAETIA", "raetiae primae et secundae"), ("AEGYPTUS HERCULIA", "aegypti"), ("AEGYPTUS IOVIA", "aegypti"), ("PHOENICE", "foenicis"),
+    ("AUGUSTA LIBANENSIS", "foenicis"), ("ARMENIA MINOR", "armeniae"),
 ]
 
 
@@ -126,22 +65,24 @@ def candidates(occurrences: DataFrame, names: DataFrame, anchors: DataFrame | No
 
     occurrences (occ_id, place_name, place_source), names (place_id, name), anchors (place_name, place_id, name) or
     None. A place comes once per occurrence: of equal variants the one of the lowest tier and shortest form, of near
-    ones the most alike. The near stage only sees occurrences the earlier stages left. (occ_id, place_id, name,
+    ones the most alike. The near stage only sees names the earlier stages left. All is worked out once for every distinct
+    name and source, and joined to the occurrences last. (occ_id, place_id, name,
     candidate, rule, tier, similarity, method, stage)
     """
-    columns = ["occ_id", "place_id", "name", "candidate", "rule", "tier", "similarity", "method", "stage"]
+    columns = ["place_id", "name", "candidate", "rule", "tier", "similarity", "method", "stage"]
+    own = ["place_name", "place_source"]
+    mentions = occurrences.select("occ_id", *[F.coalesce(c, F.lit("")).alias(c) for c in own])
     keyed = names.withColumn("norm", norm_name(F.col("name"))).where("norm <> ''")
-    spread = occurrences.select("occ_id", F.posexplode(candidate_variants(F.col("place_name"), F.col("place_source"))).alias("ord", "v")).select("occ_id", "ord", F.col("v.value").alias("candidate"), F.col("v.rule").alias("rule"), F.col("v.tier").alias("tier")).withColumn("norm", norm_name(F.col("candidate")))
-    exact = keep_one(spread.join(keyed, "norm"), ["occ_id", "place_id"], F.asc("tier"), F.length("candidate").asc(), F.asc("ord"), F.asc("name"))
-    exact = exact.withColumns({"similarity": F.lit(1.0), "method": F.lit("EXACT"), "stage": F.lit(1)})
-    found = exact.select(*columns)
+    spread = written(variant_rows(mentions).withColumnRenamed("value", "candidate").withColumn("norm", norm_name(F.col("candidate"))), "variants")
+    exact = keep_one(spread.join(keyed, "norm"), [*own, "place_id"], F.asc("tier"), F.length("candidate").asc(), F.asc("ord"), F.asc("name"))
+    found = exact.withColumns({"similarity": F.lit(1.0), "method": F.lit("EXACT"), "stage": F.lit(1)}).select(*own, *columns)
     if anchors is not None:
-        fixed = occurrences.join(anchors, "place_name").select("occ_id", "place_id", "name", F.col("place_name").alias("candidate"), F.lit("anchor").alias("rule"), F.lit(0).alias("tier"), F.lit(1.0).alias("similarity"), F.lit("EXACT").alias("method"), F.lit(0).alias("stage"))
-        found = fixed.unionByName(found.join(fixed.select("occ_id").distinct(), "occ_id", "left_anti"))
-    rest = spread.join(found.select("occ_id").distinct(), "occ_id", "left_anti").withColumn("form", latin_key(F.col("candidate"))).withColumnRenamed("norm", "variant_norm")
+        fixed = mentions.select(*own).distinct().join(anchors, "place_name").select(*own, "place_id", "name", F.col("place_name").alias("candidate"), F.lit("anchor").alias("rule"), F.lit(0).alias("tier"), F.lit(1.0).alias("similarity"), F.lit("EXACT").alias("method"), F.lit(0).alias("stage"))
+        found = fixed.unionByName(found.join(fixed.select(*own).distinct(), own, "left_anti"))
+    rest = spread.join(found.select(*own).distinct(), own, "left_anti").withColumn("form", latin_key(F.col("candidate"))).withColumnRenamed("norm", "variant_norm")
     near = blocked_fuzzy_join(rest, names.withColumn("name_key", latin_key(F.col("name"))))
-    near = keep_one(near, ["occ_id", "place_id"], F.desc("similarity"), F.asc("tier"), F.asc("ord"), F.asc("name")).withColumns({"method": F.lit("FUZZY"), "stage": F.lit(2)})
-    return found.unionByName(near.select(*columns))
+    near = keep_one(near, [*own, "place_id"], F.desc("similarity"), F.asc("tier"), F.asc("ord"), F.asc("name")).withColumns({"method": F.lit("FUZZY"), "stage": F.lit(2)})
+    return mentions.join(found.unionByName(near.select(*own, *columns)), own).select("occ_id", *columns)
 
 
 def _named(df: DataFrame, column: str, forms: str) -> DataFrame:
@@ -181,7 +122,7 @@ def geographic_chapters(chapters: DataFrame, polygons: DataFrame) -> DataFrame:
 def region_targets(region: Column) -> Column:
     """The provinces of a large region, by its name or as a title names it, as an array, [] for none."""
     own = F.upper(clean_name(region))
-    large = F.create_map(*[x for name, provinces in REGIONS.items() for x in (F.lit(name), F.array(*[F.lit(p.strip()) for p in provinces.split(";")]))])
+    large = F.create_map(*[x for name, provinces in REGIONS.items() for x in (F.lit(name), F.array(*[F.lit(p) for p in provinces]))])
     return F.coalesce(large[own], large[macro_region(region, F.lit(""))], F.array().cast("array<string>"))
 
 

@@ -240,7 +240,7 @@ def _province_targets(spark: SparkSession, sf_dir: str, expected: DataFrame) ->
     gazetteer = table(spark, sf_dir, "province_gazetteer").dropDuplicates(["rowId"])
     named = multivalue.split_values(multivalue.packed_fields(gazetteer, ["geojsonNames"])).select("row_id", F.col("value").alias("name"))
     aliases = gazetteer.select(F.col("rowId").alias("row_id"), X.norm_name(F.col("canonicalName")).alias("alias")).join(named, "row_id").select("alias", "name")
-    fixed = spark.createDataFrame([(a, n) for names, forms in resolve.PROVINCE_ALIASES for a in forms.split("; ") for n in names.split("; ")], "alias string, name string")
+    fixed = spark.createDataFrame([(alias, name) for name, alias in resolve.PROVINCE_ALIASES], "alias string, name string")
     return resolve.province_targets(expected, polygons, aliases.unionByName(fixed).distinct())
 
 

@@ -86,7 +86,7 @@ def _in(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_STEM_CASE = "CASE " + " ".join(f"WHEN w IN ({_in(words.split())}) THEN '{s}'" for s, words in X.STEMS.items()) + " " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 4} THEN left(w, length(w) - {len(e)})" for e in X.STEM_ENDINGS) + " ELSE w END"
+_STEM_CASE = "CASE " + " ".join(f"WHEN w = '{word}' THEN '{s}'" for word, s in X.STEMS.items()) + " " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 4} THEN left(w, length(w) - {len(e)})" for e in X.STEM_ENDINGS) + " ELSE w END"
 _HEADS = "CASE " + " ".join(f"WHEN starts_with(t, '{h}') THEN '{h.strip()}'" for h in X.BLOCK_HEADS)
 _CUTS = "CASE " + " ".join(f"WHEN len(bw) >= 2 AND bw[1] = '{w}' THEN array_to_string(bw[1:{n}], ' ')" for w, n in X.BLOCK_WORDS.items()) + " ELSE plain END"
 TEXT_TOKENS_SQL = f"""
@@ -140,7 +140,7 @@ def morph_toponymic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select(F.col("rowId").alias("row_id"), F.inline(M.toponymic_variants(F.element_at(F.split("canonicalName", " "), 1))))
 
 
-_TOPO = " UNION ALL ".join(f"SELECT row_id, {i} AS o, left(word, length(word) - {len(s)}) || e AS value, 'toponymic_{s}' || CASE WHEN e = '' THEN '_stem' ELSE '' END AS rule FROM w, (VALUES {', '.join(f'({chr(39)}{e}{chr(39)})' for e in ['', *ends.split()])}) v(e) WHERE lower(word) LIKE '%{s}' AND length(word) > {len(s) + 2}" for i, (s, ends) in enumerate(M.TOPONYMIC))
+_TOPO = " UNION ALL ".join(f"SELECT row_id, {i} AS o, left(word, length(word) - {len(s)}) || e AS value, 'toponymic_{s}' || CASE WHEN e = '' THEN '_stem' ELSE '' END AS rule FROM w, (VALUES {', '.join(f'({chr(39)}{e}{chr(39)})' for e in ['', *ends])}) v(e) WHERE lower(word) LIKE '%{s}' AND length(word) > {len(s) + 2}" for i, (s, ends) in enumerate(M.TOPONYMIC))
 MORPH_TOPONYMIC_SQL = f"""
 WITH w AS (SELECT DISTINCT rowId AS row_id, {_CLEAN("string_split(canonicalName, ' ')[1]")} AS word FROM province_gazetteer), t AS ({_TOPO}),
 f AS (SELECT *, min(o) OVER (PARTITION BY row_id) AS first FROM t)
@@ -149,9 +149,15 @@ SELECT f.row_id, value, rule FROM f JOIN w USING (row_id) WHERE o = first AND {_
 
 
 def morph_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate form of every distinct place name with its rule and tier (ordered rules: an Arrow UDF)."""
-    names = _places(spark, sf_dir).select("placeName", "placeSource").distinct()
-    return names.select("placeName", "placeSource", F.posexplode(M.candidate_variants(F.col("placeName"), F.col("placeSource"))).alias("ord", "v")).select("placeName", "placeSource", "ord", "v.value", "v.rule", "v.tier")
+    """Every candidate form of every distinct place name with its rule and tier."""
+    names = _places(spark, sf_dir).select(F.col("placeName").alias("place_name"), F.col("placeSource").alias("place_source"))
+    return M.variant_rows(names).withColumnsRenamed({"place_name": "placeName", "place_source": "placeSource"})
+
+
+def morph_candidates_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without aliases and adjectives."""
+    names = _places(spark, sf_dir).select(F.col("placeName").alias("place_name"), F.lit("").alias("place_source"))
+    return M.variant_rows(names, full=False).select("place_name", "ord", "value", "rule", "tier")
 
 
 def classify_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +273,7 @@ def extract_longest_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONGEST_SUFFIX_SQL = f"SELECT rowId AS row_id, regexp_extract(lower({_SQ('coalesce(region, chr(32))')}), '(^| )(ripensis prima|prima|secunda|tertia|maior|minor|salutaris)$', 2) AS suffix FROM {_ONCE}"
 
 QUERIES = {
-    "text_norm_names": text_norm_names, "text_fold_lines": text_fold_lines, "text_tokens": text_tokens, "morph_case_variants": morph_case_variants, "morph_gazetteer_variants": morph_gazetteer_variants, "morph_toponymic": morph_toponymic, "morph_candidates": morph_candidates,
+    "text_norm_names": text_norm_names, "text_fold_lines": text_fold_lines, "text_tokens": text_tokens, "morph_case_variants": morph_case_variants, "morph_gazetteer_variants": morph_gazetteer_variants, "morph_toponymic": morph_toponymic, "morph_candidates": morph_candidates, "morph_candidates_local": morph_candidates_local,
     "classify_prefix": classify_prefix, "classify_regex": classify_regex, "extract_unit_fields": extract_unit_fields, "extract_refs": extract_refs, "extract_pipe_lists": extract_pipe_lists, "extract_tail_geo": extract_tail_geo, "extract_longest_suffix": extract_longest_suffix,
 }
 SQL = {

@@ -57,7 +57,7 @@ def test_case_variants(spark):
     assert one(spark, M.case_variants, "Amidae") == ["Amidae", "Amida", "Amidais"]
     assert one(spark, M.case_variants, "Altino") == ["Altino", "Altinum", "Altinus", "Altinos"]
     assert one(spark, M.case_variants, "") == []
-    assert [v["value"] for v in M.variants_of("Altino", "")] == ["Altino", "Altinum", "Altinus", "Altinos"]
+    assert [v[0] for v in variants(spark, "Altino", "")] == ["Altino", "Altinum", "Altinus", "Altinos"]
 
 
 def test_toponymic(spark):
@@ -65,12 +65,17 @@ def test_toponymic(spark):
     assert made[0]["value"] == "Sirm" and made[0]["rule"] == "toponymic_iensis_stem" and "Sirmium" not in [m["value"] for m in made]
 
 
-def test_candidates_order():
-    made = M.variants_of("Resain - Theodosiopoli", "tail")
-    assert [(v["value"], v["rule"], v["tier"]) for v in made[:3]] == [("Resain - Theodosiopoli", "original", 0), ("Resain", "alias", 0), ("Theodosiopoli", "alias", 0)]
-    assert [v["value"] for v in M.variants_of("sirmensis", "factory")] == ["sirmensis", "Sirmium"]
-    assert ("Castra Martis", "in_castris", 0) in [(v["value"], v["rule"], v["tier"]) for v in M.variants_of("milites in castris Martis", "tail")]
-    assert M.variants_of(None, None) == [] and M.variants_of("", "limes")[0]["value"] == "Limes"
+def variants(spark, name, source):
+    rows = M.variant_rows(spark.createDataFrame([(name, source)], "place_name string, place_source string")).orderBy("ord").collect()
+    assert [r["ord"] for r in rows] == list(range(len(rows)))
+    return [(r["value"], r["rule"], r["tier"]) for r in rows]
+
+
+def test_candidates_order(spark):
+    assert variants(spark, "Resain - Theodosiopoli", "tail")[:3] == [("Resain - Theodosiopoli", "original", 0), ("Resain", "alias", 0), ("Theodosiopoli", "alias", 0)]
+    assert [v[0] for v in variants(spark, "sirmensis", "factory")] == ["sirmensis", "Sirmium"]
+    assert ("Castra Martis", "in_castris", 0) in variants(spark, "milites in castris Martis", "tail")
+    assert variants(spark, None, None) == [] and variants(spark, "", "limes")[0][0] == "Limes"
 
 
 def test_qualifiers(spark):
