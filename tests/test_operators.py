@@ -108,15 +108,15 @@ def test_relational(spark):
 
 
 def test_extraction():
-    g = extract.Geography(["africae", "arabiae", "daciae ripensis"])
+    g = extract.Reader(["africae", "arabiae", "daciae ripensis"])
     assert g.station("Cartha, nunc Sala") == [("place", "Cartha", "tail"), ("place", "Sala", "alternate")]
     assert g.station("Siscia in Africae") == [("place", "Siscia", "tail"), ("province", "Africae", "tail")]
     assert g.station("Aquis daciae ripensis") == [("place", "Aquis", "tail"), ("province", "daciae ripensis", "tail")]
     assert g.station("contra Acinco in barbarico in castello Onagrino") == [("place", "Onagrino", "castello")]
     assert g.station("prope Bononia") == [("place", "Bononia", "prope")] and g.station("A siue B") == [("place", "A", "tail"), ("place", "B", "tail")]
-    assert g.of_factory("scutaria Augusta") == ("scutaria", [("place", "Augusta", "factory")])
-    assert g.embedded("thesaurorum per Syriam et Romam - x", "praepositus") == [("place", "per Syriam", "unit"), ("place", "Romam", "unit")]
-    assert g.of_unit("limitis Tentheitani", "", "", True) == [("place", "Tentheitani", "limes")]
+    assert g.workshop("scutaria Augusta") == ("scutaria", [("place", "Augusta", "factory")])
+    assert g.within("thesaurorum per Syriam et Romam - x", "praepositus") == [("place", "per Syriam", "unit"), ("place", "Romam", "unit")]
+    assert g.line("limitis Tentheitani", "", "", True) == [("place", "Tentheitani", "limes")]
     assert g.station("") == []
 
 
