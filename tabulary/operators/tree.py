@@ -54,22 +54,33 @@ def lines_in_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     return merged.withColumn("_at", at).where("raw is not null and line > _at.line_start and line <= _at.line_end").select(*lines.columns, F.col("_at.chapter_no").alias("chapter_no"))
 
 
-def headings_by_indent(lines: DataFrame, levels: int = 16) -> DataFrame:
+def headings_by_indent(lines: DataFrame) -> DataFrame:
     """lines with is_block and parent_line: the nearest open heading (ending in ':') with a smaller indent, null at the top.
 
-    A heading is closed by any later line indented no deeper, so for each level the last heading is open when no line
-    as shallow came after it. That is a running window per chapter, without a stack; `levels` bounds the indent, and
-    deeper lines hang on the deepest open heading below it.
+    A heading is closed by any later line indented no deeper, so what is open is a stack that every line trims. Lines
+    stream through in order, chapter by chapter, whatever their depth; memory is the open headings of one chapter.
     """
     scope = [c for c in ("document", "chapter_no") if c in lines.columns]
-    before = W.partitionBy(*scope).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    block = F.col("label").endswith(":")
-    opened = [F.last(F.when(block & (F.col("level") == n), F.col("line")), ignorenulls=True).over(before) for n in range(levels)]
-    shallow = [F.last(F.when(F.col("level") <= n, F.col("line")), ignorenulls=True).over(before) for n in range(levels)]
-    tagged = lines.withColumn("is_block", block).withColumn("_o", F.array(*opened)).withColumn("_s", F.array(*shallow))
-    live = F.filter(F.sequence(F.lit(0), F.least(F.col("level"), F.lit(levels)) - 1), lambda n: F.get("_o", n) == F.get("_s", n))
-    parent = F.when((F.col("level") > 0) & (F.size(live) > 0), F.get("_o", F.element_at(live, -1)))
-    return tagged.withColumn("parent_line", parent).drop("_o", "_s")
+    names = [f.name for f in lines.schema]
+    at, line, level, label = [names.index(c) for c in scope], names.index("line"), names.index("level"), names.index("label")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, stack = None, []
+        for batch in batches:
+            blocks, parents = [], []
+            for row in batch[names].itertuples(index=False, name=None):
+                if [row[i] for i in at] != here:
+                    here, stack = [row[i] for i in at], []
+                while stack and stack[-1][0] >= row[level]:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                blocks.append(str(row[label]).endswith(":"))
+                if blocks[-1]:
+                    stack.append((row[level], row[line]))
+            yield batch.assign(is_block=blocks, parent_line=pd.array(parents, dtype="Int64"))
+
+    return lines.repartition(*scope).sortWithinPartitions(*scope, "line").mapInPandas(run, f"{fields}, is_block boolean, parent_line bigint").withColumn("parent_line", F.col("parent_line").cast(lines.schema["line"].dataType))
 
 
 def flat_blocks(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,61 +95,58 @@ def flat_blocks(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 NODES = "document string, chapter_no int, line int, parent_line int, tag string, type string, level int, text string, suppress boolean, owner_title string, path array<struct<line:int,type:string,title:string>>"
-PRODUCTION = re.compile(r";*(?:armorum|armamentaria|sagittaria|loricaria|scutaria|scutorum|arcuaria|spatharia|balistaria|clibanaria|hastaria)\b", re.I)
-
-
-class _Chapter:
-    """The open headings of one chapter; modes for factories and staffs decide where a line belongs."""
-
-    def __init__(self, prefix_types: list[tuple[str, str]]):
-        self.types, self.open = prefix_types, []
-        self.factory = self.workshop = self.staff = self.rank_list = None
-
-    def heading(self, line: int, text: str, level: int) -> dict:
-        kind = next((t for p, t in self.types if text.startswith(p)), "unknown")
-        return {"line": line, "type": kind, "title": text[:-1].strip(), "level": level}
-
-    def push(self, node: dict) -> dict | None:
-        del self.open[node["level"] :]
-        parent = self.open[-1] if self.open else None
-        self.open.append(node)
-        return parent
-
-    def add(self, line: int, text: str, level: int) -> tuple[dict | None, dict | None, bool, bool]:
-        """(parent, heading or None, in a factory, tail suppressed)."""
-        low = " ".join(text.lower().split())
-        if low.startswith("officium") and text[-1:] in ":;":
-            node = self.heading(line, text, level) | {"staff": True}
-            self.factory = self.workshop = self.rank_list = None
-            self.staff = node
-            return self.push(node), node, False, False
-        if text.endswith(":"):
-            node = self.heading(line, text, level)
-            if low.startswith("fabricae "):
-                self.staff = self.rank_list = self.workshop = None
-                self.factory = node
-                return self.push(node), node, False, False
-            if self.staff and level == self.staff["level"] and low.startswith("habet autem dignitates"):
-                self.rank_list = node
-                self.open.append(node)
-                return self.staff, node, False, False
-            if self.staff and level <= self.staff["level"]:
-                self.staff = self.rank_list = None
-            if self.factory:
-                if PRODUCTION.match(low):
-                    return self.workshop or self.factory, None, True, False
-                self.workshop = node
-                return self.factory, node, False, False
-            return self.push(node), node, False, False
-        if self.factory:
-            return self.workshop or self.factory, None, True, False
-        if self.staff:
-            own = self.staff["level"]
-            if level > own or (0 < own == level and not self.rank_list):
-                return self.rank_list or self.staff, None, False, True
-            self.staff = self.rank_list = None
-        del self.open[level:]
-        return (self.open[-1] if self.open else None), None, False, any(n.get("staff") for n in self.open)
+PRODUCTION = r"(?i)^;*(?:armorum|armamentaria|sagittaria|loricaria|scutaria|scutorum|arcuaria|spatharia|balistaria|clibanaria|hastaria)\b"
+#: What a line does to the open headings, by where it stands and what it is: (place, kind, what happens, its parent).
+#: Places: staff and factory, below such a heading, and open, anywhere else. `push` closes headings as deep as the line and
+#: opens it, `append` opens it below all, `trim` only closes, `keep` leaves them. Parents: the stack's top, or a line.
+MOVES = [
+    ("any", "staff heading", "push", "stack"),
+    ("any", "factory heading", "push", "stack"),
+    ("staff", "rank heading", "append", "staff_line"),
+    ("factory", "production", "keep", "workshop_line"),
+    ("factory", "heading", "keep", "factory_line"),
+    ("factory", "text", "keep", "workshop_line"),
+    ("any", "heading", "push", "stack"),
+    ("any", "production", "push", "stack"),
+    ("any", "rank heading", "push", "stack"),
+    ("staff", "text", "keep", "rank_line"),
+    ("any", "text", "trim", "stack"),
+]
+
+
+def with_modes(lines: DataFrame) -> DataFrame:
+    """lines with kind, place (staff, factory or open), move and parent (see MOVES), all by running windows of a chapter.
+
+    A staff or factory heading begins a stretch. A factory lasts until the next such heading; a staff until a heading as shallow as
+    its own, other than its rank list, or a line as shallow that no rank list has been opened for.
+    """
+    low, heading = F.lower(squeeze(F.col("label"))), F.col("label").endswith(":")
+    kind = (
+        F.when(low.startswith("officium") & F.col("label").rlike("[:;]$"), "staff heading").when(heading & low.startswith("fabricae "), "factory heading")
+        .when(heading & low.startswith("habet autem dignitates"), "rank heading").when(heading & low.rlike(PRODUCTION), "production").when(heading, "heading").otherwise("text")
+    )
+    scope = W.partitionBy("document", "chapter_no").orderBy("line")
+    begins = F.col("kind").isin("staff heading", "factory heading")
+    marked = lines.withColumn("kind", kind).withColumn("stretch", F.count_if(begins).over(scope.rowsBetween(W.unboundedPreceding, 0)))
+    stretch = W.partitionBy("document", "chapter_no", "stretch").orderBy("line")
+    before, upto = stretch.rowsBetween(W.unboundedPreceding, -1), stretch.rowsBetween(W.unboundedPreceding, 0)
+    first = marked.withColumns({"opened_by": F.first("kind").over(upto), "opened_at": F.first("line").over(upto), "opened_level": F.first("level").over(upto)}).withColumn("opened_by", F.when(F.col("stretch") > 0, F.col("opened_by")))
+    own = F.col("opened_level")
+    ranks = (F.col("kind") == "rank heading") & (F.col("level") == own)
+    ranked = first.withColumns({"is_rank": ranks, "rank_line": F.last(F.when(ranks, F.col("line")), ignorenulls=True).over(before), "workshop": F.last(F.when(F.col("kind").isin("heading", "rank heading"), F.col("line")), ignorenulls=True).over(before)})
+    stays = F.when(F.col("kind") == "text", (F.col("level") > own) | ((own > 0) & (F.col("level") == own) & F.col("rank_line").isNull())).otherwise((F.col("level") > own) | F.col("is_rank"))
+    left = F.max((~stays & ~begins).cast("int")).over(upto) == 1
+    place = F.when(F.col("opened_by") == "factory heading", "factory").when((F.col("opened_by") == "staff heading") & ~left, "staff").otherwise("open")
+    placed = ranked.withColumn("place", place)
+    told = F.when((F.col("kind") == "rank heading") & ~((F.col("place") == "staff") & F.col("is_rank")), "heading").otherwise(F.col("kind"))
+    placed = placed.withColumn("kind", told)
+    parents = {"stack": F.lit(None).cast("int"), "staff_line": F.col("opened_at"), "factory_line": F.col("opened_at"), "workshop_line": F.coalesce("workshop", "opened_at"), "rank_line": F.coalesce("rank_line", "opened_at")}
+    move = parent = None
+    for where, what, does, hangs in MOVES:
+        fits = (F.col("kind") == what) & (F.lit(True) if where == "any" else F.col("place") == where)
+        move = F.when(fits, does) if move is None else move.when(fits, does)
+        parent = F.when(fits, parents[hangs]) if parent is None else parent.when(fits, parents[hangs])
+    return placed.withColumns({"move": move, "told_parent": parent})
 
 
 def _stream(body: DataFrame, schema: str, machine) -> DataFrame:
@@ -168,28 +176,39 @@ def _body(lines: DataFrame, *extra: Column) -> DataFrame:
 
 
 def parse_chapters(lines: DataFrame, heading_types: list[tuple[str, str]], unit_types: list[tuple[str, str]]) -> DataFrame:
-    """Nodes of every chapter by the heading stack with factory and staff modes (see NODES).
+    """Nodes of every chapter by the open headings, with factory and staff modes (see NODES and MOVES).
 
-    lines: with document, chapter_no, line, level, label. All state ends with the chapter, so chapters are parsed in
-    parallel.
+    lines: with document, chapter_no, line, level, label. Kinds, modes, types and the parents that modes dictate are
+    columns; only the stack itself streams through the chapter in order, so a chapter may be of any length.
     """
+    from tabulary.functions.rules import first_prefix
+
+    body = with_modes(_body(lines, F.col("level")))
+    heads = F.col("kind").endswith("heading") | ((F.col("kind") == "production") & (F.col("place") != "factory"))
+    title = F.trim(F.regexp_replace("label", "[:;]$", ""))
+    works = (F.col("place") == "factory") & ~heads
+    typed = F.when(heads, first_prefix(F.col("label"), heading_types)).when(works, "factory").otherwise(first_prefix(F.col("label"), unit_types))
+    ready = body.select("document", "chapter_no", "line", "level", "move", F.col("told_parent").cast("int").alias("told_parent"), heads.alias("heads"), (F.col("kind") == "staff heading").alias("staff"), ((F.col("place") == "staff") & (F.col("kind") == "text")).alias("held"), typed.alias("type"), F.when(heads, title).otherwise(F.col("label")).alias("title"), "label")
 
     def machine():
-        chapter, paths = _Chapter(heading_types), {}
-
-        def step(document, number, line, level, label):
-            parent, heading, factory, suppress = chapter.add(line, label, level)
-            path = [*paths.get(parent["line"], []), {"line": parent["line"], "type": parent["type"], "title": parent["title"]}] if parent else []
-            if heading:
-                paths[heading["line"]] = path
-                tag, kind = "group", heading["type"]
-            else:
-                tag = kind = "factory" if factory else next((t for p, t in unit_types if label.startswith(p)), "unknown")
-            return document, number, line, parent["line"] if parent else None, tag, kind, level, heading["title"] if heading else label, suppress, label if heading and heading.get("staff") else None, path
+        stack: list[dict] = []  # open headings
+        known: dict[int, dict] = {}  # every heading of the chapter that lines may hang on
+
+        def step(document, number, line, level, move, told, heads, staff, held, kind, title, label):
+            if move in ("push", "trim"):
+                del stack[level:]
+            parent = (stack[-1] if stack else None) if told != told or told is None else known[int(told)]
+            path = [*parent["path"], {"line": parent["line"], "type": parent["type"], "title": parent["title"]}] if parent else []
+            suppress = bool(held) or (move == "trim" and any(h["staff"] for h in stack))
+            if heads:
+                known[line] = {"line": line, "type": kind, "title": title, "staff": bool(staff), "path": path}
+                if move in ("push", "append"):
+                    stack.append(known[line])
+            return document, number, line, parent["line"] if parent else None, "group" if heads else kind, kind, level, title, suppress, label if staff else None, path
 
         return step
 
-    return _stream(_body(lines, F.col("level")), NODES, machine)
+    return _stream(ready, NODES, machine)
 
 
 def adjacency(lines: DataFrame) -> DataFrame:
