@@ -58,3 +58,44 @@ def keep_all_if_empty(df: DataFrame, key: str, wanted: Column) -> DataFrame:
     """Per key the rows that fit, or all its rows when none does. The test is pre-aggregated per key."""
     any_fit = df.groupBy(key).agg(F.bool_or(F.coalesce(wanted, F.lit(False))).alias("_any"))
     return df.join(any_fit, key).where(F.coalesce(wanted, F.lit(False)) | ~F.col("_any")).drop("_any")
+
+
+def selected_mentions(clicks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, shown, selected): for each clicked place (id, name, qualifier, line) how many mentions (mention_id, name, qualifier, line) are shown, and the one that is selected.
+
+    Shown are the mentions of the name with the click's qualifier, or all of them when none has it. Selected is the
+    first of them on the click's line, else the only one there is. Mentions are counted by name, qualifier and line
+    beforehand, so a click meets one row each, however often its name occurs. A null qualifier or line is none.
+    """
+    clean = lambda c: F.lower(squeeze(F.coalesce(F.col(c), F.lit(""))))
+    m = mentions.select("mention_id", clean("name").alias("k"), clean("qualifier").alias("q"), F.col("line").alias("l")).where("k <> ''")
+    count = [F.count("*").alias("n"), F.min("mention_id").alias("one")]
+    counts = lambda *by: m.groupBy(*by).agg(*count)
+    c = clicks.select("id", clean("name").alias("k"), clean("qualifier").alias("q"), F.col("line").alias("l"))
+    for keys, tag in ((["k", "q"], "same"), (["k"], "all"), (["k", "q", "l"], "same_line"), (["k", "l"], "all_line")):
+        c = c.join(counts(*keys).withColumnsRenamed({"n": f"{tag}_n", "one": f"{tag}_one"}), keys, "left")
+    same = F.coalesce(F.col("same_n") > 0, F.lit(False)) & (F.col("q") != "")
+    shown = F.when(same, F.col("same_n")).otherwise(F.coalesce("all_n", F.lit(0)))
+    on_line, only = F.when(same, F.col("same_line_one")).otherwise(F.col("all_line_one")), F.when(same, F.col("same_one")).otherwise(F.col("all_one"))
+    return c.select("id", shown.alias("shown"), F.coalesce(on_line, F.when(shown == 1, only)).alias("selected"))
+
+
+EVIDENCE = {"document": 4, "chapter": 4, "unit": 3, "office": 2}
+
+
+def picked_occurrences(places: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(id, occurrence_id, score): the occurrence (occurrence_id, ord, name, document, chapter, unit, office) that fits each place (id, names array, document, ..) best, by EVIDENCE; the first on a tie.
+
+    Both sides are reduced to their distinct names and evidence first, so repeated contexts of a frequent name meet once.
+    A blank piece of evidence counts nothing. Places whose names occur nowhere are left out.
+    """
+    clean = lambda c: F.lower(squeeze(F.coalesce(F.col(c), F.lit("")))).alias(c)
+    keys = list(EVIDENCE)
+    there = occurrences.select(clean("name"), *map(clean, keys), "ord", "occurrence_id").where("name <> ''").groupBy("name", *keys).agg(F.min(F.struct("ord", "occurrence_id")).alias("first"))
+    wanted = places.select("id", F.array_sort(F.array_distinct(F.filter(F.transform("names", lambda n: F.lower(squeeze(F.coalesce(n, F.lit(""))))), lambda n: n != ""))).alias("names"), *map(clean, keys))
+    distinct = wanted.select("names", *keys).distinct()
+    pairs = distinct.select("names", *[F.col(k).alias(f"_{k}") for k in keys], F.explode("names").alias("name")).join(there, "name")
+    score = sum((F.when((F.col(f"_{k}") != "") & (F.col(f"_{k}") == F.col(k)), weight).otherwise(0) for k, weight in EVIDENCE.items()), F.lit(0))
+    best = pairs.withColumn("s", score).groupBy("names", *[f"_{k}" for k in keys]).agg(F.min(F.struct((-F.col("s")).alias("s"), "first")).alias("b"))
+    joined = wanted.join(best.select("names", *[F.col(f"_{k}").alias(k) for k in keys], "b"), ["names", *keys])
+    return joined.select("id", F.col("b.first.occurrence_id").alias("occurrence_id"), (-F.col("b.s")).alias("score"))

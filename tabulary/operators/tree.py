@@ -236,6 +236,60 @@ def adjacency(lines: DataFrame) -> DataFrame:
     return _stream(_body(lines, (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent")), "document string, chapter_no int, line int, parent_line int, level int, kind string, text string", machine)
 
 
+def index_navigator(lines: DataFrame, groups: list[str]) -> DataFrame:
+    """(document, line, parent_line, level, label) of the index, which is each document's first chapter numbered I: groups by their beginnings, regions ('Per ..') in them, entries in the nearest.
+
+    lines: of with_chapters. The chapter is level 1; entries before any group hang on it.
+    """
+    first = lines.where("is_chapter and chapter_roman = 'I'").groupBy("document").agg(F.min("chapter_no").alias("_c"), F.min("line").alias("_start"))
+    inside = lines.join(first, "document").where(F.col("chapter_no") == F.col("_c"))
+    label = F.regexp_replace(F.regexp_replace("label", r"\.+$", ""), ":+$", "")
+    begins = F.lit(False)
+    for g in groups:
+        begins = begins | label.startswith(g)
+    kind = F.when(F.col("is_chapter"), "chapter").when(begins, "group").when(label.startswith("Per "), "region").otherwise("entry")
+    before = W.partitionBy("document").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    told = inside.withColumn("_k", kind).withColumn("_g", F.last(F.when(F.col("_k") == "group", F.col("line")), ignorenulls=True).over(before))
+    told = told.withColumn("_r", F.last(F.when(F.col("_k").isin("group", "region"), F.struct(F.col("_k").alias("k"), "line")), ignorenulls=True).over(before))
+    region = F.when(F.col("_r.k") == "region", F.col("_r.line"))
+    parent = F.when(F.col("_k") == "group", F.col("_start")).when(F.col("_k") == "region", F.col("_g")).when(F.col("_k") == "entry", F.coalesce(region, "_g", "_start"))
+    level = F.when(F.col("_k") == "chapter", 1).when(F.col("_k") == "group", 2).when(F.col("_k") == "region", 3).when(region.isNotNull(), 4).when(F.col("_g").isNotNull(), 3).otherwise(2)
+    return told.select("document", "line", parent.alias("parent_line"), level.alias("level"), F.when(F.col("_k") == "chapter", F.col("label")).otherwise(label).alias("label"))
+
+
+def province_references(nodes: DataFrame, categories: list[tuple[str, str]]) -> DataFrame:
+    """(document, line, source_class, source_group, name): the entries of the index chapter below a block of a category (pattern, class), with the block directly within it that holds them.
+
+    nodes: of parse_chapters. Entries of any depth count; blocks are none.
+    """
+    from tabulary.functions.rules import first_match
+
+    first = nodes.groupBy("document").agg(F.min("chapter_no").alias("_c"))
+    below = nodes.join(first, "document").where((F.col("chapter_no") == F.col("_c")) & (F.col("tag") != "group") & (F.size("path") > 0))
+    named = below.withColumn("source_class", first_match(F.col("path")[0]["title"], [(rf"(?i)\b{p}\b", c) for p, c in categories]))
+    return named.where("source_class is not null and trim(text) <> ''").select("document", "line", "source_class", F.coalesce(F.get("path", F.lit(1))["title"], F.lit("")).alias("source_group"), squeeze(F.col("text")).alias("name"))
+
+
+def context_text(nodes: DataFrame, shown: tuple[str, ...] = ("place", "province", "region", "title"), stop: tuple[str, ...] = ("chapter", "document")) -> DataFrame:
+    """(node_id, context): from each node up to its chapter the marks of the nodes, the texts of their shown children, and the node's own text.
+
+    nodes (node_id, parent_id, tag, ord, text, marks array<string>). Ancestors come from one recursive query over the
+    ids; nothing above the first chapter or document on the way is taken.
+    """
+    from tabulary.functions.text import norm_place_text
+
+    kids = nodes.where(F.col("parent_id").isNotNull() & F.col("tag").isin(*shown) & (F.trim("text") != "")).groupBy(F.col("parent_id").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("node_id").alias("i"), F.trim("text").alias("t")))), lambda s: s["t"]).alias("_kids"))
+    own = nodes.select(F.col("node_id").alias("_id"), F.col("tag").alias("_tag"), "marks").join(kids, "_id", "left")
+    parts = own.select("_id", "_tag", F.array_join(F.concat(F.coalesce("marks", F.array().cast("array<string>")), F.coalesce("_kids", F.array().cast("array<string>"))), " ").alias("_part"))
+    up = paths(nodes, "node_id", "parent_id", "tag").select("node", "path", F.reverse("ids").alias("ids"), F.reverse("path").alias("tags"))
+    end = F.array_min(F.filter(F.transform("tags", lambda t, i: F.when(t.isin(*stop), i + 1)), lambda i: i.isNotNull()))
+    spread = up.select("node", F.posexplode(F.slice("ids", F.lit(1), F.coalesce(end, F.size("ids")))).alias("n", "_id"))
+    joined = spread.join(parts, "_id").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "_part"))), lambda s: s["_part"]).alias("_parts"))
+    text = nodes.select(F.col("node_id").alias("node"), F.trim(F.coalesce("text", F.lit(""))).alias("_own"))
+    whole = joined.join(text, "node").select("node", F.array_join(F.concat(F.slice("_parts", F.lit(1), F.lit(1)), F.array("_own"), F.slice("_parts", F.lit(2), F.size("_parts"))), " ").alias("c"))
+    return whole.select(F.col("node").alias("node_id"), norm_place_text(F.col("c")).alias("context"))
+
+
 def roman(number: Column) -> Column:
     """A number from 1 to 3999 as a Roman numeral, '' otherwise."""
     table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).alias("s")) for v, s in ROMAN])

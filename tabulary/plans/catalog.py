@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulary.plans import data_quality, geo_queries, link_queries, publish_queries, report_queries, search_queries, text_queries, tree_queries
+from tabulary.plans import data_quality, detail_queries, geo_queries, link_queries, publish_queries, report_queries, search_queries, text_queries, tree_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [search_queries, text_queries, tree_queries, link_queries, geo_queries, publish_queries, report_queries, data_quality]
+MODULES: list = [search_queries, text_queries, tree_queries, link_queries, geo_queries, publish_queries, report_queries, detail_queries, data_quality]
 
 
 def queries() -> dict[str, Query]:

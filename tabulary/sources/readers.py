@@ -58,10 +58,42 @@ def geo_features(texts: DataFrame) -> DataFrame:
 
 
 def xml_tree(texts: DataFrame) -> DataFrame:
-    """Nodes of XML documents (document, text): id, parent, order, index path, tag, text and attributes; a document that does not parse has none."""
+    """Nodes of XML documents (document, text): id, parent, order, index path, tag, text and attributes; a document that does not parse has none and is listed by xml_errors."""
     return texts.select("document", "text").mapInPandas(xml_nodes, XML_SCHEMA)
 
 
+def xml_errors(texts: DataFrame) -> DataFrame:
+    """(document, error) of the XML documents (document, text) that do not parse; null text is no document."""
+    def failed(batches):
+        import xml.etree.ElementTree as ET
+
+        for batch in batches:
+            rows = []
+            for document, text in zip(batch["document"], batch["text"], strict=True):
+                try:
+                    ET.fromstring(text)
+                except ET.ParseError as e:
+                    rows.append((document, str(e)))
+            yield batch.iloc[:0][["document"]].assign(error="") if not rows else type(batch)(rows, columns=["document", "error"])
+
+    return texts.select("document", "text").where("text is not null").mapInPandas(failed, "document string, error string")
+
+
+def read_chapter_urls(spark: SparkSession, path: str) -> DataFrame:
+    """(document, chapter, folio, url) of a delimited file of chapters; rows without document, chapter number or url are out, of repeated chapters the last stays."""
+    rows = read_delimited(spark, path)
+    missing = [c for c in ("document", "chapter", "start_folio", "url") if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    clean = rows.select(F.trim("document").alias("document"), F.trim("chapter").try_cast("int").alias("chapter"), F.trim("start_folio").alias("folio"), F.trim("url").alias("url"), F.monotonically_increasing_id().alias("_o")).where("document <> '' and chapter <> 0 and url <> ''")
+    return clean.groupBy("document", "chapter").agg(F.max_by(F.struct("folio", "url"), "_o").alias("v")).select("document", "chapter", "v.folio", "v.url")
+
+
+def with_urls(chapters: DataFrame, urls: DataFrame) -> DataFrame:
+    """chapters (document, chapter, ..) with the folio and url of their chapter, null where there is none."""
+    return chapters.join(urls, ["document", "chapter"], "left")
+
+
 def shape(texts: DataFrame) -> DataFrame:
     """(schema): the merged shape of JSON documents (text)."""
     return texts.select(F.schema_of_variant_agg(F.parse_json("text")).alias("schema"))
@@ -77,42 +109,55 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def json_array_items(batches, key: str = "@graph", chunk: int = 1 << 20):
     """Members of the array under a key of JSON files, a chunk at a time, for mapInPandas over (uri): (uri, ord, item text).
 
-    The file is never held whole: the decoder takes one member after another from a sliding buffer.
+    The file is never held whole: the decoder takes one member after another from a sliding buffer, and before the key
+    only as much is kept as the key is long. A member is taken when what follows it has been read, so a number is never
+    cut at the edge of a chunk. ValueError for a file without the key, and for one that ends or goes wrong within the array.
     """
+    import codecs
     import json
 
     import pandas as pd
     from pyarrow import fs
 
-    decoder = json.JSONDecoder()
+    decoder, name = json.JSONDecoder(), f'"{key}"'
     for batch in batches:
         for uri in batch["uri"]:
             system, path = fs.FileSystem.from_uri(uri)
             with system.open_input_stream(path) as raw:
-                import codecs
-
-                decode, buffer, inside, rows, n = codecs.getincrementaldecoder("utf-8-sig")().decode, "", False, [], 0
-                while True:
+                decode, buffer, state, rows, n, ended = codecs.getincrementaldecoder("utf-8-sig")().decode, "", "key", [], 0, False
+                while state != "done":
                     data = raw.read(chunk)
-                    buffer += decode(data, final=not data)
-                    if not inside and (at := buffer.find(f'"{key}"')) >= 0 and (start := buffer.find("[", at)) >= 0:
-                        buffer, inside = buffer[start + 1 :], True
-                    while inside:
+                    ended = not data
+                    buffer += decode(data, final=ended)
+                    if state == "key":
+                        at = buffer.find(name)
+                        buffer, state = (buffer[at + len(name) :], "start") if at >= 0 else (buffer[-len(name) :], "key")
+                    if state == "start" and (rest := buffer.lstrip(" \r\n\t:")):
+                        if rest[0] != "[":
+                            buffer, state = rest, "key"
+                            continue
+                        buffer, state = rest[1:], "items"
+                    while state == "items":
                         buffer = buffer.lstrip(" \r\n\t,")
                         if buffer.startswith("]"):
-                            data, inside = b"", False
+                            state = "done"
                             break
                         try:
                             item, end = decoder.raw_decode(buffer)
                         except ValueError:
                             break
+                        after = buffer[end:].lstrip(" \r\n\t")
+                        if not after or after[0] not in ",]":
+                            if after:
+                                raise ValueError(f"{uri}: item {n} of {key} is followed by {after[:20]!r}")
+                            break
                         rows.append((uri, n, json.dumps(item, ensure_ascii=False)))
-                        n, buffer = n + 1, buffer[end:]
+                        n, buffer = n + 1, after
                         if len(rows) >= 5000:
                             yield pd.DataFrame(rows, columns=["uri", "ord", "item"])
                             rows = []
-                    if not data:
-                        break
+                    if ended and state != "done":
+                        raise ValueError(f"{uri}: " + (f"no array {key}" if state != "items" else f"ends within {key} after {n} items"))
                 yield pd.DataFrame(rows, columns=["uri", "ord", "item"])
 
 

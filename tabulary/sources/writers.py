@@ -1,20 +1,44 @@
-"""Writers: fixed columns, ; or , delimited, JSON documents, XML rows and reports. Spark's commit protocol replaces atomically."""
+"""Writers: fixed columns, ; or , delimited, JSON documents, XML rows and reports. A table that is written anew is first written beside the old one, then put in its place."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside path to write to; on success it takes path's place by renames, and on failure path stays as it was."""
+    jvm, beside, old = spark._jvm.org.apache.hadoop.fs, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    target = jvm.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield beside
+        had = files.exists(target)
+        if had and not files.rename(target, jvm.Path(old)):
+            raise OSError(f"{path} cannot be moved aside")
+        if not files.rename(jvm.Path(beside), target):
+            if had:
+                files.rename(jvm.Path(old), target)
+            raise OSError(f"{path} cannot be replaced")
+        if had:
+            files.delete(jvm.Path(old), True)
+    finally:
+        files.delete(jvm.Path(beside), True)
+
+
 def write_delimited(df: DataFrame, path: str, columns: Sequence[str], sep: str = ",", strict: bool = False) -> None:
     """The columns in their order, null as empty. strict: fail on any other column; else leave it out. A missing one is empty."""
     extra = [c for c in df.columns if c not in columns]
     if strict and extra:
         raise ValueError(f"columns that are not written: {', '.join(extra)}")
     out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns])
-    out.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    with replacing(df.sparkSession, path) as beside:
+        out.write.csv(beside, header=True, sep=sep, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_entries(df: DataFrame, key: str, metadata: dict[str, str]) -> DataFrame:
@@ -26,7 +50,8 @@ def json_entries(df: DataFrame, key: str, metadata: dict[str, str]) -> DataFrame
 
 def write_xml(df: DataFrame, path: str, row: str, root: str) -> None:
     """Flat rows as XML elements."""
-    df.write.mode("overwrite").format("xml").option("rowTag", row).option("rootTag", root).save(path)
+    with replacing(df.sparkSession, path) as beside:
+        df.write.format("xml").option("rowTag", row).option("rootTag", root).save(beside)
 
 
 def tree_xml(nodes: DataFrame) -> DataFrame:
@@ -54,4 +79,5 @@ def tree_xml(nodes: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """A report (section, key, value) as lines of text, in order."""
     lines = report.orderBy("section", "key").select(F.concat_ws("\t", "section", "key", F.col("value").cast("string")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    with replacing(report.sparkSession, path) as beside:
+        lines.write.text(beside)

@@ -205,6 +205,49 @@ def test_streams(spark, tmp_path, data):
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 0
 
 
+def test_json_arrays_that_end_or_go_wrong(tmp_path):
+    import pandas as pd
+
+    def items(text, chunk=1 << 20):
+        path = tmp_path / "g.json"
+        path.write_text(text, encoding="utf-8")
+        return [i for f in readers.json_array_items(iter([pd.DataFrame({"uri": [path.as_uri()]})]), chunk=chunk) for i in f["item"]]
+
+    assert items('{"@graph":[1234567,89 , "a"]}', chunk=3) == ["1234567", "89", '"a"'] and items('{"x": "@graph", "@graph" : []}') == []
+    assert items('{"pad": "' + "x" * 10_000 + '", "@graph": [1]}', chunk=64) == ["1"]
+    for broken in ('{"@graph":[{"a":1},{"a":2},{"a":', '{"@graph":[1', '{"x":[1]}', "", '{"@graph":[1 2]}'):
+        with pytest.raises(ValueError):
+            items(broken)
+
+
+def test_writers_replace_whole_folders(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    writers.write_delimited(df, path, ["id", "v"])
+    with pytest.raises(Exception):  # noqa: B017  a write that fails leaves what was there
+        writers.write_delimited(df.select("id", F.raise_error(F.lit("stop")).cast("string").alias("v")), path, ["id", "v"])
+    assert [tuple(r) for r in readers.read_delimited(spark, path).collect()] == [("1", "a")] and len(list(tmp_path.iterdir())) == 1
+    writers.write_delimited(df.limit(0), path, ["id", "v"])
+    assert spark.read.csv(path).count() <= 1
+
+
+def test_selections(spark):
+    clicks = spark.createDataFrame([(1, "A", "x", 5), (2, "a ", None, 9), (3, "B", "q", 1), (4, None, "x", 1)], "id int, name string, qualifier string, line int")
+    mentions = spark.createDataFrame([(10, "A", "x", 5), (11, "A", "y", 9), (12, "A", "x", 7), (13, "b", None, 3)], "mention_id int, name string, qualifier string, line int")
+    got = {r["id"]: (r["shown"], r["selected"]) for r in pages.selected_mentions(clicks, mentions).collect()}
+    assert got == {1: (2, 10), 2: (3, 11), 3: (1, 13), 4: (0, None)}
+    there = spark.createDataFrame([(1, 1, "A", "d", "c", None, ""), (2, 2, "A", "d", "c", "u", None), (3, 3, "A", None, None, None, None)], "occurrence_id int, ord int, name string, document string, chapter string, unit string, office string")
+    places = spark.createDataFrame([(1, ["a", None], "D", "c", "U", None), (2, ["A"], None, None, None, None), (3, ["z"], "d", "c", "u", "o")], "id int, names array<string>, document string, chapter string, unit string, office string")
+    assert {r["id"]: (r["occurrence_id"], r["score"]) for r in pages.picked_occurrences(places, there).collect()} == {1: (2, 11), 2: (1, 0)}
+
+
+def test_unique_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    assert relational.assert_unique(df, ["v"]).count() == 3
+    with pytest.raises(Exception, match="duplicate key: 1"):
+        relational.assert_unique(df, ["k"]).collect()
+
+
 def test_json_array_in_chunks(spark, tmp_path):
     import json
 
