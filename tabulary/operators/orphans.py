@@ -82,6 +82,26 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.join(months, ["source_table", "row_id"]).groupBy("source_table", "period").agg(F.count_if(F.col("level") == 0).alias("direct"), F.count_if(F.col("level") > 0).alias("inherited"))
 
 
+def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, level, n): how many records of each table are orphaned directly (0) or at how many steps from a broken reference.
+
+    The key graph: match and context rows hang on the gazetteer's provinces, context rows also on match rows by place,
+    and gazetteer provinces on context rows that declare them, so the graph has a cycle and chains of any length.
+    """
+    direct = direct_orphans(_references(spark, sf_dir), _targets(spark, sf_dir)).select("source_table", "row_id")
+    once = {n: table(spark, sf_dir, n).dropDuplicates(["rowId"]) for n in ("place_conflict_context", "province_gazetteer", "province_pleiades_match")}
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string") if not isinstance(c, str) else F.col(c))
+    record = lambda name, k: once[name].select(F.lit(name).alias("source_table"), F.col("rowId").alias("row_id"), k.alias("own_key"))
+    link = lambda name, parent, k: once[name].select(F.lit(name).alias("source_table"), F.col("rowId").alias("row_id"), F.lit(parent).alias("parent_table"), k.alias("parent_key")).where("parent_key is not null")
+    gazetteer, match, context = "province_gazetteer", "province_pleiades_match", "place_conflict_context"
+    records = record(gazetteer, key("name", "canonicalName")).unionByName(record(match, key("place", number_key("pleiadesId")))).unionByName(record(context, key("name", "declaredProvince")))
+    links = [
+        link(match, gazetteer, key("name", "provinceName")), link(context, gazetteer, key("name", "expectedProvince")), link(context, match, key("place", number_key("pleiadesId"))), link(gazetteer, context, key("name", "canonicalName")),
+    ]
+    levels = cascade(direct, records, links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]))
+    return levels.groupBy("source_table", "level").agg(F.count("*").alias("n"))
+
+
 _ORPHANS_SQL = """
 WITH refs AS (
   SELECT DISTINCT 'place_conflict_context' AS source_table, rowId AS row_id, 'pleiadesId' AS field, 'pleiades_place' AS target, 0 AS pos,
@@ -111,3 +131,17 @@ marked AS (
 SELECT source_table, period, count(*) FILTER (is_direct) AS direct, count(*) FILTER (NOT is_direct AND is_child) AS inherited
 FROM marked WHERE is_direct OR is_child GROUP BY 1, 2
 """
+INHERITED_SQL = _ORPHANS_SQL.replace("WITH refs", "WITH RECURSIVE refs", 1) + """, d AS (SELECT DISTINCT source_table, row_id FROM orphans),
+own AS (SELECT DISTINCT 'province_gazetteer' AS t, rowId AS r, 'name:' || canonicalName AS k FROM province_gazetteer UNION ALL SELECT DISTINCT 'province_pleiades_match', rowId, 'place:' || TRY_CAST(TRY_CAST(trim(pleiadesId) AS DOUBLE) AS BIGINT) FROM province_pleiades_match
+  UNION ALL SELECT DISTINCT 'place_conflict_context', rowId, 'name:' || declaredProvince FROM place_conflict_context),
+up AS (SELECT DISTINCT 'province_pleiades_match' AS t, rowId AS r, 'province_gazetteer' AS pt, 'name:' || provinceName AS pk FROM province_pleiades_match UNION SELECT 'place_conflict_context', rowId, 'province_gazetteer', 'name:' || expectedProvince FROM place_conflict_context
+  UNION SELECT 'place_conflict_context', rowId, 'province_pleiades_match', 'place:' || TRY_CAST(TRY_CAST(trim(pleiadesId) AS DOUBLE) AS BIGINT) FROM place_conflict_context UNION SELECT 'province_gazetteer', rowId, 'place_conflict_context', 'name:' || canonicalName FROM province_gazetteer),
+ok AS (SELECT DISTINCT t, k FROM own WHERE k IS NOT NULL),
+kids AS (SELECT DISTINCT up.pt, up.pk, c.t, c.k FROM up JOIN own c ON c.t = up.t AND c.r = up.r WHERE up.pk IS NOT NULL AND c.k IS NOT NULL),
+bad AS (SELECT DISTINCT o.t, o.k, 0 AS level FROM own o JOIN d ON d.source_table = o.t AND d.row_id = o.r WHERE o.k IS NOT NULL
+  UNION SELECT kids.t, kids.k, level + 1 FROM bad JOIN kids ON kids.pt = bad.t AND kids.pk = bad.k WHERE level < 12),
+keys AS (SELECT t, k, min(level) AS level FROM bad GROUP BY 1, 2),
+met AS (SELECT source_table AS t, row_id AS r, 0 AS level FROM d UNION ALL SELECT up.t, up.r, min(keys.level) + 1 FROM up JOIN keys ON keys.t = up.pt AND keys.k = up.pk GROUP BY 1, 2),
+least AS (SELECT t, r, min(level) AS level FROM met GROUP BY 1, 2)
+SELECT t AS source_table, CAST(level AS INTEGER) AS level, count(*) AS n FROM least GROUP BY 1, 2
+"""
