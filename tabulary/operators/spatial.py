@@ -18,7 +18,7 @@ from tabulary.session import table, written
 TRIANGLES = "region bigint, parity boolean, ax double, ay double, bx double, by double, cx double, cy double"
 #: Leaves of the hierarchy: one for so many triangles, at most MAX_LEAVES. Its split planes come from at most SPLIT_SAMPLE
 #: triangles; every triangle is then sent to a leaf and the leaves' boxes are taken over all of them.
-LEAF_TRIANGLES, MAX_LEAVES, SPLIT_SAMPLE = 16, 4096, 20_000
+LEAF_TRIANGLES, MAX_LEAVES, SPLIT_SAMPLE = 16, 65_536, 200_000
 
 
 def _triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +77,7 @@ def inside_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
 
     Polygons become triangles by ear clipping; a bounding-volume hierarchy sends triangles and points to leaves, where
     they meet by an equi-join on the leaf and are tested exactly. Points and triangles may both be of any number:
-    only the boxes of at most 4,096 leaves go to the tasks. A point in overlapping regions comes out with each; one
+    only the boxes of at most MAX_LEAVES leaves (4 MB) go to the tasks. A point in overlapping regions comes out with each; one
     that lies on nothing but boundaries counts for the lowest region among them. Null coordinates and null, empty or
     other geometries match nothing.
     """
@@ -155,15 +155,18 @@ def nearest_region(points: DataFrame, regions: DataFrame, within_km: float, cell
     """(key, region, km): for each point (key, lat, lon) the region with the nearest edge within a distance, the first in order among equals.
 
     Edges and points meet in cells of `cell` degrees. An edge is entered in every cell its box, widened by the
-    distance, touches; so a point finds in its own cell all edges that can be near enough. Works for latitudes up to 89.
+    distance, touches; so a point finds in its own cell all edges that can be near enough. Close to a pole an edge is entered
+    all the way round; points close to the date line are looked up from both of its sides.
     """
     from tabulary.functions.geo import segment_km
 
     degrees = within_km / 110.57
-    widen = F.lit(degrees) / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y1"), F.abs("y2")) + degrees)))
+    reach = lambda lat: F.least(F.lit(360.0), F.lit(degrees) / F.cos(F.radians(F.least(F.lit(89.99), lat + degrees))))
+    widen = reach(F.greatest(F.abs("y1"), F.abs("y2")))
     span = lambda a, b, w: F.sequence(F.floor((F.least(a, b) - w) / cell), F.floor((F.greatest(a, b) + w) / cell))
     edges = ring_edges(regions).withColumn("cx", F.explode(span(F.col("x1"), F.col("x2"), widen))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"), F.lit(degrees))))
-    placed = points.select("key", "lat", "lon", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    seen = F.array_compact(F.array("lon", F.when(F.col("lon") > 180 - reach(F.abs("lat")), F.col("lon") - 360), F.when(F.col("lon") < reach(F.abs("lat")) - 180, F.col("lon") + 360)))
+    placed = points.select("key", "lat", F.explode(seen).alias("lon")).select("key", "lat", "lon", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
     km = segment_km(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     met = placed.join(edges, ["cx", "cy"]).withColumn("km", km).where(F.col("km") <= within_km)
     return met.groupBy("key").agg(F.min(F.struct("km", "ord", "region")).alias("b")).select("key", "b.region", "b.km")

@@ -17,14 +17,15 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment by the even-odd test of every ring, behind a join on boxes in cells of a degree."""
+    """Containment by the even-odd test of every ring, behind a join on boxes in cells of a degree; geometries are joined to the pairs left, never copied into cells."""
     cells = lambda lo, hi: F.sequence(F.floor(lo), F.floor(hi))
     shapes = _regions(spark, sf_dir).withColumn("parts", parts_of(F.col("geometry"))).withColumn("points", F.flatten(F.flatten("parts")))
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    boxed = shapes.select("region", "parts", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    boxed = shapes.select("region", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     tiled = boxed.withColumn("cx", F.explode(cells(F.col("x0"), F.col("x1")))).withColumn("cy", F.explode(cells(F.col("y0"), F.col("y1"))))
     places = located_places(spark, sf_dir).withColumn("cx", F.floor("lon")).withColumn("cy", F.floor("lat"))
     met = places.join(tiled, ["cx", "cy"]).where("lon between x0 and x1 and lat between y0 and y1")
+    met = met.select("key", "lat", "lon", "region").join(shapes.select("region", "parts"), "region")
     return met.where(in_geometry(F.col("lon"), F.col("lat"), F.col("parts"))).select("key", "region")
 
 

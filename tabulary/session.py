@@ -40,22 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed when the application ends."""
+    """A fresh path below the shared folder, removed when it is released or the application ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     pid = os.getpid()
 
-    def remove() -> None:
-        if os.getpid() == pid:
-            try:
-                target = spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            except Exception:  # the session may be gone already
-                pass
-
-    atexit.register(remove)
+    if not SCRATCH:
+        atexit.register(lambda: os.getpid() == pid and release(spark))
+    SCRATCH.append(path)
     return path
 
 
+#: Paths of this application below the shared folder that have not been released yet.
+SCRATCH: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all scratch tables written so far: for long sessions, between queries whose results have been stored."""
+    while SCRATCH:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone already
+            return
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, label)

@@ -171,3 +171,10 @@ def test_odd_tables(spark, odd_tables, data, name):
     assert query(spark, str(odd_tables["empty"])).count() == 0 and query(spark, str(odd_tables["nulls"])).count() == 0
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(query(spark, str(odd_tables["clash"]))) == rows(query(spark, data))
+
+
+def test_nearest_region_at_the_date_line_and_the_poles(spark):
+    box = lambda x, y: f'{{"type": "Polygon", "coordinates": [[[{x}, {y}], [{x + 0.05}, {y}], [{x + 0.05}, {y + 0.05}], [{x}, {y + 0.05}], [{x}, {y}]]]}}'
+    regions = spark.createDataFrame([(1, 1, box(179.9, 10.0)), (2, 2, box(-179.95, 40.0)), (3, 3, box(20.0, 89.6))], "region long, ord long, geometry string")
+    points = spark.createDataFrame([(1, 10.02, -179.97), (2, 40.02, 179.99), (3, 89.7, 22.0), (4, 0.0, 0.0)], "key long, lat double, lon double")
+    assert {r["key"]: r["region"] for r in spatial.nearest_region(points, regions, 15.0).collect()} == {1: 1, 2: 2, 3: 3}
