@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulary.session import table, written
@@ -45,66 +47,77 @@ CASE size({0})
        || IF(size({0}) = 3, transform(sequence(0, 2), i -> concat({0}[(i + 1) % 3], {0}[i], {0}[(i + 2) % 3])), array())
 END"""
 
-# segment i of k + 1 in a reference of n letters: the last n % (k + 1) segments are one letter longer
-SEGMENT_SIZE = f"({{0}} div {EDITS + 1} + IF({{1}} > {EDITS + 1} - {{0}} % {EDITS + 1}, 1, 0))"
-SEGMENT_START = f"(1 + ({{1}} - 1) * ({{0}} div {EDITS + 1}) + greatest(0, {{1}} - 1 - ({EDITS + 1} - {{0}} % {EDITS + 1})))"
+def _segment_size(n: str, i: str, edits: int) -> str:
+    """SQL for the letters of segment i of edits + 1 in a reference of n letters: the last n % (edits + 1) segments are one letter longer."""
+    return f"({n} div {edits + 1} + IF({i} > {edits + 1} - {n} % {edits + 1}, 1, 0))"
+
+
+def _segment_start(n: str, i: str, edits: int) -> str:
+    return f"(1 + ({i} - 1) * ({n} div {edits + 1}) + greatest(0, {i} - 1 - ({edits + 1} - {n} % {edits + 1})))"
 
 
-def _list(words: tuple[str, ...]) -> str:
+def _list(words: Sequence[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def map_values(values: DataFrame, references: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, references: DataFrame, generic: Sequence[str] = GENERIC, also_in_names: Sequence[str] = ALSO_IN_NAMES, edits: int = EDITS) -> DataFrame:
     """(value, name_id) for distinct values (value) and references (name_id, name); 0 for a value that matches none.
 
     Values and names are compared without case, accents, look-alike characters, blanks and punctuation, a value also
-    in other orders of its words (all for up to three words, rotations beyond) and without generic words: the
-    added ones, all of them, or any single one. Equal
-    forms match; else a form at most two letters away: the name is cut into three segments, one of which a form within
-    two edits must contain near its place, so the join is an equality join on (length, segment, substring), and only
+    in other orders of its words and without generic words (generic: those that are added; also_in_names: those that names
+    may hold themselves), in every combination of the generic words it holds, up to six of them. Orders are all for up
+    to three words; beyond, rotations, and any order at all where the words are the same. Equal
+    forms match; else a form at most `edits` letters away: the name is cut into edits + 1 segments, one of which a form
+    within these edits must contain near its place, so the join is an equality join on (length, segment, substring), and only
     its pairs are verified by levenshtein. Else a value that ends in a full stop matches the one name that begins
-    with it. Nearest wins, the lowest name_id among equals. Null values are out; empty ones match none. Names
+    with it. Nearest wins, the lowest name_id among equals. Tables that grow with the values meet by sort-merge joins,
+    none is broadcast. Null values are out; empty ones match none. Names
     without letters or digits match nothing, and an empty list maps every value to 0.
     """
     spark = values.sparkSession
-    names = spark.sql(f"SELECT DISTINCT name_id, array_join({WORDS.format(folded_sql('name'))}, '') AS form FROM {{refs}} WHERE name IS NOT NULL", refs=references)
-    names = spark.sql("SELECT * FROM {names} WHERE form <> ''", names=names)
+    worded = spark.sql(f"SELECT DISTINCT name_id, {WORDS.format(folded_sql('name'))} AS words FROM {{refs}} WHERE name IS NOT NULL", refs=references)
+    names = spark.sql("SELECT name_id, array_join(words, '') AS form FROM {w} WHERE size(words) > 0", w=worded)
     folded = spark.sql(f"SELECT DISTINCT value, {folded_sql('value')} AS folded FROM {{v}} WHERE value IS NOT NULL", v=values)
     words = spark.sql(f"SELECT value, folded, {WORDS.format('folded')} AS words FROM {{v}}", v=folded)
-    added, any_generic = _list(GENERIC), _list(GENERIC + ALSO_IN_NAMES)
-    choices = f"""concat(array(words, filter(words, w -> w NOT IN ({added})), filter(words, w -> w NOT IN ({any_generic}))),
-      transform(filter(words, w -> w IN ({any_generic})), g -> filter(words, (w, i) -> i <> array_position(words, g) - 1)))"""
+    added, any_generic = _list(generic) or "''", _list([*generic, *also_in_names]) or "''"
+    places = f"slice(filter(sequence(0, size(words) - 1), i -> words[i] IN ({any_generic})), 1, 6)"  # of the generic words
+    subsets = f"aggregate({places}, array(CAST(array() AS ARRAY<INT>)), (acc, p) -> concat(acc, transform(acc, s -> concat(s, array(p)))))"
+    choices = f"""IF(size(words) = 0, array(words), array_distinct(concat(array(words, filter(words, w -> w NOT IN ({added})), filter(words, w -> w NOT IN ({any_generic}))),
+      transform({subsets}, s -> filter(words, (w, i) -> NOT array_contains(s, i))))))"""
+    # any order of four words or more: both sides also carry their sorted words, marked so that they only meet each other
+    bag = "IF(size({0}) >= 4, array(concat('|', array_join(array_sort({0}), '|'))), array())"
     forms = written(
-        spark.sql(f"SELECT value, rtrim(folded) LIKE '%.' AS cut, array_join(words, '') AS stem, array_distinct(flatten(transform({choices}, c -> {ORDERS.format('c')}))) AS forms FROM {{v}}", v=words),
+        spark.sql(f"SELECT value, rtrim(folded) LIKE '%.' AS cut, array_join(words, '') AS stem, array_distinct(flatten(transform({choices}, c -> {ORDERS.format('c')} || {bag.format('c')}))) AS forms FROM {{v}}", v=words),
         "forms",
     )
     spread = spark.sql("SELECT value, explode(forms) AS form FROM {f}", f=forms)
-    equal = written(spark.sql("SELECT value, min(name_id) AS name_id FROM {s} JOIN {n} USING (form) GROUP BY value", s=spread, n=names), "equal")
-    rest = spark.sql("SELECT * FROM {s} LEFT ANTI JOIN {e} USING (value)", s=spread, e=equal)
-    pieces = spark.sql(f"SELECT name_id, form, length(form) AS n, i, substring(form, {SEGMENT_START.format('length(form)', 'i')}, {SEGMENT_SIZE.format('length(form)', 'i')}) AS piece FROM {{n}} LATERAL VIEW explode(sequence(1, {EDITS + 1})) AS i", n=names)
+    whole = spark.sql("SELECT name_id, form FROM {n} UNION ALL SELECT name_id, explode(" + bag.format("words") + ") FROM {w}", n=names, w=worded)
+    equal = written(spark.sql("SELECT /*+ MERGE(n) */ value, min(name_id) AS name_id FROM {s} s JOIN {n} n USING (form) GROUP BY value", s=spread, n=whole), "equal")
+    rest = spark.sql("SELECT /*+ MERGE(e) */ s.* FROM {s} s LEFT ANTI JOIN {e} e USING (value) WHERE NOT startswith(form, '|')", s=spread, e=equal)
+    pieces = spark.sql(f"SELECT name_id, form, length(form) AS n, i, substring(form, {_segment_start('length(form)', 'i', edits)}, {_segment_size('length(form)', 'i', edits)}) AS piece FROM {{n}} LATERAL VIEW explode(sequence(1, {edits + 1})) AS i", n=names)
     probes = spark.sql(
         f"""SELECT DISTINCT form, n, i, substring(form, start, size) AS piece FROM (
-              SELECT form, n, i, {SEGMENT_START.format('n', 'i')} + d AS start, {SEGMENT_SIZE.format('n', 'i')} AS size, length(form) AS m
+              SELECT form, n, i, {_segment_start('n', 'i', edits)} + d AS start, {_segment_size('n', 'i', edits)} AS size, length(form) AS m
               FROM (SELECT DISTINCT form FROM {{r}})
-              LATERAL VIEW explode(sequence(greatest(1, length(form) - {EDITS}), length(form) + {EDITS})) AS n
-              LATERAL VIEW explode(sequence(1, {EDITS + 1})) AS i
-              LATERAL VIEW explode(sequence(-{EDITS}, {EDITS})) AS d
-              WHERE abs(d) <= i - 1 AND abs(d - (length(form) - n)) <= {EDITS + 1} - i)
+              LATERAL VIEW explode(sequence(greatest(1, length(form) - {edits}), length(form) + {edits})) AS n
+              LATERAL VIEW explode(sequence(1, {edits + 1})) AS i
+              LATERAL VIEW explode(sequence(-{edits}, {edits})) AS d
+              WHERE abs(d) <= i - 1 AND abs(d - (length(form) - n)) <= {edits + 1} - i)
             WHERE start >= 1 AND start + size - 1 <= m""",
         r=rest,
     )
     close = spark.sql(
-        f"""SELECT form, min(struct(levenshtein(form, name, {EDITS}) AS d, name_id)) AS best FROM (
-              SELECT DISTINCT p.form, q.form AS name, q.name_id FROM {{p}} p JOIN {{q}} q ON p.n = q.n AND p.i = q.i AND p.piece = q.piece)
-            WHERE levenshtein(form, name, {EDITS}) >= 0 GROUP BY form""",
+        f"""SELECT form, min(struct(levenshtein(form, name, {edits}) AS d, name_id)) AS best FROM (
+              SELECT /*+ MERGE(q) */ DISTINCT p.form, q.form AS name, q.name_id FROM {{p}} p JOIN {{q}} q ON p.n = q.n AND p.i = q.i AND p.piece = q.piece)
+            WHERE levenshtein(form, name, {edits}) >= 0 GROUP BY form""",
         p=probes, q=pieces,
     )
-    near = spark.sql("SELECT value, min(best).name_id AS name_id FROM {r} JOIN {c} USING (form) GROUP BY value", r=rest, c=close)
+    near = spark.sql("SELECT /*+ MERGE(c) */ value, min(best).name_id AS name_id FROM {r} r JOIN {c} c USING (form) GROUP BY value", r=rest, c=close)
     begins = spark.sql("SELECT stem, min(name_id) AS name_id FROM (SELECT name_id, form, explode(transform(sequence(1, length(form)), i -> left(form, i))) AS stem FROM {n}) GROUP BY stem HAVING count(DISTINCT form) = 1", n=names)
-    short = spark.sql("SELECT f.value, b.name_id FROM {f} f JOIN {b} b ON f.stem = b.stem WHERE f.cut", f=forms, b=begins)
+    short = spark.sql("SELECT /*+ MERGE(b) */ f.value, b.name_id FROM {f} f JOIN {b} b ON f.stem = b.stem WHERE f.cut", f=forms, b=begins)
     ranked = spark.sql("SELECT value, min(struct(how, name_id)).name_id AS name_id FROM (SELECT *, 0 AS how FROM {e} UNION ALL SELECT *, 1 FROM {c} UNION ALL SELECT *, 2 FROM {s}) GROUP BY value", e=equal, c=near, s=short)
     matched = written(ranked, "matched")
-    return spark.sql("SELECT value, name_id FROM {m} UNION ALL SELECT value, CAST(0 AS BIGINT) FROM {f} LEFT ANTI JOIN {m2} USING (value)", m=matched, m2=matched, f=forms)
+    return spark.sql("SELECT value, name_id FROM {m} UNION ALL SELECT /*+ MERGE(m2) */ f.value, CAST(0 AS BIGINT) FROM {f} f LEFT ANTI JOIN {m2} m2 USING (value)", m=matched, m2=matched, f=forms)
 
 
 def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +138,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     references = spark.sql("SELECT name_id, canonical_name AS name FROM {t}", t=table(spark, sf_dir, "place_name_list"))
     rows = _entered(spark, sf_dir)
     mapping = map_values(spark.sql("SELECT DISTINCT value FROM {r}", r=rows), references)
-    return spark.sql("SELECT r.source_table, r.field, r.row_id, m.name_id FROM {r} r JOIN {m} m ON r.value = m.value", r=rows, m=mapping)
+    return spark.sql("SELECT /*+ MERGE(m) */ r.source_table, r.field, r.row_id, m.name_id FROM {r} r JOIN {m} m ON r.value = m.value", r=rows, m=mapping)
 
 
 _UNSEEN = "[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]"

@@ -86,6 +86,15 @@ def test_mapping(spark):
     assert mapped(spark, [*expected, None]) == expected
 
 
+def test_generic_words_orders_and_edits_are_parameters(spark):
+    names = [(1, "Ara Belli Maioris Nova"), (2, "Forum Scypardeta"), (3, "Longinotrum")]
+    values = ["nova maioris ARA belli", "vicus Forum ad Scypardeta in", "Longixxotrum", "Longixxxxrum", "statio Longinotrum", None]
+    got = mapped(spark, values, names)
+    assert got == {values[0]: 1, values[1]: 2, values[2]: 3, values[3]: 0, values[4]: 3}
+    run = lambda **more: {r["value"]: r["name_id"] for r in canonical.map_values(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(names, "name_id long, name string"), **more).collect()}
+    assert run(edits=4)[values[3]] == 3 and run(edits=1)[values[2]] == 0 and run(generic=(), also_in_names=())[values[4]] == 0
+
+
 def test_pigeonhole_finds_all_within_two_edits(spark):
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
