@@ -285,3 +285,12 @@ def packed_fields(df: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_values(packed_fields(table(spark, sf_dir, "province_gazetteer")))
+
+
+FOUND_SQL = r"""
+WITH f AS (SELECT DISTINCT rowId AS row_id, unnest([{'f': 'notitiaForms', 't': notitiaForms}, {'f': 'sourceRefs', 't': sourceRefs}, {'f': 'geoObjectIds', 't': geoObjectIds}, {'f': 'geojsonNames', 't': geojsonNames}]) AS x FROM province_gazetteer),
+b AS (SELECT row_id, x.f AS field, trim(regexp_replace(regexp_replace(x.t, '^\s+|\s+$', '', 'g'), '^\[((?s:.*))\]$', '\1')) AS t FROM f WHERE x.t IS NOT NULL),
+v AS (SELECT row_id, field, list_filter(list_transform(regexp_extract_all(t, '\s*("(?:[^"]|"")*"|“[^”]*”|[^|;,/\n\t｜；¦]+)', 1), lambda p: CASE WHEN starts_with(p, '"') AND length(trim(p)) > 1 THEN replace(substr(trim(p), 2, length(trim(p)) - 2), '""', '"')
+    WHEN starts_with(p, '“') THEN substr(trim(p), 2, length(trim(p)) - 2) ELSE p END), lambda p: regexp_matches(p, '[\p{L}\p{N}]')) AS vs FROM b)
+SELECT row_id, field, CAST(unnest(range(1, len(vs) + 1)) AS INTEGER) AS position, regexp_replace(unnest(vs), '^\s+|\s+$', '', 'g') AS value FROM v
+"""

@@ -328,6 +328,23 @@ def resolve_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.decide_local(rows)
 
 
+_TOKENS = lambda x: f"list_filter(string_split({_NORM(x)}, ' '), lambda w: length(w) > 2 AND w NOT IN ('et', 'in', 'provincia', 'provinciae', 'pars', 'prima', 'primae', 'secunda', 'secundae', 'superior', 'superioris', 'inferior', 'inferioris'))"
+RESOLVE_LOCAL_SQL = f"""
+WITH c AS (SELECT occurrenceId AS occ_id, rowId AS place_id, CASE WHEN nameSimilarity >= 0.999 THEN 'EXACT' ELSE 'FUZZY' END AS method, nameSimilarity AS sim, coalesce(tier, 0) AS tier, coalesce(hardProvince, '') AS e, coalesce(gisProvince, '') AS a, gisProvince IS NOT NULL OR nearestProvince IS NOT NULL AS has,
+    len(list_filter(string_split({_NORM('featureType')}, ' '), lambda w: w IN ('river', 'island', 'mountain', 'road', 'region', 'province', 'sea', 'water'))) > 0 AS no_point FROM {_ONCE} WHERE occurrenceId IS NOT NULL),
+p AS (SELECT DISTINCT e, a, {_key('e')} AS ke, {_key('a')} AS ka, {_NORM('e')} AS ne, {_NORM('a')} AS na, {_TOKENS('e')} AS te, {_TOKENS('a')} AS ta FROM c WHERE e <> '' AND a <> ''),
+w AS (SELECT DISTINCT e, a, x, unnest(ta) AS y FROM (SELECT e, a, unnest(te) AS x, ta FROM p)),
+l AS (SELECT DISTINCT e, a FROM w WHERE contains(x, y) OR contains(y, x) OR ({_key('x')} <> '' AND {_key('y')} <> '' AND 1.0 - levenshtein({_key('x')}, {_key('y')}) / greatest(length({_key('x')}), length({_key('y')}))::DOUBLE >= 0.82)),
+ok AS (SELECT e, a FROM p WHERE contains(ne, na) OR contains(na, ne) OR (ke <> '' AND ka <> '' AND 1.0 - levenshtein(ke, ka) / greatest(length(ke), length(ka))::DOUBLE >= 0.80) UNION SELECT e, a FROM l),
+t AS (SELECT c.*, CASE WHEN c.e = '' THEN 'NO_CONTEXT' WHEN NOT has THEN 'NO_COORDS' WHEN c.a = '' THEN 'OUTSIDE_POLYGONS' WHEN ok.e IS NOT NULL THEN 'INSIDE' ELSE 'OUTSIDE' END AS st FROM c LEFT JOIN ok ON ok.e = c.e AND ok.a = c.a),
+v AS (SELECT *, st <> 'OUTSIDE' AND NOT no_point AS viable, st = 'INSIDE' AND NOT no_point AS inside FROM t),
+n AS (SELECT *, count(*) OVER o AS n_all, count_if(inside) OVER o AS n_in, count_if(viable) OVER o AS n_ok, lead(CASE WHEN inside THEN sim END) OVER r AS second, row_number() OVER r AS k FROM v
+  WINDOW o AS (PARTITION BY occ_id), r AS (PARTITION BY occ_id ORDER BY CASE WHEN inside THEN 0 WHEN viable THEN 1 ELSE 2 END, sim DESC NULLS LAST, tier, place_id)),
+m AS (SELECT *, CASE WHEN e <> '' AND n_in = 1 THEN 'CONTEXT_' || method WHEN e <> '' AND n_in > 1 AND method <> 'EXACT' AND sim >= 0.90 AND sim - second >= 0.06 THEN 'CONTEXT_FUZZY' WHEN e = '' AND n_ok = 1 AND (method = 'EXACT' OR sim >= 0.90) THEN method || '_NO_CONTEXT' END AS kind FROM n WHERE k = 1)
+SELECT occ_id, CASE WHEN kind IS NOT NULL THEN 'MATCH' WHEN e <> '' AND n_all = 1 AND st = 'OUTSIDE' THEN 'REJECTED' ELSE 'AMBIGUOUS' END AS outcome, CASE WHEN kind IS NOT NULL THEN place_id END AS place_id, coalesce(kind, '') AS match_type FROM m
+"""
+
+
 def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = _context(spark, sf_dir).select(F.col("declaredProvince").alias("expected")).where("expected is not null").distinct()
     polygons = table(spark, sf_dir, "province_polygon").select(F.col("gisProvince").alias("name")).where("name is not null").distinct()
@@ -431,7 +448,7 @@ SQL = {
     "join_keep_last": "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "join_update_blanks": JOIN_UPDATE_SQL, "join_alias_closure": JOIN_CLOSURE_SQL,
     "join_scored_pick": "SELECT l_orderkey, l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END) + (CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_extendedprice DESC, l_linenumber) = 1",
     "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "sim_ratio_candidates": SIM_RATIO_SQL, "sim_probe_unmatched": SIM_PROBE_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
-    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
+    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_local": RESOLVE_LOCAL_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
     "filter_any_province": f"WITH f AS (SELECT arg_max(declaredProvince, rowId) AS p FROM place_conflict_context) SELECT DISTINCT rowId AS row_id FROM place_conflict_context, f WHERE declaredProvince = p OR hardProvince = p OR softProvince = p OR expectedProvince = p",
     "filter_keep_all_if_empty": f"SELECT rowId AS row_id FROM (SELECT *, max(CASE WHEN featureType = 'fort' THEN 1 ELSE 0 END) OVER (PARTITION BY occurrenceId) AS any_fort FROM {_ONCE}) WHERE featureType = 'fort' OR any_fort = 0",
 }

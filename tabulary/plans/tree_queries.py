@@ -86,6 +86,16 @@ def adjacency_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.adjacency(_lines(spark, sf_dir))
 
 
+ADJACENCY_SQL = _LINES + """
+, b AS (SELECT document, chapter_no, line, length(raw) - length(ltrim(raw, ' ')) AS ind, label LIKE '%:' AS block, label FROM k WHERE chapter_no > 0 AND NOT is_chapter),
+deeper AS (SELECT o.document, o.chapter_no, o.line, o.ind, min(z.line) AS first FROM b o LEFT JOIN b z ON z.document = o.document AND z.chapter_no = o.chapter_no AND z.line > o.line AND z.ind > o.ind WHERE o.block GROUP BY ALL),
+held AS (SELECT o.document, o.chapter_no, o.line, min(y.line) AS closed FROM deeper o LEFT JOIN b y ON y.document = o.document AND y.chapter_no = o.chapter_no AND y.line > o.line
+  AND CASE WHEN y.block THEN y.ind <= o.ind ELSE y.ind < o.ind OR (y.ind = o.ind AND coalesce(o.first < y.line, false)) END GROUP BY ALL)
+SELECT x.document, x.chapter_no, x.line, max(o.line) AS parent_line, CAST(2 + count(o.line) AS INTEGER) AS level, CASE WHEN x.block THEN 'block' ELSE 'entry' END AS kind, CASE WHEN x.block THEN trim(left(x.label, length(x.label) - 1), ' ') ELSE rtrim(x.label, '.') END AS text
+FROM b x LEFT JOIN held o ON o.document = x.document AND o.chapter_no = x.chapter_no AND o.line < x.line AND (o.closed IS NULL OR o.closed > x.line) GROUP BY x.document, x.chapter_no, x.line, x.block, x.label
+"""
+
+
 def owner_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = table(spark, sf_dir, "place_conflict_context").dropDuplicates(["rowId"])
     return once.select(F.col("rowId").alias("row_id"), R.owner_office(F.col("chapter"), F.coalesce("unit", F.lit("")), R.OWNER_OFFICES).alias("owner"))
@@ -212,7 +222,7 @@ QUERIES = {
 SQL = {
     "lines_scan": _LINES + "SELECT document, CAST(line AS INTEGER) AS line, level, label FROM l", "chapter_ordinal": _LINES + "SELECT document, line, chapter_no, coalesce(last_value(CASE WHEN is_chapter THEN regexp_extract(label, '^([IVXLCDM]+)', 1) END IGNORE NULLS) OVER (PARTITION BY document ORDER BY line), '') AS chapter_roman FROM k",
     "chapter_ranges": _LINES + "SELECT document, chapter_no, line AS line_start, coalesce(lead(line) OVER (PARTITION BY document ORDER BY line) - 1, (SELECT max(line) FROM k z WHERE z.document = k.document)) AS line_end FROM k WHERE is_chapter",
-    "join_range_lines": _LINES + "SELECT document, line, chapter_no FROM k WHERE chapter_no > 0 AND NOT is_chapter", "running_heading": RUNNING_SQL, "flat_blocks": FLAT_SQL, "owner_offices": OWNER_SQL,
+    "join_range_lines": _LINES + "SELECT document, line, chapter_no FROM k WHERE chapter_no > 0 AND NOT is_chapter", "running_heading": RUNNING_SQL, "flat_blocks": FLAT_SQL, "owner_offices": OWNER_SQL, "adjacency_tree": ADJACENCY_SQL,
     "roman_numerals": f"SELECT n, {_ROMAN} AS numeral, n AS back FROM (SELECT DISTINCT sourceLine AS n FROM place_conflict_context WHERE sourceLine BETWEEN 1 AND 3999)", "tree_validate": VALIDATE_SQL,
     "tree_orphans": _STAR + "SELECT node_id, parent_id FROM n WHERE node_id LIKE 'P%'", "node_path_context": PATH_SQL, "descendants": DESCENDANTS_SQL, "language_coalesce": PARALLEL_SQL, "line_page": LINE_PAGE_SQL,
     "container_page": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS position, l_returnflag FROM lineitem", "xml_flatten": XML_SQL, "short_titles": SHORT_SQL,
