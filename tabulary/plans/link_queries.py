@@ -346,10 +346,29 @@ SELECT occ_id, CASE WHEN kind IS NOT NULL THEN 'MATCH' WHEN e <> '' AND n_all =
 
 
 def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons that each declared province may stand for, with every name the gazetteer packs for it as alias."""
     expected = _context(spark, sf_dir).select(F.col("declaredProvince").alias("expected")).where("expected is not null").distinct()
-    polygons = table(spark, sf_dir, "province_polygon").select(F.col("gisProvince").alias("name")).where("name is not null").distinct()
-    gazetteer = table(spark, sf_dir, "province_gazetteer").select(X.norm_name(F.col("canonicalName")).alias("alias"), F.explode(F.split("geojsonNames", r"\s*\|\s*")).alias("name")).distinct()
-    return resolve.province_targets(expected, polygons, gazetteer)
+    found = _province_targets(spark, sf_dir, expected)
+    return found.select("expected", F.array_join("targets", " | ").alias("targets"))
+
+
+_FIXED = ", ".join(f"('{alias}', '{name}')" for name, alias in resolve.PROVINCE_ALIASES)
+RESOLVE_TARGETS_SQL = f"""
+WITH names AS (SELECT row_id, value FROM ({multivalue.FOUND_SQL}) WHERE field = 'geojsonNames'),
+poly AS (SELECT DISTINCT gisProvince AS name FROM province_polygon WHERE gisProvince IS NOT NULL),
+alias AS (SELECT DISTINCT {_NORM('canonicalName')} AS alias, value AS name FROM province_gazetteer JOIN names ON row_id = rowId UNION SELECT * FROM (VALUES {_FIXED}) f(alias, name)),
+e AS (SELECT DISTINCT declaredProvince AS expected FROM place_conflict_context WHERE declaredProvince <> ''),
+part AS (SELECT expected, expected AS part FROM e UNION SELECT expected, trim(unnest(string_split_regex(expected, '(?i)\\bet\\b')), ' ') FROM e),
+pt AS (SELECT DISTINCT part, {_TOK('part')} AS es FROM part WHERE part <> ''), nt AS (SELECT name, {_TOK('name')} AS az FROM poly),
+w AS (SELECT DISTINCT word AS row_id, word FROM (SELECT unnest(es) AS word FROM pt UNION ALL SELECT unnest(az) FROM nt)),
+f AS (SELECT DISTINCT row_id AS word, {_key('form')} AS k FROM (SELECT row_id, word AS form FROM w UNION ALL SELECT row_id, form FROM ({_rule_sql('word', WORD_FORMS)})) WHERE {_key('form')} <> ''),
+te AS (SELECT DISTINCT unnest(es) AS e FROM pt), ta AS (SELECT DISTINCT unnest(az) AS a FROM nt),
+sim AS (SELECT e, a, max(1.0 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k))::DOUBLE) AS v FROM te, ta JOIN f x ON x.word = e JOIN f y ON y.word = a GROUP BY 1, 2),
+best AS (SELECT part, name, i, max(coalesce(v, 0)) AS b FROM (SELECT part, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM pt) q, (SELECT name, unnest(az) AS a FROM nt) n LEFT JOIN sim ON sim.e = q.e AND sim.a = n.a GROUP BY 1, 2, 3),
+alike AS (SELECT part, name FROM best GROUP BY 1, 2 HAVING avg(b) >= 0.82 - 1e-12),
+hits AS (SELECT expected, name FROM part JOIN alias ON alias.alias = {_NORM('part')} SEMI JOIN poly USING (name) UNION SELECT expected, name FROM part JOIN alike USING (part))
+SELECT expected, string_agg(name, ' | ' ORDER BY name) AS targets FROM hits GROUP BY expected
+"""
 
 
 def resolve_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,7 +467,7 @@ SQL = {
     "join_keep_last": "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "join_update_blanks": JOIN_UPDATE_SQL, "join_alias_closure": JOIN_CLOSURE_SQL,
     "join_scored_pick": "SELECT l_orderkey, l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END) + (CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_extendedprice DESC, l_linenumber) = 1",
     "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "sim_ratio_candidates": SIM_RATIO_SQL, "sim_probe_unmatched": SIM_PROBE_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
-    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_local": RESOLVE_LOCAL_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
+    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_local": RESOLVE_LOCAL_SQL, "resolve_targets": RESOLVE_TARGETS_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
     "filter_any_province": f"WITH f AS (SELECT arg_max(declaredProvince, rowId) AS p FROM place_conflict_context) SELECT DISTINCT rowId AS row_id FROM place_conflict_context, f WHERE declaredProvince = p OR hardProvince = p OR softProvince = p OR expectedProvince = p",
     "filter_keep_all_if_empty": f"SELECT rowId AS row_id FROM (SELECT *, max(CASE WHEN featureType = 'fort' THEN 1 ELSE 0 END) OVER (PARTITION BY occurrenceId) AS any_fort FROM {_ONCE}) WHERE featureType = 'fort' OR any_fort = 0",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabulary.functions.keys import number_key
 from tabulary.operators import publish
 from tabulary.operators.multivalue import packed_fields, split_values
+from tabulary.operators.multivalue import FOUND_SQL as SPLIT_SQL
 from tabulary.operators.pages import destination
 from tabulary.operators.relational import keep_one
 from tabulary.plans.text_queries import _CLEAN
@@ -108,6 +109,18 @@ SELECT id, CASE WHEN none OR p IS NULL THEN '' ELSE CAST(p AS VARCHAR) END AS po
 """
 
 
+def province_references_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """province_references with its position as a plain column: the query that EACH_SQL checks."""
+    return province_references(spark, sf_dir).select("id", F.col("position").cast("int").alias("position"), "polygon", "status")
+
+
+EACH_SQL = f"""
+WITH names AS (SELECT row_id, position, value FROM ({SPLIT_SQL}) WHERE field = 'geojsonNames'), m AS (SELECT {_CR('gisProvince')} AS k, max(geojsonId) AS p FROM province_polygon GROUP BY 1),
+r AS (SELECT DISTINCT g.rowId AS id, coalesce(n.position, 0) AS position, CASE WHEN n.value IS NOT NULL THEN {_CR('n.value')} END AS k FROM province_gazetteer g LEFT JOIN names n ON n.row_id = g.rowId)
+SELECT id, CAST(position AS INTEGER) AS position, coalesce(CAST(p AS VARCHAR), '') AS polygon, CASE WHEN p IS NULL THEN 'UNMATCHED' ELSE 'MATCH' END AS status FROM r LEFT JOIN m USING (k)
+"""
+
+
 def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _context(spark, sf_dir)
     return rows.select(F.col("rowId").alias("row_id"), destination(F.when(F.col("office") == "Comes", F.col("chapter")), F.when(F.col("tier") == 2, F.col("region")), F.when(F.col("tier") == 1, F.col("hardProvince")), F.coalesce("candidateRank", F.lit(0))).alias("leads_to"))
@@ -120,8 +133,8 @@ SELECT rowId AS row_id, CASE WHEN office = 'Comes' AND coalesce(chapter, '') <>
 
 
 QUERIES = {
-    "build_occurrences": build_occurrences, "publish_gazetteer": publish_gazetteer, "publish_confirmed": publish_confirmed, "governed_provinces": governed_provinces, "region_provinces": region_provinces, "province_references": province_references, "navigation_destination": navigation,
+    "build_occurrences": build_occurrences, "publish_gazetteer": publish_gazetteer, "publish_confirmed": publish_confirmed, "governed_provinces": governed_provinces, "region_provinces": region_provinces, "province_references": province_references, "province_references_each": province_references_each, "navigation_destination": navigation,
 }
 SQL = {
-    "build_occurrences": OCCURRENCES_SQL, "publish_gazetteer": GAZETTEER_SQL, "publish_confirmed": CONFIRMED_SQL, "governed_provinces": GOVERNED_SQL, "region_provinces": REGION_SQL, "province_references": REFERENCES_SQL, "navigation_destination": NAVIGATION_SQL,
+    "build_occurrences": OCCURRENCES_SQL, "publish_gazetteer": GAZETTEER_SQL, "publish_confirmed": CONFIRMED_SQL, "governed_provinces": GOVERNED_SQL, "region_provinces": REGION_SQL, "province_references": REFERENCES_SQL, "province_references_each": EACH_SQL, "navigation_destination": NAVIGATION_SQL,
 }
