@@ -151,7 +151,52 @@ SELECT f.row_id, value, rule FROM f JOIN w USING (row_id) WHERE o = first AND {_
 def morph_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate form of every distinct place name with its rule and tier."""
     names = _places(spark, sf_dir).select(F.col("placeName").alias("place_name"), F.col("placeSource").alias("place_source"))
-    return M.variant_rows(names).withColumnsRenamed({"place_name": "placeName", "place_source": "placeSource"})
+    return M.variant_rows(names.na.fill("")).withColumnsRenamed({"place_name": "placeName", "place_source": "placeSource"})
+
+
+def _derived_sql(source: str) -> str:
+    """(id, place, j, form, rule): what is derived from the values of a table (id, place, value): case forms of the last word, then places behind an adjective."""
+    places = ", ".join(f"({i}, '{suffix}', {j}, '{ending}')" for i, (suffix, endings) in enumerate(M.TOPONYMIC) for j, ending in enumerate(["", *endings]))
+    return f"""(WITH x AS (SELECT id, place, value, row_number() OVER (ORDER BY id, place) AS row_id FROM {source}),
+      w AS (SELECT row_id, string_split(value, ' ')[-1] AS word FROM x), h AS (SELECT row_id, array_to_string(string_split(value, ' ')[:-2], ' ') AS head FROM x),
+      c AS (SELECT f.row_id, f.o AS j, trim(h.head || ' ' || f.form, ' ') AS form, '_case' AS rule FROM ({_rule_sql('word', M.CASE_FORMS)}) f JOIN h USING (row_id)),
+      t AS (SELECT row_id, i, 1000 + j AS j, left(value, length(value) - length(s)) || e AS form, 'toponymic_' || s || CASE WHEN e = '' THEN '_stem' ELSE '' END AS rule, min(i) OVER (PARTITION BY row_id) AS first, value
+            FROM x, (VALUES {places}) v(i, s, j, e) WHERE NOT contains(value, ' ') AND lower(value) LIKE '%' || s AND length(value) > length(s) + 2),
+      u AS (SELECT * FROM c UNION ALL SELECT row_id, j, form, rule FROM t WHERE i = first AND {_NORM('form')} <> {_NORM('value')})
+      SELECT x.id, x.place, j, form, rule FROM u JOIN x USING (row_id))"""
+
+
+_FACTORY = ", ".join(f"('{k}', {i}, '{a}')" for k, aliases in M.FACTORY_ALIASES.items() for i, a in enumerate(aliases))
+_ALIAS = ", ".join(f"('{k}', '{a}')" for k, a in M.PLACE_ALIASES.items())
+_WIDTHS = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''"), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_PLAIN = f"translate(regexp_replace(value, '[\u00a0\u2000-\u200a\u202f\u205f\u3000]', ' ', 'g'), '{_WIDTHS[0]}', '{_WIDTHS[1]}')"
+for _joined, _letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+    _PLAIN = f"replace({_PLAIN}, '{_joined}', '{_letters}')"
+_FIRST = lambda source: f"SELECT id, clean AS value, {_NORM('clean')} AS key, place, rule, tier, known FROM (SELECT *, {_CLEAN(_PLAIN)} AS clean FROM {source}) WHERE {_NORM('clean')} <> '' QUALIFY row_number() OVER (PARTITION BY id, {_NORM('clean')} ORDER BY place) = 1"
+MORPH_CANDIDATES_SQL = f"""
+WITH n AS (SELECT *, coalesce(placeName, '') AS name, row_number() OVER (ORDER BY placeName, placeSource) AS id FROM (SELECT DISTINCT placeName, placeSource FROM place_conflict_context)),
+f AS (SELECT id, i, a FROM n JOIN (VALUES {_FACTORY}) v(k, i, a) ON placeSource = 'factory' AND k = {_NORM('name')}),
+k AS (SELECT n.*, id IN (SELECT id FROM f) AS known FROM n),
+read AS (
+  SELECT id, known, [0, 0] AS place, name AS value, 'original' AS rule, 0 AS tier FROM k UNION ALL SELECT id, known, [0, 1], 'Limes ' || name, 'limes_title', 0 FROM k WHERE placeSource = 'limes'
+  UNION ALL SELECT f.id, true, [0, 2 + i], a, 'factory_alias', 0 FROM f UNION ALL SELECT id, known, [0, 10], a, 'toponymic_alias', 0 FROM k JOIN (VALUES {_ALIAS}) v(al, a) ON al = {_NORM('name')} WHERE NOT known
+  UNION ALL SELECT id, known, [0, 11], regexp_extract(name, '(?i)\\bin\\s+castello\\s+(.+)$', 1), 'in_castello', 0 FROM k WHERE NOT known AND regexp_matches(name, '(?i)\\bin\\s+castello\\s+(.+)$')
+  UNION ALL SELECT id, known, [0, 12], 'Castra ' || regexp_extract(name, '(?i)\\bin\\s+castris\\s+(.+)$', 1), 'in_castris', 0 FROM k WHERE NOT known AND regexp_matches(name, '(?i)\\bin\\s+castris\\s+(.+)$')
+  UNION ALL SELECT id, known, [0, 13], regexp_extract(name, '(?i)\\bin\\s+castris\\s+(.+)$', 1), 'in_castris_name', 1 FROM k WHERE NOT known AND regexp_matches(name, '(?i)\\bin\\s+castris\\s+(.+)$')
+  UNION ALL SELECT id, known, [0, 14], regexp_extract(name, '(?i)^(?:apud|ad|contra|prope|iuxta)\\s+(.+)$', 1), 'strip_preposition', 0 FROM k WHERE NOT known AND regexp_matches(name, '(?i)^(?:apud|ad|contra|prope|iuxta)\\s+(.+)$')
+  UNION ALL SELECT id, known, [0, 15], regexp_extract(name, '(?i)^(.+?)\\s+in\\s+.+$', 1), 'before_in', 0 FROM k WHERE NOT known AND regexp_matches(name, '(?i)^(.+?)\\s+in\\s+.+$')
+  UNION ALL SELECT id, known, [0, 100 * a + j], parts[j], 'alias', 0 FROM (SELECT id, known, a, parts, unnest(range(1, len(parts) + 1)) AS j FROM (
+    SELECT id, known, a, string_split_regex(name, pat) AS parts FROM k, (VALUES (1, '(?i)\\s+siue\\s+'), (2, '(?i)\\s+sive\\s+'), (3, '\\s+-\\s+')) p(a, pat) WHERE NOT known AND regexp_matches(name, pat)))),
+b AS ({_FIRST('read')}),
+d AS (SELECT z.id, false AS known, [1] || z.place || [z.j] AS place, z.form AS value, CASE WHEN z.rule = '_case' THEN b.rule || '_case' ELSE z.rule END AS rule, CASE WHEN z.rule = '_case' THEN b.tier ELSE b.tier + 1 END AS tier
+  FROM {_derived_sql('(SELECT id, place, value FROM b WHERE NOT known)')} z JOIN b ON b.id = z.id AND b.place = z.place),
+two AS ({_FIRST('(SELECT id, known, place, value, rule, tier FROM b UNION ALL SELECT * FROM d)')}),
+fw AS (SELECT id, place, {_CLEAN("string_split(value, ' ')[1]")} AS value FROM two WHERE NOT known AND contains(value, ' ')),
+e AS (SELECT id, false AS known, [2] || place || [-1] AS place, value, 'first_word' AS rule, 1 AS tier FROM fw
+  UNION ALL SELECT id, false, [2] || place || [j], form, CASE WHEN rule = '_case' THEN 'first_word_case' ELSE 'first_word_' || rule END, CASE WHEN rule = '_case' THEN 1 ELSE 2 END FROM {_derived_sql('fw')}),
+three AS ({_FIRST('(SELECT id, known, place, value, rule, tier FROM two UNION ALL SELECT * FROM e)')})
+SELECT coalesce(placeName, '') AS placeName, coalesce(placeSource, '') AS placeSource, CAST(row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS INTEGER) AS ord, value, rule, tier FROM three JOIN n USING (id)
+"""
 
 
 def morph_candidates_local(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +322,6 @@ QUERIES = {
     "classify_prefix": classify_prefix, "classify_regex": classify_regex, "extract_unit_fields": extract_unit_fields, "extract_refs": extract_refs, "extract_pipe_lists": extract_pipe_lists, "extract_tail_geo": extract_tail_geo, "extract_longest_suffix": extract_longest_suffix,
 }
 SQL = {
-    "text_norm_names": TEXT_NORM_SQL, "text_fold_lines": TEXT_FOLD_SQL, "text_tokens": TEXT_TOKENS_SQL, "morph_case_variants": MORPH_CASE_SQL, "morph_gazetteer_variants": MORPH_GAZETTEER_SQL, "morph_toponymic": MORPH_TOPONYMIC_SQL, "classify_prefix": CLASSIFY_SQL, "classify_regex": CLASSIFY_REGEX_SQL,
+    "text_norm_names": TEXT_NORM_SQL, "text_fold_lines": TEXT_FOLD_SQL, "text_tokens": TEXT_TOKENS_SQL, "morph_case_variants": MORPH_CASE_SQL, "morph_gazetteer_variants": MORPH_GAZETTEER_SQL, "morph_toponymic": MORPH_TOPONYMIC_SQL, "classify_prefix": CLASSIFY_SQL, "morph_candidates": MORPH_CANDIDATES_SQL, "classify_regex": CLASSIFY_REGEX_SQL,
     "extract_unit_fields": EXTRACT_UNIT_SQL, "extract_refs": EXTRACT_REFS_SQL, "extract_pipe_lists": EXTRACT_PIPE_SQL, "extract_longest_suffix": LONGEST_SUFFIX_SQL,
 }
