@@ -12,7 +12,7 @@ from tabulary.functions.keys import number_key
 from tabulary.functions.morphology import GAZETTEER_FORMS, WORD_FORMS, gazetteer_variants
 from tabulary.operators import linkage, multivalue, relational, resolve
 from tabulary.operators.pages import by_any_column, entity_page, keep_all_if_empty, mapped_places, stations
-from tabulary.plans.text_queries import _FEATURE, _LOW, _NORM, _key, _rule_sql
+from tabulary.plans.text_queries import MORPH_CANDIDATES_SQL, _FEATURE, _LOW, _NORM, _key, _rule_sql
 from tabulary.session import table, written
 
 _PLACE = "(SELECT DISTINCT * EXCLUDE (loadedAt) FROM pleiades_place)"
@@ -226,6 +226,18 @@ def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.candidates(_occurrences(spark, sf_dir), names)
 
 
+RESOLVE_CANDIDATES_SQL = f"""
+WITH v AS (SELECT placeName AS pn, placeSource AS ps, ord, value AS candidate, rule, tier, {_NORM('value')} AS norm, {_key('value')} AS form FROM ({MORPH_CANDIDATES_SQL})),
+g AS (SELECT DISTINCT pleiadesId AS place_id, title AS name, {_NORM('title')} AS norm, {_key('title')} AS k FROM {_PLACE} WHERE title IS NOT NULL),
+exact AS (SELECT pn, ps, place_id, name, candidate, rule, tier, 1.0::DOUBLE AS similarity, 'EXACT' AS method, 1 AS stage FROM v JOIN g USING (norm) WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY pn, ps, place_id ORDER BY tier, length(candidate), ord, name) = 1),
+rest AS (SELECT v.* FROM v ANTI JOIN exact USING (pn, ps)),
+d AS (SELECT f, k, 1.0 - levenshtein(f, k) / greatest(length(f), length(k))::DOUBLE AS s FROM (SELECT DISTINCT form AS f FROM rest WHERE form <> '') JOIN (SELECT DISTINCT k FROM g WHERE k <> '') ON left(f, 1) = left(k, 1) AND abs(length(f) - length(k)) <= 2 WHERE levenshtein(f, k) <= 2),
+near AS (SELECT pn, ps, place_id, name, candidate, rule, tier, s, 'FUZZY', 2 FROM rest JOIN d ON f = form JOIN g USING (k) WHERE s >= 0.86 QUALIFY row_number() OVER (PARTITION BY pn, ps, place_id ORDER BY s DESC, tier, ord, name) = 1),
+occ AS (SELECT occurrenceId AS occ_id, coalesce(placeName, '') AS pn, coalesce(placeSource, '') AS ps FROM {_ONCE} WHERE occurrenceId IS NOT NULL QUALIFY row_number() OVER (PARTITION BY occurrenceId ORDER BY rowId) = 1)
+SELECT occ_id, place_id, name, candidate, rule, tier, similarity, method, stage FROM occ JOIN (SELECT * FROM exact UNION ALL SELECT * FROM near) USING (pn, ps)
+"""
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _context(spark, sf_dir).select(
         F.col("rowId").alias("place_id"), F.col("occurrenceId").alias("occ_id"), F.col("hardProvince").alias("hard"), F.col("softProvince").alias("soft"), F.upper("region").alias("region"), F.col("gisProvince").alias("actual"), F.col("nearestProvince").alias("nearest"), F.col("nearestKm").alias("nearest_km"),
@@ -467,7 +479,7 @@ SQL = {
     "join_keep_last": "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "join_update_blanks": JOIN_UPDATE_SQL, "join_alias_closure": JOIN_CLOSURE_SQL,
     "join_scored_pick": "SELECT l_orderkey, l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END) + (CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_extendedprice DESC, l_linenumber) = 1",
     "join_unique_or_null": "SELECT title, min(pleiadesId) AS pleiadesId FROM pleiades_place GROUP BY title HAVING count(DISTINCT pleiadesId) = 1", "join_fuzzy_blocked": JOIN_FUZZY_SQL, "sim_token_best": SIM_TOKEN_SQL, "sim_ratio_candidates": SIM_RATIO_SQL, "sim_probe_unmatched": SIM_PROBE_SQL, "resolve_context_status": RESOLVE_STATUS_SQL,
-    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_local": RESOLVE_LOCAL_SQL, "resolve_targets": RESOLVE_TARGETS_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
+    "resolve_rank": RESOLVE_RANK_SQL, "resolve_decision": RESOLVE_DECISION_SQL, "resolve_local": RESOLVE_LOCAL_SQL, "resolve_targets": RESOLVE_TARGETS_SQL, "resolve_candidates": RESOLVE_CANDIDATES_SQL, "resolve_reports": RESOLVE_REPORTS_SQL, "resolve_strict": RESOLVE_STRICT_SQL, "resolve_first_name": RESOLVE_FIRST_SQL, "resolve_scored": RESOLVE_SCORED_SQL, "entity_page": ENTITY_SQL, "command_stations": STATIONS_SQL, "result_places": RESULT_PLACES_SQL,
     "filter_any_province": f"WITH f AS (SELECT arg_max(declaredProvince, rowId) AS p FROM place_conflict_context) SELECT DISTINCT rowId AS row_id FROM place_conflict_context, f WHERE declaredProvince = p OR hardProvince = p OR softProvince = p OR expectedProvince = p",
     "filter_keep_all_if_empty": f"SELECT rowId AS row_id FROM (SELECT *, max(CASE WHEN featureType = 'fort' THEN 1 ELSE 0 END) OVER (PARTITION BY occurrenceId) AS any_fort FROM {_ONCE}) WHERE featureType = 'fort' OR any_fort = 0",
 }
