@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -22,11 +23,16 @@ QUOTES = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "
 #: The chance, before anything is counted, that a mark sets values apart.
 SEPARATES = 0.95
 CHARACTER_BITS, STRAY_BITS, PLAIN_BITS = 5.0, 20.0, 4.0
+#: Fields that hold nothing that could set values apart or protect them: they are one value, and never leave the JVM.
+ALONE = r"\A[\p{L}\p{M}\p{N} :.()-]*\z"
+SPECIAL = re.compile(r"[^\w ]|_")
+LETTER, NO_LETTER = re.compile(r"[^\W_]"), re.compile(r"[\W_]+")
 OTHER = regex.compile(r"[^\p{L}\p{M}\p{N} :()-]")
 SPANS = "row_id bigint, field string, several boolean, plain boolean, need string, inner string, code bigint, spelled double, extra double, letters int, prior double, n int"
 VALUES = "row_id bigint, field string, position int, value string"
 
 
+@functools.cache
 def separates(ch: str) -> bool:
     """Whether a character may set values apart: control characters and punctuation, save what belongs to values."""
     kind = unicodedata.category(ch)
@@ -36,20 +42,22 @@ def separates(ch: str) -> bool:
 def scan(text: str, quoting: bool = True) -> list[tuple[str, str]]:
     """The text as pieces ('v', unquoted text), ('q', what quotation marks protect) and ('d', one separating mark)."""
     pieces: list[tuple[str, str]] = []
-    at, run, size, open_ended = 0, 0, len(text), set()
+    run, open_ended = 0, set()
 
     def put(end: int) -> None:
         if text[run:end].strip():
             pieces.append(("v", text[run:end]))
 
-    while at < size:
-        ch = text[at]
+    for match in SPECIAL.finditer(text):
+        at, ch = match.start(), match[0]
+        if at < run:
+            continue
         if quoting and ch in QUOTES and ch not in open_ended and not text[run:at].strip():
             end = _closing(text, at)
             if end >= 0:
                 inner = text[at + 1 : end]
                 pieces.append(("q", inner.replace('""', '"') if ch == '"' else inner))
-                at = run = end + 1
+                run = end + 1
                 continue
             if '""' not in text:
                 open_ended.add(ch)
@@ -57,8 +65,7 @@ def scan(text: str, quoting: bool = True) -> list[tuple[str, str]]:
             put(at)
             pieces.append(("d", ch))
             run = at + 1
-        at += 1
-    put(size)
+    put(len(text))
     return pieces
 
 
@@ -101,12 +108,11 @@ class Regions:
             parts.append(part)
             at += len(part)
         self.raw = "".join(parts)
-        self.others = [m.start() for m in OTHER.finditer(self.raw)]
 
     def value(self, first: int, last: int) -> str:
         """The value that regions first to last make together, '' when it is none: bare marks are no value."""
         value = self.raw[self.bounds[first][0] : self.bounds[last][1]].strip()
-        return value if value and (any(self.quoted[first : last + 1]) or any(c.isalnum() for c in value)) else ""
+        return value if value and (LETTER.search(value) or any(self.quoted[first : last + 1])) else ""
 
     def values(self, marks: Collection[str]) -> list[str]:
         """The values when only the given marks separate; other marks stay inside their value."""
@@ -123,25 +129,43 @@ class Regions:
         A value between marks a and b holds neither, so from each region it is enough to go on to the next a and to
         stop at the first of every other mark: at most regions times marks, whatever the number of dialects.
         """
-        left = ""
-        for first in range(len(self.marks)):
-            inside: set[str] = set()
-            for last in range(first, len(self.marks)):
+        left, count = "", len(self.marks)
+        if count == 1:
+            if value := self.value(0, 0):
+                yield "", "", value
+            return
+        for first in range(count):
+            inside = ""
+            for last in range(first, count):
                 right = self.marks[last]
-                if right not in inside and (value := self.value(first, last)):
-                    yield "".join(sorted({left, right})), "".join(sorted(inside)), value
+                if right not in inside or not right:
+                    if value := self.value(first, last):
+                        yield left if left == right else left + right if left < right else right + left, inside, value
                 if not right or right == left:
                     break
-                inside.add(right)
+                if right not in inside:
+                    inside = "".join(sorted(inside + right))
             left = self.marks[first]
 
 
 def spelled_bits(value: str) -> float:
     """The length of a value written letter by letter."""
-    others = len(OTHER.findall(value))
+    others = 0 if value.isascii() and value.isalnum() else len(OTHER.findall(value))
     return (len(value) - others) * CHARACTER_BITS + others * STRAY_BITS + CHARACTER_BITS
 
 
+def sole_mark(body: str) -> str:
+    """The mark of a text that holds a single kind of mark and no quotation marks, '' for any other."""
+    special = set(SPECIAL.findall(body))
+    marks = [ch for ch in special if separates(ch)]
+    return marks[0] if len(marks) == 1 and special.isdisjoint(QUOTES) else ""
+
+
+def cut(body: str, mark: str) -> list[str]:
+    """What one mark sets apart, where quotation marks play no part."""
+    return [v for v in map(str.strip, body.split(mark)) if LETTER.search(v)]
+
+
 def readings(text: str | None) -> list[tuple[bool, Regions]]:
     """(whether quotation marks are plain characters, regions): one or two readings of a field."""
     body = body_of(text)
@@ -157,16 +181,20 @@ def field_spans(text: str | None) -> list[tuple]:
     parse: a mark separates with the chance SEPARATES. A reading that takes paired quotation marks as plain characters
     adds nothing to the book.
     """
-    ways = readings(text)
-    several = len(ways) > 1 or any(len(r.marks) > 1 for _, r in ways)
+    body = body_of(text)
+    if mark := sole_mark(body):  # the common case, without the machinery for the others
+        ways = [(False, Counter([("", mark, body.strip())] * bool(LETTER.search(body)) + [(mark, "", v) for v in cut(body, mark)]))]
+        several = True
+    else:
+        ways = [(plain, Counter(regions.spans())) for plain, regions in readings(text)]
+        several = len(ways) > 1 or any(need for _, counts in ways for need, _, _ in counts)
     rows = []
-    for plain, regions in ways:
-        counts = Counter(regions.spans())
+    for plain, counts in ways:
         for (need, inner, value), n in counts.items():
             extra = STRAY_BITS * sum(value.count(q) for q in '"“”') if plain else 0.0
             prior = n * SEPARATES ** len(need) * (1 - SEPARATES) ** len(inner) * (not plain)
-            code = xxhash.xxh64_intdigest(value)
-            rows.append((several, plain, need, inner, code - (1 << 64 if code >> 63 else 0), spelled_bits(value), extra, sum(map(str.isalnum, value)), prior, n))
+            code = xxhash.xxh64_intdigest(value, 42)
+            rows.append((several, plain, need, inner, code - (1 << 64 if code >> 63 else 0), spelled_bits(value), extra, len(NO_LETTER.sub("", value)), prior, n))
     return rows
 
 
@@ -191,6 +219,10 @@ def cheapest(spans: Iterable[tuple[str, str, float, int, int]]) -> tuple[float,
     number of marks. On a tie more marks win.
     """
     spans = list(spans)
+    if len(kinds := {(need, inner) for need, inner, *_ in spans}) == 2 and len(marks := "".join(sorted({m for k in kinds for m in k if m}))) == 1:
+        whole, apart = (sum(bits for need, _, bits, *_ in spans if bool(need) == split) for split in (False, True))
+        costs = round(whole - log2(1 - SEPARATES), 6), round(apart - log2(SEPARATES), 6)
+        return (costs[0], "") if costs[0] < costs[1] else (costs[1], marks)
     marks = sorted({m for need, inner, *_ in spans for m in need + inner})
     bit = {m: 1 << i for i, m in enumerate(marks)}
     rows: dict[tuple[int, int], list] = {}
@@ -245,8 +277,12 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for row_id, field, text, plain, marks in zip(*[batch[c] for c in ("row_id", "field", "text", "as_plain", "marks")], strict=True):
-            ways = dict(readings(text))
-            rows += [(row_id, field, i, v) for i, v in enumerate(ways[bool(plain)].values(marks or ""), 1)]
+            body = body_of(text)
+            if mark := sole_mark(body):
+                values = cut(body, mark) if mark in (marks or "") else [body]
+            else:
+                values = Regions(scan(body, plain is not True)).values(marks or "")
+            rows += [(row_id, field, i, v) for i, v in enumerate(values, 1)]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in VALUES.split(", ")])
 
 
@@ -261,7 +297,11 @@ def split_values(rows: DataFrame) -> DataFrame:
     is one per row; a null, empty or mark-only field has no values; position counts from 1.
     """
     rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), "field", "text").where("text is not null")
-    spans = written(rows.mapInPandas(_spans, SPANS), "multivalue")
+    alone, marked = rows.where(F.col("text").rlike(ALONE)).withColumn("text", F.trim("text")), rows.where(~F.col("text").rlike(ALONE))
+    single = alone.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    sure = {"several": F.lit(False), "plain": F.lit(False), "need": F.lit(""), "inner": F.lit(""), "code": F.xxhash64("text"), "spelled": F.lit(0.0), "extra": F.lit(0.0), "letters": F.lit(0), "prior": F.lit(1.0), "n": F.lit(1)}
+    names = [c.split()[0] for c in SPANS.split(", ")]
+    spans = written(marked.mapInPandas(_spans, SPANS).unionByName(single.withColumns(sure).select(*names)), "multivalue")
     counted = spans.where("prior > 0").groupBy("field", "code").agg(F.sum("prior").alias("n"))
     totals = counted.groupBy("field").agg(F.sum("n").alias("total"))
     codes = counted.join(totals, "field").select("field", "code", (F.log2(F.col("total") / F.col("n")) + 1).alias("coded"), F.col("n").alias("uses"))
@@ -271,7 +311,8 @@ def split_values(rows: DataFrame) -> DataFrame:
     kinds = costs.groupBy(*own, "plain", "need", "inner", "letters").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
     lists = kinds.withColumn("letters", F.col("letters") * F.col("n")).groupBy(*own).agg(*[F.collect_list(c).alias(c) for c in ("plain", "need", "inner", "bits", "letters", "n")])
     dialects = lists.mapInPandas(_choose, "row_id bigint, field string, as_plain boolean, marks string")
-    return rows.join(dialects, own, "left").mapInPandas(_split, VALUES)
+    parted = marked.join(dialects, own, "left").mapInPandas(_split, VALUES)
+    return parted.unionByName(single.select(*own, F.lit(1).alias("position"), F.col("text").alias("value")))
 
 
 FIELDS = ("notitiaForms", "sourceRefs", "geoObjectIds", "geojsonNames")
