@@ -296,7 +296,7 @@ def split_values(rows: DataFrame) -> DataFrame:
     the search over the marks is exact for any number of them. On a tie the dialect with more marks is taken. row_id
     is one per row; a null, empty or mark-only field has no values; position counts from 1.
     """
-    rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), "field", "text").where("text is not null")
+    rows = written(rows.select(F.col("row_id").cast("bigint").alias("row_id"), "field", "text").where("text is not null"), "fields")
     alone, marked = rows.where(F.col("text").rlike(ALONE)).withColumn("text", F.trim("text")), rows.where(~F.col("text").rlike(ALONE))
     single = alone.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     sure = {"several": F.lit(False), "plain": F.lit(False), "need": F.lit(""), "inner": F.lit(""), "code": F.xxhash64("text"), "spelled": F.lit(0.0), "extra": F.lit(0.0), "letters": F.lit(0), "prior": F.lit(1.0), "n": F.lit(1)}
@@ -308,8 +308,7 @@ def split_values(rows: DataFrame) -> DataFrame:
     coded = F.least(F.col("coded") + F.col("spelled") / F.col("uses"), "spelled") + F.col("extra")
     costs = spans.where("several").join(codes, ["field", "code"], "left").withColumn("bits", F.col("n") * coded)
     own = ["row_id", "field"]
-    kinds = costs.groupBy(*own, "plain", "need", "inner", "letters").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
-    lists = kinds.withColumn("letters", F.col("letters") * F.col("n")).groupBy(*own).agg(*[F.collect_list(c).alias(c) for c in ("plain", "need", "inner", "bits", "letters", "n")])
+    lists = costs.withColumn("letters", F.col("letters") * F.col("n")).groupBy(*own).agg(*[F.collect_list(c).alias(c) for c in ("plain", "need", "inner", "bits", "letters", "n")])
     dialects = lists.mapInPandas(_choose, "row_id bigint, field string, as_plain boolean, marks string")
     parted = marked.join(dialects, own, "left").mapInPandas(_split, VALUES)
     return parted.unionByName(single.select(*own, F.lit(1).alias("position"), F.col("text").alias("value")))
