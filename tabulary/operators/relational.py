@@ -19,6 +19,44 @@ def keep_one(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def _chains(columns: Sequence[str]) -> list[tuple[list[str], list[int]]]:
+    """Orders of the columns and lengths of their beginnings, so that every subset of the columns is one of these beginnings, once."""
+    left = [frozenset(c for i, c in enumerate(columns) if mask >> i & 1) for mask in range(1 << len(columns))]
+    found = []
+    while left:
+        chain = [max(left, key=len)]
+        while smaller := [x for x in left if len(x) == len(chain[-1]) - 1 and x < chain[-1]]:
+            chain.append(smaller[0])
+        left = [x for x in left if x not in chain]
+        parts = [*reversed(chain)]
+        order = [c for a, b in zip([frozenset(), *parts], parts, strict=False) for c in columns if c in b - a]
+        found.append((order, [len(x) for x in chain]))
+    return found
+
+
+def most_shared(seekers: DataFrame, offers: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """(id, offer, score): for each id the offer of its key with the highest score, where below 0 counts as 0; the lowest ord on a tie.
+
+    seekers (id, key, *weights), an id in several rows if it has several keys; offers (key, *weights, worth, ord, offer). Rows
+    that are there twice, on either side, change nothing. An offer scores its worth and the weight, above 0, of each column in which both have the same value; null is no value.
+    No pair is formed: for every subset of the columns, the best offer among those that agree in it is found by a window over
+    both sides. It is known to score the subset's weights at least, and where the subset is all that the best offer shares, it is
+    the best. Both sides are shuffled once, by key; a sort serves all subsets that are beginnings of its order.
+    """
+    theirs = ["worth", "ord", "offer"]
+    kinds = {c: offers.schema[c].dataType for c in theirs}
+    rows = seekers.select(F.lit(True).alias("seeks"), "id", "key", *weights, *[F.lit(None).cast(kinds[c]).alias(c) for c in theirs])
+    rows = rows.unionByName(offers.select(F.lit(False).alias("seeks"), F.lit(None).cast(seekers.schema["id"].dataType).alias("id"), "key", *weights, *theirs))
+    rows, best = rows.where("key is not null").repartition("key"), None
+    for order, lengths in _chains([*weights]):
+        for n in lengths:
+            points = sum((F.when(F.col(c).isNotNull(), weights[c]).otherwise(0) for c in order[:n]), F.col("worth"))
+            known = F.struct((-F.greatest(points, F.lit(0))).alias("s"), "ord", (-points).alias("points"), "offer")
+            first = F.min(F.when(~F.col("seeks"), known)).over(W.partitionBy("key", *order[:n]))
+            rows, best = rows.withColumn("best", first if best is None else F.least("best", first)), True
+    return rows.where("seeks and best is not null").groupBy("id").agg(F.min("best").alias("best")).select("id", "best.offer", (-F.col("best.points")).alias("score"))
+
+
 def top_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first n rows of every key with their rank from 1; equal rows need a last order column to come out alike."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)

@@ -11,7 +11,7 @@ from tabulary.functions.rules import feature_score, macro_region, non_point
 from tabulary.functions.similarity import AUTO_SIMILARITY, CONTEXT_THRESHOLD, MIN_MARGIN, NEAR_KM, best_form_ratio, forms_context, forms_likeness, name_forms, provinces_compatible
 from tabulary.functions.text import clean_name, latin_key, norm_name
 from tabulary.operators.linkage import blocked_fuzzy_join
-from tabulary.operators.relational import keep_one
+from tabulary.operators.relational import keep_one, most_shared
 from tabulary.session import written
 
 # The weight of a context status in ranking.
@@ -291,16 +291,14 @@ def scored(mentions: DataFrame, gazetteer: DataFrame, overrides: DataFrame | Non
 
     A shared source line counts 250, an agreeing qualifier 25, accepted 5, confirmed 3, provisional or hold -20; a row
     of the override table (place_name, place_id) decides at once. Nothing above 0 falls back to the first row.
-    mentions (id, place_name, line, qualifier), gazetteer (place_id, name, line, qualifier, confidence, ord).
+    mentions (id, place_name, line, qualifier), gazetteer (place_id, name, line, qualifier, confidence, ord). No mention
+    is paired with the rows of its name, see most_shared.
     """
-    g = gazetteer.select("place_id", F.lower(F.trim("name")).alias("_k"), F.col("line").alias("_line"), F.lower(F.col("qualifier")).alias("_q"), F.lower(F.col("confidence")).alias("_c"), "ord")
-    points = (
-        F.when(F.col("line") == F.col("_line"), 250).otherwise(0) + F.when((F.col("_q") != "") & (F.lower("qualifier") == F.col("_q")), 25).otherwise(0)
-        + F.when(F.col("_c") == "accepted", 5).when(F.col("_c") == "confirmed", 3).when(F.col("_c").isin("provisional", "hold"), -20).otherwise(0)
-    )
-    pairs = mentions.join(g, F.lower(F.trim("place_name")) == F.col("_k")).withColumn("score", points)
-    best = keep_one(pairs.withColumn("_s", F.greatest("score", F.lit(0))), ["id"], F.desc("_s"), F.asc("ord")).select("id", "place_id", "score")
+    confidence = F.lower("confidence")
+    worth = F.when(confidence == "accepted", 5).when(confidence == "confirmed", 3).when(confidence.isin("provisional", "hold"), -20).otherwise(0)
+    named = lambda c: [F.lower(F.trim(c)).alias("key"), "line", F.lower(F.when(F.col("qualifier") != "", F.col("qualifier"))).alias("qualifier")]
+    best = most_shared(mentions.select("id", *named("place_name")), gazetteer.select(*named("name"), worth.alias("worth"), "ord", F.col("place_id").alias("offer")), {"line": 250, "qualifier": 25}).withColumnRenamed("offer", "place_id")
     if overrides is None:
         return best
-    fixed = mentions.join(overrides, "place_name").select("id", overrides["place_id"], F.lit(1000).alias("score"))
+    fixed = mentions.join(overrides, "place_name").select("id", overrides["place_id"], F.lit(1000).alias("score")).distinct()
     return fixed.unionByName(best.join(fixed, "id", "left_anti"))

@@ -267,10 +267,10 @@ SELECT id, rowId AS row_id FROM u JOIN g ON k <> '' AND (k = a OR k = b OR k = c
 
 
 def scored_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored lookup with qualifiers, and with a table of overrides that decides for a third of the names."""
-    once = _once(spark, sf_dir)
-    mentions = once.select(F.col("rowId").alias("id"), F.col("candidate").alias("place_name"), F.col("sourceLine").alias("line"), F.coalesce("featureType", F.lit("")).alias("qualifier"))
-    gazetteer = once.select(F.col("pleiadesId").alias("place_id"), F.col("pleiadesName").alias("name"), F.col("sourceLine").alias("line"), F.coalesce("featureType", F.lit("")).alias("qualifier"), F.when(F.col("tier") == 0, "accepted").otherwise("hold").alias("confidence"), F.col("rowId").alias("ord"))
+    """The scored lookup with qualifiers, and with a table of overrides that decides for a third of the names; rows loaded twice change nothing."""
+    rows = table(spark, sf_dir, "place_conflict_context")
+    mentions = rows.select(F.col("rowId").alias("id"), F.col("candidate").alias("place_name"), F.col("sourceLine").alias("line"), F.coalesce("featureType", F.lit("")).alias("qualifier"))
+    gazetteer = rows.select(F.col("pleiadesId").alias("place_id"), F.col("pleiadesName").alias("name"), F.col("sourceLine").alias("line"), F.coalesce("featureType", F.lit("")).alias("qualifier"), F.when(F.col("tier") == 0, "accepted").otherwise("hold").alias("confidence"), F.col("rowId").alias("ord"))
     overrides = table(spark, sf_dir, "place_name_list").where("name_id % 3 = 0").select(F.col("canonical_name").alias("place_name"), F.concat(F.lit("L"), "name_id").alias("place_id")).dropDuplicates(["place_name"])
     return resolve.scored(mentions, gazetteer, overrides).select("id", "place_id", "score")
 

@@ -258,3 +258,32 @@ def test_json_array_in_chunks(spark, tmp_path):
     rows = pd.concat(readers.json_array_items(iter([pd.DataFrame({"uri": [path.as_uri()]})]), chunk=777))
     assert len(rows) == 500 and json.loads(rows["item"].iloc[499]) == {"id": 499, "t": "é" * 50}
     assert readers.json_array(spark, [path.as_uri()]).count() == 500
+
+
+def test_most_shared_is_the_best_of_all_pairs(spark):
+    chance = random.Random(3)
+    weights = {"a": 4, "b": 3, "c": 4, "d": 25}
+    row = lambda: tuple(chance.choice([None, 1, 2, 3]) for _ in weights)
+    seekers = [(i, chance.choice("xyz"), *row()) for i in range(150)] + [(149, "x", 1, 1, 1, 1)] * 2
+    offers = [(chance.choice("xxy"), *row(), chance.choice([-30, -20, 0, 5]), i // 2, f"o{i}") for i in range(60)]
+    want = {}
+    for i, key, *mine in seekers:
+        scores = [(w + sum(v for v, m, t in zip(weights.values(), mine, theirs, strict=True) if m is not None and m == t), o, name) for k, *theirs, w, o, name in offers if k == key]
+        for points, o, name in scores:
+            want[i] = min(want.get(i, (0, 10**9)), (-max(points, 0), o, -points, name))
+    columns = ", ".join(f"{c} int" for c in weights)
+    got = relational.most_shared(spark.createDataFrame(seekers, f"id int, key string, {columns}"), spark.createDataFrame(offers, f"key string, {columns}, worth int, ord int, offer string"), weights)
+    assert {r["id"]: (r["offer"], r["score"]) for r in got.collect()} == {i: (w[3], -w[2]) for i, w in want.items()} and got.count() == len(want)
+
+
+MENTIONS, GAZETTEER = "id int, place_name string, line int, qualifier string", "place_id string, name string, line int, qualifier string, confidence string, ord int"
+
+
+def test_scored_with_overrides_pairs_nothing(spark):
+    mentions = spark.createDataFrame([(1, "A ", 5, "Fort"), (2, "a", 5, ""), (3, "a", None, None), (4, "B", 5, "fort"), (4, "B", 5, "fort"), (5, "c", 5, "fort"), (6, None, 5, "fort")], MENTIONS)
+    gazetteer = [("p", "a", 5, "", "hold", 1), ("q", "A", 5, "FORT", "hold", 2), ("r", "a", None, None, "accepted", 3), ("s", "a", 6, "fort", "provisional", 4), ("t", "b", 5, "fort", "accepted", 5), ("u", "c", 9, "", "Hold", 6), ("v", "C", 9, "x", None, 7)]
+    overrides = spark.createDataFrame([("B", "X")], "place_name string, place_id string")
+    got = resolve.scored(mentions, spark.createDataFrame(gazetteer, GAZETTEER), overrides)
+    assert sorted(map(tuple, got.collect())) == [(1, "q", 255), (2, "p", 230), (3, "r", 5), (4, "X", 1000), (5, "u", -20)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3  # with the overrides, for the result and for what they leave, and of what they leave; the gazetteer is in none
