@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import squeeze
-from tabulary.operators.relational import positions
+from tabulary.operators.relational import most_shared, positions
 
 
 def entity_page(mentions: DataFrame, place: str = "place_id") -> DataFrame:
@@ -86,16 +86,12 @@ EVIDENCE = {"document": 4, "chapter": 4, "unit": 3, "office": 2}
 def picked_occurrences(places: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(id, occurrence_id, score): the occurrence (occurrence_id, ord, name, document, chapter, unit, office) that fits each place (id, names array, document, ..) best, by EVIDENCE; the first on a tie.
 
-    Both sides are reduced to their distinct names and evidence first, so repeated contexts of a frequent name meet once.
-    A blank piece of evidence counts nothing. Places whose names occur nowhere are left out.
+    A blank piece of evidence counts nothing. Places whose names occur nowhere are left out. No place is paired with the
+    occurrences of its names, see most_shared.
     """
-    clean = lambda c: F.lower(squeeze(F.coalesce(F.col(c), F.lit("")))).alias(c)
-    keys = list(EVIDENCE)
-    there = occurrences.select(clean("name"), *map(clean, keys), "ord", "occurrence_id").where("name <> ''").groupBy("name", *keys).agg(F.min(F.struct("ord", "occurrence_id")).alias("first"))
-    wanted = places.select("id", F.array_sort(F.array_distinct(F.filter(F.transform("names", lambda n: F.lower(squeeze(F.coalesce(n, F.lit(""))))), lambda n: n != ""))).alias("names"), *map(clean, keys))
-    distinct = wanted.select("names", *keys).distinct()
-    pairs = distinct.select("names", *[F.col(k).alias(f"_{k}") for k in keys], F.explode("names").alias("name")).join(there, "name")
-    score = sum((F.when((F.col(f"_{k}") != "") & (F.col(f"_{k}") == F.col(k)), weight).otherwise(0) for k, weight in EVIDENCE.items()), F.lit(0))
-    best = pairs.withColumn("s", score).groupBy("names", *[f"_{k}" for k in keys]).agg(F.min(F.struct((-F.col("s")).alias("s"), "first")).alias("b"))
-    joined = wanted.join(best.select("names", *[F.col(f"_{k}").alias(k) for k in keys], "b"), ["names", *keys])
-    return joined.select("id", F.col("b.first.occurrence_id").alias("occurrence_id"), (-F.col("b.s")).alias("score"))
+    clean = lambda c: F.lower(F.regexp_replace(squeeze(c), r"^\p{Zs}+|\p{Zs}+$", ""))
+    filled = lambda c, to: F.nullif(clean(F.col(c)), F.lit("")).alias(to)
+    keys = [filled(k, k) for k in EVIDENCE]
+    wanted = places.select("id", F.explode(F.array_distinct(F.transform("names", clean))).alias("key"), *keys).where("key <> ''")
+    there = occurrences.select(filled("name", "key"), *keys, F.lit(0).alias("worth"), "ord", F.col("occurrence_id").alias("offer"))
+    return most_shared(wanted, there, EVIDENCE).select("id", F.col("offer").alias("occurrence_id"), "score")

@@ -135,11 +135,11 @@ SELECT c.id, coalesce(n, 0) AS shown, coalesce(lined, CASE WHEN n = 1 THEN one E
 
 
 def picked_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each row the other mention of its names that shares document, chapter, unit and office best."""
-    once = _once(spark, sf_dir)
+    """For each row the other mention of its names that shares document, chapter, unit and office best; rows loaded twice change nothing."""
+    rows = table(spark, sf_dir, "place_conflict_context")
     keys = ["document", "chapter", "unit", "office"]
-    places = once.select(F.col("rowId").alias("id"), F.array("candidate", "pleiadesName").alias("names"), *keys)
-    occurrences = once.select(F.col("rowId").alias("occurrence_id"), F.col("rowId").alias("ord"), F.col("placeName").alias("name"), *keys)
+    places = rows.select(F.col("rowId").alias("id"), F.array("candidate", "pleiadesName").alias("names"), *keys)
+    occurrences = rows.select(F.col("rowId").alias("occurrence_id"), F.col("rowId").alias("ord"), F.col("placeName").alias("name"), *keys)
     return pages.picked_occurrences(places, occurrences)
 
 

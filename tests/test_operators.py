@@ -287,3 +287,11 @@ def test_scored_with_overrides_pairs_nothing(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "q", 255), (2, "p", 230), (3, "r", 5), (4, "X", 1000), (5, "u", -20)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 3  # with the overrides, for the result and for what they leave, and of what they leave; the gazetteer is in none
+
+
+def test_picked_occurrences_pair_nothing(spark):
+    there = spark.createDataFrame([(5, 5, "A ", "d", "c", None, ""), (6, 6, "a", "d", " ", "u", "o"), (7, 7, "B", "d", "c", "u", "o")], "occurrence_id int, ord int, name string, document string, chapter string, unit string, office string")
+    places = spark.createDataFrame([(1, ["a", "b"], "D", "c", "x", "o"), (2, ["A", None], "d", "C", "u", None), (2, ["A", None], "d", "C", "u", None), (3, ["", " "], "d", "c", "u", "o")], "id int, names array<string>, document string, chapter string, unit string, office string")
+    got = pages.picked_occurrences(places, there)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 10), (2, 5, 8)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
