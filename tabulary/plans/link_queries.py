@@ -409,8 +409,10 @@ SELECT m.rowId AS id, f.place_id FROM {_ONCE} m JOIN (SELECT lower(trim(title, '
 
 
 def resolve_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = _context(spark, sf_dir).select(F.col("rowId").alias("id"), F.col("candidate").alias("place_name"), F.col("sourceLine").alias("line"), F.lit("").alias("qualifier"))
-    gazetteer = _context(spark, sf_dir).select(F.col("pleiadesId").alias("place_id"), F.col("pleiadesName").alias("name"), F.col("sourceLine").alias("line"), F.lit("").alias("qualifier"), F.when(F.col("tier") == 0, "accepted").when(F.col("tier") == 1, "confirmed").otherwise("hold").alias("confidence"), F.col("rowId").alias("ord"))
+    """The gazetteer row of every candidate by line and confidence; rows loaded twice change nothing."""
+    rows = table(spark, sf_dir, "place_conflict_context")
+    mentions = rows.select(F.col("rowId").alias("id"), F.col("candidate").alias("place_name"), F.col("sourceLine").alias("line"), F.lit("").alias("qualifier"))
+    gazetteer = rows.select(F.col("pleiadesId").alias("place_id"), F.col("pleiadesName").alias("name"), F.col("sourceLine").alias("line"), F.lit("").alias("qualifier"), F.when(F.col("tier") == 0, "accepted").when(F.col("tier") == 1, "confirmed").otherwise("hold").alias("confidence"), F.col("rowId").alias("ord"))
     return resolve.scored(mentions, gazetteer).select("id", "place_id", "score")
 
 

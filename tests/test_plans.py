@@ -57,3 +57,11 @@ def test_every_packed_reference_is_looked_up(spark, tmp_path):
     got = publish_queries.province_references(spark, sf).orderBy("id", "position").collect()
     assert [(r["id"], r["polygon"]) for r in got if r["id"] != 2] == [(0, "8"), (1, "9"), (3, ""), (4, "9"), (4, "8"), (5, "")]
     assert [r["polygon"] for r in got if r["id"] == 2][:2] == ["9", ""]
+
+
+def test_resolve_scored_pairs_nothing(spark, tmp_path):
+    row = lambda i, name, line, tier, place: {"rowId": i, "candidate": name, "pleiadesName": name.lower(), "sourceLine": line, "tier": tier, "pleiadesId": place}
+    rows = [row(1, "A", 5, 2, "p"), row(2, "A", 6, 0, "q"), row(3, "a ", None, 1, "r"), row(3, "a ", None, 1, "r"), row(4, "a", 5, None, "s"), row(5, "B", 1, 2, "t")]
+    got = link_queries.resolve_scored(spark, folder(spark, tmp_path, place_conflict_context=rows))
+    assert sorted(map(tuple, got.collect())) == [(1, "p", 230), (2, "q", 255), (3, "q", 5), (4, "p", 230), (5, "t", 230)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
