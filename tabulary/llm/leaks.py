@@ -274,10 +274,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, sf_dir: str, max_edits: int = 4) -> DataFrame:
-    """Items whose first or last words stand in a document with some words changed, in windows of the size of the shortest item (12 words at least)."""
+    """Items of which some run of words stands in a document with some words changed: every run of the size of the shortest item (12 words at least)."""
     documents, items = _tables(spark, sf_dir)
     sizes = items.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("n")).where("n >= 12").agg(F.min("n")).first()[0]
-    return leaks(documents, items, window=sizes or 12, max_edits=max_edits, recall=0.9, whole=True)
+    return leaks(documents, items, window=sizes or 12, max_edits=max_edits, recall=0.9)
 
 
 FOUND_SQL = """

@@ -237,6 +237,18 @@ def test_leaks_with_edits(spark, k):
         assert leaks.leaks(texts(spark, docs), texts(spark, items).limit(0)).count() == 0 and leaks.leaks(texts(spark, docs).limit(0), texts(spark, items)).count() == 0
 
 
+def test_near_looks_at_every_part_of_an_item(spark, tmp_path):
+    rnd = random.Random(8)
+    long, short = ([rnd.choice(WORDS) for _ in range(n)] for n in (120, 40))
+    changed = long[38:85]
+    changed[9], changed[30] = "other", "else"
+    docs = [(i, " ".join([*WORDS[:30], *part, *WORDS[60:90]])) for i, part in enumerate((long[30:70], long[55:101], changed, long[5:40], short, long[:40]))]
+    spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string").write.parquet(f"{tmp_path}/heldout_item.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in leaks.near(spark, str(tmp_path)).collect()}
+    assert {(1, 0, 0), (1, 1, 0), (2, 4, 0), (1, 5, 0)} <= got and {(i, d) for i, d, _ in got if d != 3} == {(1, 0), (1, 1), (1, 2), (2, 4), (1, 5)}
+
+
 def test_repeats_are_bounded():
     assert leaks.Walks(40, 4, 0.95).repeats <= leaks.MOST_REPEATS and leaks.Walks(12, 1, 0.95).repeats < 30
     with pytest.raises(ValueError):
